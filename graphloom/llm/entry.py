@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import minhash
+from graphloom.llm import bpe, langid, minhash, ogg, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,25 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_warc, op6_byte_bpe, op8_language_id, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
