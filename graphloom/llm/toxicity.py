@@ -181,7 +181,7 @@ class Net:
 
 def _corpus_windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(idx, first, count, owner) of all windows of texts given as word rows."""
-    idx = np.concatenate([np.array(d, np.int64) for d in docs]) if docs else np.zeros(0, np.int64)
+    idx = np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
     begin = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     parts = [windows_of(len(d)) for d in docs]
     owner = np.repeat(np.arange(len(docs)), [len(x) for x in parts])
@@ -193,31 +193,35 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     """A network for the labels of whole texts; a constant score where only one label is given."""
     net = Net(seed)
     y = np.array(labels, np.float32)
-    split = [words_of(t) for t in texts]
-    keep = [i for i, s in enumerate(split) if s]
-    split, y = [split[i] for i in keep], y[keep]
+    row: dict[bytes, int] = {}
+    split, keep = [], []
+    for i, text in enumerate(texts):  # words become rows at once; the driver has little memory
+        own = np.array([row.setdefault(w, len(row)) for w in words_of(text)], np.int32)
+        if len(own):
+            split.append(own)
+            keep.append(i)
+    y = y[keep]
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
     rng = np.random.default_rng(seed)
-    seen = Counter(w for s in split for w in s)
-    net.vocab = {w: i + 1 for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS]) if n >= 3}
-    names = sorted(seen)
-    row = {w: i for i, w in enumerate(names)}
-    idx, first, count, owner = _corpus_windows([[row[w] for w in s] for s in split])
-    known = np.array([net.vocab.get(w, 0) for w in names])
+    names = list(row)
+    del row, texts
+    idx, first, count, owner = _corpus_windows(split)
+    seen = np.bincount(idx, minlength=len(names))
+    common = sorted(np.flatnonzero(seen >= 3).tolist(), key=lambda i: (-seen[i], names[i]))[:WORDS]
+    net.vocab = {names[i]: k + 1 for k, i in enumerate(common)}
+    known = np.zeros(len(names), np.int32)
+    known[common] = np.arange(1, len(common) + 1)
     grams, at = gram_buckets(names)
+    grams = grams.astype(np.int32)
     lens = np.diff(at)
     # Word odds by n-gram bucket, over texts: only to choose the first windows.
-    gdoc = np.repeat(np.arange(len(split)), [len(s) for s in split])
-    own = np.unique(gdoc * len(names) + idx)  # each word of a text once
-    word_doc, word = own // len(names), own % len(names)
-    pair = np.unique(np.repeat(word_doc, lens[word]) * BUCKETS + _take(grams, at, word))
-    toxic_pair = y[pair // BUCKETS] > 0
-    pos = np.bincount(pair[toxic_pair] % BUCKETS, minlength=BUCKETS)
-    neg = np.bincount(pair[~toxic_pair] % BUCKETS, minlength=BUCKETS)
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for own, label in zip(split, y, strict=True):
+        (pos if label > 0 else neg)[np.unique(_take(grams, at, np.unique(own)))] += 1
+    del split
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
-    del own, word_doc, word, pair, toxic_pair, gdoc
     by_word = np.add.reduceat(odds[grams], at[:-1]) / lens
     summed = by_word[idx]
     step = np.arange(WINDOW)
@@ -255,7 +259,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
                 d["char"] = (ug, np.repeat(du[:, WORD_DIM:] / ul[:, None], ul, axis=0))
                 for k, grad in d.items():
                     _adam(net.p[k], moments[k], grad, rate)
-        table = np.concatenate([net.inputs(names[lo : lo + 50_000]) for lo in range(0, len(names), 50_000)])
+        table = np.concatenate([net.inputs(names[lo : lo + 20_000]) for lo in range(0, len(names), 20_000)])
         score = net.logits(table, idx, first, count)
     worst = np.full(len(y), -np.inf)
     np.maximum.at(worst, owner, score)
@@ -323,7 +327,7 @@ class Scorer:
                 self.known.update(zip(part, range(self.used, self.used + len(part)), strict=True))
                 self.used += len(part)
             got = list(map(self.known.__getitem__, words))
-        return np.array(got, np.int64)
+        return np.array(got, np.int32)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.net.constant is not None:
@@ -373,9 +377,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Net:
     chosen = spark.createDataFrame(list(ids.items()), "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(f"octet_length(text) between 1 and {SAMPLE_BYTES}")
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy("toxic", F.xxhash64("doc_id"), "doc_id", "text")
-    got = got.limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
-    kept = [r for r in got if r.toxic == 1][:SAMPLE_TOXIC] + [r for r in got if r.toxic == 0][:SAMPLE_CLEAN]
-    return fit([r.text.encode() for r in kept], [r.toxic for r in kept])
+    texts, labels, room = [], [], {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
+    for r in got.limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).toLocalIterator():
+        if room.get(r.toxic, 0):
+            room[r.toxic] -= 1
+            texts.append(r.text.encode())
+            labels.append(r.toxic)
+    return fit(texts, labels)
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
