@@ -53,11 +53,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and outlives lost executors."""
+def stage(df: DataFrame, name: str = "stage", release: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    release: let the driver's JVM collect garbage, so that Spark deletes shuffle files nothing needs any more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, embed, langid, minhash, mixing, ogg, pii, toxicity, warc
+from graphloom.llm import bpe, embed, langid, minhash, mixing, ogg, pii, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -55,7 +59,7 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_warc, op4_pii, op6_byte_bpe, op7_embedding_dedup, op8_language_id, op9_mixing, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_warc, op4_pii, op5_suffix_dedup, op6_byte_bpe, op7_embedding_dedup, op8_language_id, op9_mixing, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
