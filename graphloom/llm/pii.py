@@ -98,16 +98,20 @@ def disclosing_terms(based: DataFrame, docs: DataFrame, text_col: str = "text")
     found = stage(found, "entities")
     entity = found.select("doc_id", "e").distinct()
     df_e = entity.groupBy("e").agg(F.count("*").alias("df_e"))
-    co = found.select("doc_id", "e", F.explode("terms").alias("term")).distinct().groupBy("e", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
-    co = stage(co, "co")
-    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text_col}), {_lit(TERM)}, 0))")).alias("term"))
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(co.select("term").distinct(), "term", "left_semi")
+    near_e = found.select("doc_id", "e", F.explode("terms").alias("term")).distinct()
+    co = near_e.groupBy("e", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
+    near_any = near_e.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
     total = docs.agg(F.count("*").alias("n_docs"))
-    scored = co.join(df_t, "term").join(df_e, "e").crossJoin(F.broadcast(total))  # total is one row
+    scored = co.join(df_e, "e").join(near_any, "term").crossJoin(F.broadcast(total))  # total is one row
     info = F.log2(F.col("n_docs") / F.col("df_e"))
-    pmi = F.log2(F.col("n_docs") * F.col("co") / (F.col("df_t") * F.col("df_e")))
-    share = F.when(info > 0, pmi / info).otherwise(0.0)
-    told = stage(scored.select("e", "term", share.alias("share")).filter(F.col("share") >= GENERALISE_AT), "told")
+    told_by = lambda df: F.when(info > 0, F.log2(F.col("n_docs") * F.col("co") / (F.col(df) * F.col("df_e"))) / info).otherwise(0.0)
+    # df(term) is at least the documents in which the term stands near any entity: terms that fail with
+    # that many fail for certain, and are not counted over the corpus.
+    scored = stage(scored.filter(told_by("least") >= GENERALISE_AT), "co")
+    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text_col}), {_lit(TERM)}, 0))")).alias("term"))
+    df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(scored.select("term").distinct(), "term", "left_semi")
+    scored = scored.join(df_t, "term")
+    told = stage(scored.select("e", "term", told_by("df_t").alias("share")).filter(F.col("share") >= GENERALISE_AT), "told")
     return (
         entity.join(told, "e")
         .groupBy("doc_id", "term").agg(F.max("share").alias("share"))
