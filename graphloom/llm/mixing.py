@@ -2,8 +2,8 @@
 
 Token masses of the cells (source, language, topic) are raked: each sweep scales them to the target
 shares of one dimension after another. A cell's factor, raked over given mass, is the calibrated weight
-of its documents; sampling probabilities are these weights at the largest common rate that keeps them
-at one or less, so the expected token shares of the sample meet the targets.
+of its documents; sampling probabilities are these weights times a common rate, at most one, and the rate
+is the one at which the wanted fraction of all tokens is expected in the sample.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ DIMS = ("source", "lang", "topic")
 SWEEPS = 12
 #: Exponent on the given shares that makes the default targets: under 1 favours the rare.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.5}
-FRACTION = 0.5  # of the tokens to keep, or less where the weights do not allow as much
+FRACTION = 0.5  # of the tokens that the sample is expected to hold
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,6 +72,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     return whole.select(*DIMS, "mass", (F.col("_x") / F.col("mass")).alias("factor"))
 
 
+def common_rate(raked: DataFrame, fraction: float) -> float:
+    """The rate c with sum(mass * min(1, c * factor)) = fraction * sum(mass).
+
+    Starting without caps, each round gives the uncapped cells what the capped ones leave; c only grows
+    and settles when no further cell is capped. Two sums a round come to the driver.
+    """
+    rate = float(fraction)
+    while True:
+        over = F.col("factor") * F.lit(rate) >= 1
+        r = raked.agg(F.sum("mass").cast("double").alias("all"), F.sum(F.when(over, F.col("mass")).otherwise(0)).cast("double").alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("mass") * F.col("factor"))).alias("rest")).first()
+        if not r["all"] or not r["rest"]:
+            return rate
+        new = (fraction * r["all"] - r["full"]) / r["rest"]
+        if new <= rate * (1 + 1e-12):
+            return rate
+        rate = new
+
+
 def weigh(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION) -> DataFrame:
     """`docs` with _topic, n_tokens, weight (the cell's factor), prob and selected.
 
@@ -85,16 +103,16 @@ def weigh(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction
     cells = rows.groupBy(F.col("_d_source").alias("source"), F.col("_d_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("n_tokens").alias("mass"))
     cells = stage(cells, "mass")
     raked = stage(rake(cells, targets), "raked")
-    rate = raked.agg(F.least(F.lit(float(fraction)), F.coalesce(1 / F.max(F.when(F.col("factor") > 0, F.col("factor"))), F.lit(1.0))).alias("_rate"))
+    rate = common_rate(raked, fraction)
     # One row for each cell; the join key is salted over the rows so that a hot cell is dealt to many tasks.
     salt = 16
-    spread = raked.crossJoin(F.broadcast(rate)).select(
-        F.col("source").alias("_d_source"), F.col("lang").alias("_d_lang"), F.col("topic").alias("_topic"), "factor", "_rate", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
+    spread = raked.select(
+        F.col("source").alias("_d_source"), F.col("lang").alias("_d_lang"), F.col("topic").alias("_topic"), "factor", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
     )
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int"))
-    out = rows.join(spread, ["_d_source", "_d_lang", "_topic", "_salt"], "left").crossJoin(F.broadcast(rate.withColumnRenamed("_rate", "_common")))
+    out = rows.join(spread, ["_d_source", "_d_lang", "_topic", "_salt"], "left")
     out = out.withColumn("weight", F.coalesce("factor", F.lit(1.0)))
-    out = out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.col("_common")))
+    out = out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(rate)))
     out = out.withColumn("selected", uniform(F.col("doc_id")) < F.col("prob"))
     return out.select(*docs.columns, *[c for c in ("_topic", "n_tokens", "weight", "prob", "selected") if c not in docs.columns])
 
@@ -128,8 +146,9 @@ def oracle(sweeps: int = SWEEPS, fraction: float = FRACTION) -> str:
         for d in DIMS:
             parts.append(f"x{k + 1} as materialized (select * exclude (x), x * t_{d} * total / sum(x) over (partition by {d}) as x from x{k})")
             k += 1
-    parts.append(f"raked as (select source, lang, topic, x / mass as factor from x{k})")
-    parts.append(f"rate as (select least({fraction}, 1 / max(factor)) as r from raked)")
+    parts.append(f"raked as (select source, lang, topic, mass, x / mass as factor from x{k})")
+    parts.append(f"x{k}s as (select factor, sum(mass) over () as t, coalesce(sum(mass) over (order by factor desc rows between unbounded preceding and 1 preceding), 0) as above, sum(mass * factor) over (order by factor desc rows between current row and unbounded following) as below from raked)")
+    parts.append(f"rate as (select coalesce(max(({fraction} * t - above) / below), {fraction}) as r from x{k}s where below > 0 and factor * ({fraction} * t - above) / below < 1 and above = (select min(above) from x{k}s where below > 0 and factor * ({fraction} * t - above) / below < 1))")
     parts.append("w as (select doc_id, topic, n_tokens, coalesce(factor, 1.0) as weight, least(1.0, coalesce(factor, 1.0) * r) as prob from rows0 left join raked using (source, lang, topic) cross join rate)")
     u = "('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|mix'), 1, 13))::bigint / 4503599627370496.0"
     return "with " + ", ".join(parts) + f" select doc_id, topic, n_tokens, round(weight, 6) as weight, round(prob, 6) as prob, {u} < prob as selected from w"

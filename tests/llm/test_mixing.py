@@ -20,10 +20,17 @@ def test_marginals_meet_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     share = {"en": 0.25, "fr": 0.25, "de": 0.25, "es": 0.25}
     aim = {"lang": spark.createDataFrame(list(share.items()), "value string, share double")}
-    out = mixing.weigh(docs, aim).groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("prob")).alias("x")).collect()
+    out = mixing.weigh(docs, aim, fraction=0.05).groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("prob")).alias("x"), F.max("prob").alias("p"), F.sum("n_tokens").alias("all")).collect()
     total = sum(r.x for r in out)
+    assert total == pytest.approx(0.05 * sum(r["all"] for r in out), rel=1e-6)
     for r in out:
-        assert r.x / total == pytest.approx(0.25, rel=0.02)
+        assert r.p == 1 or r.x / total == pytest.approx(0.25, rel=0.05)
+
+
+def test_capped_rate_keeps_the_fraction(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = mixing.weigh(docs, fraction=0.8).agg(F.sum(F.col("n_tokens") * F.col("prob")).alias("x"), F.sum("n_tokens").alias("n"), F.avg(F.col("selected").cast("int")).alias("kept")).first()
+    assert r.x == pytest.approx(0.8 * r.n, rel=1e-6) and r.kept > 0.7
 
 
 def test_odd_rows(spark):
