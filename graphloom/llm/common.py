@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from graphloom.session import share_code
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker; bounds the worker's memory.
-BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -66,6 +68,13 @@ def stage(df: DataFrame, name: str = "stage", release: bool = False) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give the worker's free memory back to the system; workers are reused and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_i64(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

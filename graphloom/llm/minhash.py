@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_i64, components, list_array, pieces, prepare, stage, text_bytes
+from graphloom.llm.common import as_i64, components, list_array, pieces, prepare, stage, text_bytes, trim
 
 WIDTH = 5
 BANDS = 8
-SPAN = 2 << 20  # bytes of text handled at once by a task
+SPAN = 1 << 20  # bytes of text handled at once by a task
 
 _rng = np.random.default_rng(20240601)
 _odd = lambda n: _rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,6 +130,7 @@ def signatures(bands: int):
                     [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(as_i64(fp)), list_array(as_i64(both.ravel()), flat, pa.int64())],
                     ["doc_id", "n", "fp", "bands"],
                 )
+        trim()
 
     return run
 
@@ -149,6 +150,7 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has, sub = _nonempty(s, at)
             if len(has):
                 yield pa.RecordBatch.from_arrays([pa.array(as_i64(_fingerprint(s, sub))), list_array(as_i64(s), sub, pa.int64())], ["fp", "sh"])
+    trim()
 
 
 class Forest:
@@ -236,6 +238,8 @@ def confirm_blocks(percent: int):
                 links = []
         close()
         yield _links(links)
+        held.clear()
+        trim()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import pieces, prepare, text_bytes
+from graphloom.llm.common import pieces, prepare, text_bytes, trim
 
 WINDOW, STRIDE = 32, 16  # words
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
@@ -29,8 +29,8 @@ GRAMS = (3, 4, 5)
 #: The bounded sample of labelled rows that the network is fitted on: rows of each label, bytes of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 5000, 8192
 THRESHOLD = 0.3
-SPAN = 1 << 20
-MEMORY = 150_000  # words whose inputs a worker remembers
+SPAN = 1 << 19
+MEMORY = 120_000  # words whose inputs a worker remembers
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 
 
@@ -165,11 +165,10 @@ class Net:
             d[f"x{side}"], d[f"b{side}"] = np.einsum("ntd,ntg->dg", x, dg[k]), dg[k].sum((0, 1))
         return float(loss), d, dx
 
-    def logits(self, table: np.ndarray, idx: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Logits of the windows of `count` words from `first` over word rows idx into a table of inputs()."""
+    def logits(self, halves: tuple[np.ndarray, np.ndarray], idx: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Logits of the windows of `count` words from `first` over word rows idx into the halves of a table of inputs()."""
         out = np.zeros(len(first), np.float32)
-        step, w = np.arange(WINDOW), 3 * HIDDEN
-        halves = np.ascontiguousarray(table[:, :w]), np.ascontiguousarray(table[:, w:])
+        step = np.arange(WINDOW)
         for lo in range(0, len(first), 1024):
             f, c = first[lo : lo + 1024], count[lo : lo + 1024]
             rows = idx[np.minimum(f[:, None] + step, len(idx) - 1)]
@@ -179,6 +178,12 @@ class Net:
         return out
 
 
+def _halves(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs of the two directions, each contiguous."""
+    w = 3 * HIDDEN
+    return np.ascontiguousarray(table[:, :w]), np.ascontiguousarray(table[:, w:])
+
+
 def _corpus_windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(idx, first, count, owner) of all windows of texts given as word rows."""
     idx = np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
@@ -260,7 +265,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
                 for k, grad in d.items():
                     _adam(net.p[k], moments[k], grad, rate)
         table = np.concatenate([net.inputs(names[lo : lo + 20_000]) for lo in range(0, len(names), 20_000)])
-        score = net.logits(table, idx, first, count)
+        score = net.logits(_halves(table), idx, first, count)
     worst = np.full(len(y), -np.inf)
     np.maximum.at(worst, owner, score)
     net.scale = _calibrate(worst, y)
@@ -302,32 +307,27 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """A network with the inputs of the words it has met."""
+    """A network with the inputs of the words it has met; from MEMORY words on it forgets them before a batch."""
 
     def __init__(self, net: Net):
-        self.net, self.known, self.table = net, {}, np.zeros((0, 6 * HIDDEN), np.float32)
-        self.used = 0
+        self.net, self.known, self.used = net, {}, 0
+        self.table = _halves(np.zeros((1024, 6 * HIDDEN), np.float32))
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self.known.get, words))
-        if None in got:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-                self.used = 0
-                new = list(dict.fromkeys(words))
-            else:
-                new = list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None))
-            if self.used + len(new) > len(self.table):
-                bigger = np.zeros((max(2 * len(self.table), self.used + len(new)), 6 * HIDDEN), np.float32)
-                bigger[: self.used] = self.table[: self.used]
-                self.table = bigger
-            for lo in range(0, len(new), 20_000):
-                part = new[lo : lo + 20_000]
-                self.table[self.used : self.used + len(part)] = self.net.inputs(part)
-                self.known.update(zip(part, range(self.used, self.used + len(part)), strict=True))
-                self.used += len(part)
-            got = list(map(self.known.__getitem__, words))
-        return np.array(got, np.int32)
+        if self.used > MEMORY:
+            self.known.clear()
+            self.used = 0
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
+            end = self.used + len(part)
+            if end > len(self.table[0]):
+                self.table = tuple(np.concatenate((t[: self.used], np.zeros((end, 3 * HIDDEN), np.float32))) for t in self.table)
+            for t, x in zip(self.table, _halves(self.net.inputs(part)), strict=True):
+                t[self.used : end] = x
+            self.known.update(zip(part, range(self.used, end), strict=True))
+            self.used = end
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.net.constant is not None:
@@ -340,7 +340,7 @@ class Scorer:
         rows = self.rows_of([w for s in split for w in s])
         cut = np.cumsum([0, *sizes])
         idx, first, count, owner = _corpus_windows([rows[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-        logit = self.net.logits(self.table[: self.used], idx, first, count)
+        logit = self.net.logits(self.table, idx, first, count)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, owner, logit)
         has = np.array(sizes) > 0
@@ -398,6 +398,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             for lo, hi in pieces(texts, SPAN):
                 got[lo:hi] = scorer(packed).scores(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -426,5 +427,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for lo, hi in pieces(texts, SPAN):
                 ok[lo:hi] = scorer(packed).scores(texts[lo:hi]) < THRESHOLD
             yield batch.filter(pa.array(ok))
+        # The stages that follow reuse this worker: it should not keep the words.
+        _scorers.clear()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
