@@ -41,7 +41,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """(doc_id, lang, source, n_tokens, ids, round_trip): packed token ids, and whether decoding gives the text back."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     prepare(spark)
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepare, text_bytes
+from graphloom.llm.common import prepare, text_bytes, trim
 
 LEAF = 12  # bytes that are encoded at once
-CACHE = 250_000  # distinct matches whose ids a worker remembers; then it starts anew
+CACHE = 100_000  # distinct matches whose ids a worker remembers; then it starts anew
 CACHE_BYTES = 48  # longer matches are not remembered
 
 
@@ -156,16 +156,17 @@ def load(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def _mapped(df: DataFrame, source: str, name: str, kind: str, arrow: pa.DataType, make) -> DataFrame:
-    """df with a column that make() computes from a column's bytes, batch by batch; a column of that name is replaced."""
-    df = df.drop(name) if name in df.columns and name != source else df
-    schema = df.select("*", F.lit(None).cast(kind).alias(name)).schema
+def _mapped(df: DataFrame, source: str, names: tuple[str, ...], make) -> DataFrame:
+    """df with binary columns that make() computes from a column's bytes, batch by batch; columns of those names are replaced."""
+    df = df.drop(*[n for n in names if n in df.columns and n != source])
+    schema = df.select("*", *[F.lit(None).cast("binary").alias(n) for n in names]).schema
     at = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(make(text_bytes(batch, batch.schema.names[at])), arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
+            made = make(text_bytes(batch, batch.schema.names[at]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m, pa.binary()) for m in made]], schema.names)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -178,22 +179,34 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     """
     prepare(docs.sparkSession)
 
-    def make(texts: list[bytes]) -> list[bytes]:
+    def make(texts: list[bytes]) -> list[list[bytes]]:
         bpe = load(path, pattern)
-        return [bpe.encode(t.decode()) for t in texts]
+        return [[bpe.encode(t.decode()) for t in texts]]
 
-    return _mapped(docs, text_col, ids_col, "binary", pa.binary(), make)
+    return _mapped(docs, text_col, (ids_col,), make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`df` with `decoded`: the bytes (binary) of the packed ids; null ids give no bytes."""
     prepare(df.sparkSession)
 
-    def make(ids: list[bytes]) -> list[bytes]:
+    def make(ids: list[bytes]) -> list[list[bytes]]:
         bpe = load(path, pattern)
-        return [bpe.decode(x) for x in ids]
+        return [[bpe.decode(x) for x in ids]]
 
-    return _mapped(df, ids_col, out_col, "binary", pa.binary(), make)
+    return _mapped(df, ids_col, (out_col,), make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """`docs` with `ids` and `decoded` as encode() and then decode() give them, by one worker instead of two."""
+    prepare(docs.sparkSession)
+
+    def make(texts: list[bytes]) -> list[list[bytes]]:
+        bpe = load(path, pattern)
+        ids = [bpe.encode(t.decode()) for t in texts]
+        return [ids, [bpe.decode(x) for x in ids]]
+
+    return _mapped(docs, text_col, ("ids", "decoded"), make)
 
 
 def ids_array(ids_col: str = "ids"):
@@ -204,8 +217,8 @@ def ids_array(ids_col: str = "ids"):
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, through encode and decode."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, through round_trip()."""
+    both = round_trip(docs.select("doc_id", "text"), path, pattern)
     return both.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import prepare, stage
 
 DIMS = ("source", "lang", "topic")
-SWEEPS = 12
+SWEEPS = 8
 #: Exponent on the given shares that makes the default targets: under 1 favours the rare.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.5}
 FRACTION = 0.5  # of the tokens that the sample is expected to hold
@@ -67,7 +67,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
         for dim in DIMS:
             now = F.sum("_x").over(Window.partitionBy(dim))
             whole = whole.withColumn("_x", F.when(now > 0, F.col("_x") * F.col(f"_t_{dim}") * F.col("_total") / now).otherwise(0.0))
-        if sweep % 3 == 2:
+        if sweep % 2 == 1:
             whole = stage(whole, "cells")
     return whole.select(*DIMS, "mass", (F.col("_x") / F.col("mass")).alias("factor"))
 

@@ -30,7 +30,7 @@ GRAMS = (3, 4, 5)
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 5000, 8192
 THRESHOLD = 0.3
 SPAN = 1 << 19
-MEMORY = 120_000  # words whose inputs a worker remembers
+MEMORY = 80_000  # words whose inputs a worker remembers
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 
 
@@ -322,7 +322,7 @@ class Scorer:
             part = new[lo : lo + 10_000]
             end = self.used + len(part)
             if end > len(self.table[0]):
-                self.table = tuple(np.concatenate((t[: self.used], np.zeros((end, 3 * HIDDEN), np.float32))) for t in self.table)
+                self.table = tuple(np.concatenate((t[: self.used], np.zeros((end // 2 + 10_000, 3 * HIDDEN), np.float32))) for t in self.table)
             for t, x in zip(self.table, _halves(self.net.inputs(part)), strict=True):
                 t[self.used : end] = x
             self.known.update(zip(part, range(self.used, end), strict=True))
