@@ -117,7 +117,7 @@ def violation_stats(g):
 
 @on_events(sql("nodes", """select graph_id, typical_floor, w as warning from (select graph_id, typical_floor, unnest(list_filter([
  case when sum((room_type='toilet')::int) = 0 then 'no toilet' end, case when sum((room_type='toilet')::int) > 3 then 'too many toilets' end, case when sum((room_type='classroom' and area < 54)::int) > 0 then 'small classroom' end,
- case when sum((room_type='corridor')::int) = 0 then 'no corridor' end, case when sum((room_type='staircase')::int) = 0 then 'no staircase' end], x -> x is not null)) as w from nodes group by 1, 2)
+ case when sum((room_type='corridor')::int) = 0 then 'no corridor' end, case when sum((room_type='staircase')::int) = 0 then 'no staircase' end], lambda x: x is not null)) as w from nodes group by 1, 2)
  union all select graph_id, 'all', 'missing ' || t from (select distinct graph_id from nodes) g cross join (select unnest(['classroom','corridor','staircase','toilet']) as t) k where not exists (select 1 from nodes n where n.graph_id = g.graph_id and n.room_type = k.t)"""))
 def realism_warnings(g):
     """C13."""
@@ -316,7 +316,7 @@ def floor_overlap_pairs(g):
 
 
 _TRADE = {
-    "tr": "select c.c_nationkey::bigint as graph_id, c.c_custkey as src, -l.l_suppkey as dst, case l.l_returnflag when 'R' then 'physical' when 'A' then 'acoustic' else 'sight' end as rel from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on c.c_custkey = o.o_custkey"
+    "tr": "select c.c_nationkey::bigint as graph_id, c.c_custkey as src, -1 - l.l_suppkey as dst, case l.l_returnflag when 'R' then 'physical' when 'A' then 'acoustic' else 'sight' end as rel from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on c.c_custkey = o.o_custkey"
 }
 
 

@@ -60,13 +60,13 @@ def event_graphs(spark: SparkSession, sf_dir: str) -> GraphTables:
 
 
 def trade_graphs(spark: SparkSession, sf_dir: str) -> GraphTables:
-    """Trade graphs: relation R / A / N of the line item's return flag as physical / acoustic / sight. Supplier ids are negative."""
+    """Trade graphs: relation R / A / N of the line item's return flag as physical / acoustic / sight. Supplier s is node -1 - s."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     c = t("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("graph_id"))
     o = t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     li = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
     rel = F.when(F.col("l_returnflag") == "R", "physical").when(F.col("l_returnflag") == "A", "acoustic").otherwise("sight")
-    e = li.join(o, "o_orderkey").join(c, "c_custkey").select("graph_id", F.col("c_custkey").alias("src"), (-F.col("l_suppkey")).alias("dst"), rel.alias("kind"))
+    e = li.join(o, "o_orderkey").join(c, "c_custkey").select("graph_id", F.col("c_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"), rel.alias("kind"))
     edges = reduce(DataFrame.unionByName, [J.edges(e.filter(F.col("kind") == k), k, "line") for k in ("physical", "acoustic", "sight")])
     nodes = c.select("graph_id", F.col("c_custkey").alias("room_id")).union(e.select("graph_id", "dst").distinct())
     return GraphTables(nodes.select("graph_id").distinct(), nodes, nodes.limit(0), edges)
