@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import share_code
+from graphloom.session import checkpoints, share_code
 
 LARGEST = 20_000
 
@@ -77,6 +77,7 @@ def shortest_path(links: DataFrame, wanted: DataFrame) -> DataFrame:
     Of equally short paths the one that is least by its nodes' ids, from the source on; hops is null and
     the path empty where there is none. Frontier joins with a visited anti-join; every round keeps one path a node.
     """
+    checkpoints(wanted.sparkSession)
     seen = wanted.select("graph_id", "src").distinct().select("graph_id", "src", F.col("src").alias("node"), F.array("src").alias("path"))
     front = seen
     for _ in range(64):
@@ -110,6 +111,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def components_large(links: DataFrame) -> DataFrame:
     """GA05 for graphs of any size: min-label propagation with pointer jumping over the link table, checkpointed."""
+    checkpoints(links.sparkSession)
     both = links.filter("nbr is not null and node <> nbr").select("graph_id", "node", "nbr")
     both = both.union(both.select("graph_id", "nbr", "node")).distinct().checkpoint()
     lab = both.groupBy("graph_id", "node").agg(F.least("node", F.min("nbr")).alias("component")).checkpoint()

@@ -141,7 +141,7 @@ def missing_essentials(canvas: DataFrame) -> DataFrame:
     n = lambda t: F.coalesce(F.sum((F.col("room_type") == t).cast("int")), F.lit(0))
     span = F.coalesce(F.max("x") - F.min("x"), F.lit(0.0))
     a = canvas.agg(F.when(n("corridor") == 0, 1).otherwise(0).alias("corridor"), F.greatest(F.lit(0), 2 - n("staircase")).alias("staircase"), F.when(n("toilet") == 0, F.greatest(F.lit(1), F.floor(span / 35).cast("int") + 1)).otherwise(0).alias("toilet"))
-    return a.select(F.expr("stack(3, 'corridor', corridor, 'staircase', staircase, 'toilet', toilet) as (room_type, add)")).filter("add > 0")
+    return a.select(F.expr("stack(3, 'corridor', cast(corridor as long), 'staircase', cast(staircase as long), 'toilet', cast(toilet as long)) as (room_type, add)")).filter("add > 0")
 
 
 def clear(canvas: DataFrame) -> DataFrame:

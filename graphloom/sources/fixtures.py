@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +49,28 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_held: dict[tuple[str, str], GraphTables] = {}
+
+
 def event_graphs(spark: SparkSession, sf_dir: str) -> GraphTables:
-    """Event graphs with the edges of the deterministic rules P1, P2 (spine), P7, A1, S1 and S2."""
-    nodes = event_nodes(spark, sf_dir)
+    """Event graphs with the edges of the deterministic rules P1, P2 (spine), P7, A1, S1 and S2.
+
+    Rooms and edges are persisted (memory, then disk) for the queries that follow over the same tables,
+    as they all start from the same six joins; asking for other tables lets go of them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        for old in _held.values():
+            if old.nodes.sparkSession is spark:
+                old.nodes.unpersist()
+                old.edges.unpersist()
+        _held.clear()
+        g = _event_graphs(spark, sf_dir)
+        _held[key] = g.with_(edges=g.edges.persist(StorageLevel.MEMORY_AND_DISK))
+    return _held[key]
+
+
+def _event_graphs(spark: SparkSession, sf_dir: str) -> GraphTables:
+    nodes = event_nodes(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     ids = nodes.select("graph_id").distinct()
     graphs = ids.select("graph_id", F.lit("small").alias("school_size"), F.lit(3).alias("num_floors"))
     env = ids.select("graph_id", F.lit(-1).cast("long").alias("env_id"), F.lit(1).alias("env_ord"), F.lit("south_facing").alias("env_type"), F.lit(15.0).alias("x"), F.lit(500.0).alias("y"))
