@@ -6,6 +6,7 @@ partitioning, retries are rows like others, and a collection of any size is one
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,8 +176,9 @@ def build(graphs: DataFrame, seed: int = 42) -> GraphTables:
     w = Window.partitionBy("graph_id").orderBy("floor_lo", "type_idx", "number")
     n = n.withColumns({"ord": F.row_number().over(w), "floor": F.col("floor_lo"), "occupancy": F.greatest(F.lit(1), F.floor(F.col("area") / F.col("density")).cast("int"))}).withColumn("room_id", F.col("ord").cast("long"))
     n = n.drop("school_size", "num_floors", "split", "seed", "count")
+    n = n.persist(StorageLevel.MEMORY_AND_DISK)  # thirteen rules start from it
     g = GraphTables(graphs, n, environment(graphs), n.limit(0))
-    return g.with_(edges=J.apply_rules(g, seed=seed))
+    return g.with_(edges=J.apply_rules(g, seed=seed).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def with_retries(graphs: DataFrame, attempts: int = ATTEMPTS) -> tuple[GraphTables, DataFrame]:

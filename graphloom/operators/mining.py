@@ -38,14 +38,36 @@ def wl_histogram(labels: DataFrame, links: DataFrame, rounds: int = 3, bins: int
     return out
 
 
-def kernel_matrix(hist: DataFrame) -> DataFrame:
-    """(g1, g2, k) of graphs that share a bin: cosine off the diagonal (norms plus 1e-8), raw squared norm on it."""
-    norm = hist.groupBy("graph_id").agg((F.sqrt(F.sum(F.col("n") * F.col("n"))) + 1e-8).alias("norm"))
-    h = hist.join(norm, "graph_id")
-    a = h.select("bin", F.col("graph_id").alias("g1"), F.col("n").alias("n1"), F.col("norm").alias("m1"))
-    b = h.select("bin", F.col("graph_id").alias("g2"), F.col("n").alias("n2"), F.col("norm").alias("m2"))
-    dot = a.join(b, "bin").groupBy("g1", "g2", "m1", "m2").agg(F.sum(F.col("n1") * F.col("n2")).cast("double").alias("dot"))
-    return dot.select("g1", "g2", F.when(F.col("g1") == F.col("g2"), F.col("dot")).otherwise(F.col("dot") / (F.col("m1") * F.col("m2"))).alias("k"))
+def kernel_matrix(hist: DataFrame, block: int = 512) -> DataFrame:
+    """(g1, g2, k) of graphs that share a bin: cosine off the diagonal (norms plus 1e-8), raw squared norm on it.
+
+    The matrix is made of tiles of block x block graphs, each one matrix product in a task; no row is
+    made for a pair and bin. hist: (graph_id, bin, n)."""
+    share_code(hist.sparkSession)
+    n = hist.select("graph_id").distinct().count()
+    k = max(1, -(-n // block))
+    rows = hist.groupBy("graph_id").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"))  # bounded by the bins
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("graph_id"), F.lit(k)).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "graph_id", "bins", "counts")
+
+    def run(t: pa.Table) -> pa.Table:
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        c, ids = t.column("c").to_numpy(), t.column("graph_id").to_numpy()
+        bins, counts = t.column("bins").to_pylist(), t.column("counts").to_pylist()
+        width = max((max(b) for b in bins if b), default=0) + 1
+        x = np.zeros((len(ids), width))
+        for i, (b, m) in enumerate(zip(bins, counts, strict=True)):
+            x[i, b] = m
+        dot = x[c == p] @ x[c == q].T
+        norm = np.sqrt((x * x).sum(1)) + 1e-8
+        i, j = np.nonzero(dot)
+        left, right = ids[c == p], ids[c == q]
+        v = np.where(left[i] == right[j], dot[i, j], dot[i, j] / (norm[c == p][i] * norm[c == q][j]))
+        if p == q:
+            return pa.table([pa.array(left[i]), pa.array(right[j]), pa.array(v)], names=["g1", "g2", "k"])
+        return pa.table([pa.array(np.concatenate((left[i], right[j]))), pa.array(np.concatenate((right[j], left[i]))), pa.array(np.concatenate((v, v)))], names=["g1", "g2", "k"])
+
+    return rows.groupBy("p", "q").applyInArrow(run, "g1 long, g2 long, k double")
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 50, seed: int = 42) -> np.ndarray:
@@ -95,14 +117,48 @@ def power_clusters(kernel: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return out.select(F.col("id").alias("graph_id"), F.col("cluster").cast("long").alias("cluster"))
 
 
-def kmeans(vectors: DataFrame, k: int, col: str = "embedding", seed: int = 42, rounds: int = 50) -> DataFrame:
-    """`vectors` with `cluster`, by the distributed k-means of pyspark.ml."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans(vectors: DataFrame, k: int, col: str = "embedding", seed: int = 42, rounds: int = 10) -> DataFrame:
+    """`vectors` with `cluster`: Lloyd's rounds over the whole table from k rows chosen by hash.
+
+    A round is one pass: tasks sum the vectors nearest to each of the k centres, Spark adds up the sums,
+    and only the k centres come to the driver. An empty cluster keeps its centre; stops when none moves."""
+    share_code(vectors.sparkSession)
+    spark = vectors.sparkSession
+    first = vectors.filter(F.col(col).isNotNull()).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(col).cast("string")))).limit(k).select(col).collect()
+    c = np.array([r[0] for r in first], float)
+    if not len(c):
+        return vectors.withColumn("cluster", F.lit(None).cast("int"))
+
+    def nearest(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = batch.schema.get_field_index(col)
+        x = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
+        return x, ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+
+    rows = vectors.filter(F.col(col).isNotNull())
+    for _ in range(rounds):
+
+        def sums(batches, centres=c):
+            for batch in batches:
+                if batch.num_rows:
+                    x, lab = nearest(batch, centres)
+                    for j in np.unique(lab):
+                        yield pa.RecordBatch.from_arrays([pa.array([int(j)], pa.int32()), pa.array([int((lab == j).sum())], pa.int64()), pa.array([x[lab == j].sum(0).tolist()], pa.list_(pa.float64()))], ["j", "n", "v"])
+
+        part = rows.select(col).mapInArrow(sums, "j int, n long, v array<double>").select("j", "n", F.posexplode("v"))
+        new = c.copy()
+        for r in part.groupBy("j", "pos").agg((F.sum("col") / F.sum("n")).alias("m")).collect():
+            new[r.j, r.pos] = r.m
+        if np.allclose(new, c):
+            break
+        c = new
+    schema = spark.createDataFrame([], vectors.schema).withColumn("cluster", F.lit(None).cast("int")).schema
+
+    def assign(batches, centres=c):
+        for batch in batches:
+            lab = nearest(batch, centres)[1] if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lab.astype(np.int32))], schema.names)
 
-    v = vectors.withColumn("_v", array_to_vector(F.col(col)))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v", predictionCol="cluster").fit(v)
-    return model.transform(v).drop("_v")
+    return rows.mapInArrow(assign, schema)
 
 
 def prototypes(members: DataFrame, counts: DataFrame) -> DataFrame:

@@ -424,7 +424,7 @@ _GS = {
 }
 
 
-@on_events(sql("nodes env edges links pdoor", "select graph_id, n_rooms, 1::bigint as n_env, coalesce(n_edges, 0) as n_edges, round(avg_degree, 2) as avg_degree, round(coalesce(n_rr, 0) / (n_rooms * (n_rooms - 1) / 2), 4) as density, n_components, round(clustering, 4) as clustering, round(coalesce(apl, 0), 2) as apl, coalesce(diameter, 0) as diameter from pd left join ec using (graph_id) left join tp using (graph_id) left join cl using (graph_id) left join hp using (graph_id)", **_GS))
+@on_events(sql("nodes env edges links pdoor", "select graph_id, n_rooms, 1::bigint as n_env, coalesce(n_edges, 0) as n_edges, round_even(avg_degree, 2) as avg_degree, round_even(coalesce(n_rr, 0) / (n_rooms * (n_rooms - 1) / 2), 4) as density, n_components, round_even(clustering, 4) as clustering, round_even(coalesce(apl, 0), 2) as apl, coalesce(diameter, 0) as diameter from pd left join ec using (graph_id) left join tp using (graph_id) left join cl using (graph_id) left join hp using (graph_id)", **_GS))
 def graph_summary(g):
     """GA11."""
     return S.graph_summary(g)

@@ -376,11 +376,15 @@ def generate_environment(spark: SparkSession, sf_dir: str):
 
 
 @query()
-def generated_status(spark: SparkSession, sf_dir: str):
-    """A small collection through rules and checks."""
+def generated_checks(spark: SparkSession, sf_dir: str):
+    """G17's checks on areas over a generated collection."""
+    from graphloom.model import GraphTables
     from graphloom.operators import constraints as C
 
-    return C.status(G.build(G.requests(spark, 6)))
+    r = _req(spark)
+    n = G.allocate_areas(G.enforce_minimums(G.rooms(G.floor_program(r), catalog(spark))))
+    g = GraphTables(r, n.drop("school_size", "num_floors"), n.limit(0), n.limit(0))
+    return C.area_bounds(g).unionByName(C.floor_corridor_ratio(g)).groupBy("graph_id", "constraint").agg(F.count("*").alias("n"))
 
 
 @query("select source, attempt, all_passed, case when all_passed then 0 else violations end::bigint as violations from (select *, row_number() over (partition by source order by all_passed desc, case when all_passed then 0 else violations end, attempt) as k from (select o_custkey as source, o_orderkey as attempt, o_orderstatus = 'F' as all_passed, o_totalprice::bigint as violations from orders)) where k = 1".replace("o_totalprice::bigint", "floor(o_totalprice)::bigint"))
