@@ -383,7 +383,7 @@ def generated_checks(spark: SparkSession, sf_dir: str):
 
     r = _req(spark)
     n = G.allocate_areas(G.enforce_minimums(G.rooms(G.floor_program(r), catalog(spark))))
-    g = GraphTables(r, n.drop("school_size", "num_floors"), n.limit(0), n.limit(0))
+    g = GraphTables(r, n.drop("school_size", "num_floors").withColumn("room_id", F.col("room_name")), n.limit(0), n.limit(0))
     return C.area_bounds(g).unionByName(C.floor_corridor_ratio(g)).groupBy("graph_id", "constraint").agg(F.count("*").alias("n"))
 
 
