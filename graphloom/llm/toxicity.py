@@ -383,7 +383,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Net:
             room[r.toxic] -= 1
             texts.append(r.text.encode())
             labels.append(r.toxic)
-    return fit(texts, labels)
+    net = fit(texts, labels)
+    del texts
+    trim()  # the driver has little memory, and what fitting took is not needed again
+    return net
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
