@@ -3,7 +3,8 @@
 Token masses of the cells (source, language, topic) are raked: each sweep scales them to the target
 shares of one dimension after another. A cell's factor, raked over given mass, is the calibrated weight
 of its documents; sampling probabilities are these weights times a common rate, at most one, and the rate
-is the one at which the wanted fraction of all tokens is expected in the sample.
+is the one at which the wanted fraction of all tokens is expected in the sample. Where cells are cut at one,
+the sample's shares differ from the targets; shares() has both.
 """
 
 from __future__ import annotations
@@ -123,6 +124,20 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("_topic").alias("topic"), "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "selected")
 
 
+def shares(docs: DataFrame, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION) -> DataFrame:
+    """(dim, value, natural, target, expected, realised): token shares of a dimension's values in the table, under the
+    raked weights, expected in the sample and in the sample drawn.
+
+    A document is taken once at most, so where a value's target times the fraction is more than it holds, its
+    expected share stays under the target, and that of the others over it."""
+    w = weigh(docs.select("doc_id", "text", "source", "lang"), targets, fraction)
+    mass = {"natural": F.col("n_tokens").cast("double"), "target": F.col("n_tokens") * F.col("weight"), "expected": F.col("n_tokens") * F.col("prob"), "realised": F.when(F.col("selected"), F.col("n_tokens")).otherwise(0).cast("double")}
+    values = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(none)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(none)")), "topic": F.col("_topic")}
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), values[d].alias("value")) for d in DIMS]))
+    by = w.select(each.alias("v"), *[m.alias(k) for k, m in mass.items()]).groupBy("v.dim", "v.value").agg(*[F.sum(k).alias(k) for k in mass])
+    return by.select("dim", "value", *[(F.col(k) / F.sum(k).over(Window.partitionBy("dim"))).alias(k) for k in mass])
+
+
 def sample(docs: DataFrame, fraction: float = 0.8) -> DataFrame:
     """The sampled documents, with the columns they came with."""
     own = weigh(docs.select("doc_id", "text", "source", "lang"), fraction=fraction).filter("not selected").select("doc_id").distinct()

@@ -33,6 +33,24 @@ def test_capped_rate_keeps_the_fraction(spark):
     assert r.x == pytest.approx(0.8 * r.n, rel=1e-6) and r.kept > 0.7
 
 
+@pytest.mark.parametrize("fraction", [mixing.FRACTION, 0.8])
+def test_shares_at_production_fractions(spark, fraction):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.shares(docs, fraction=fraction).collect()
+    for dim in mixing.DIMS:
+        own = [r for r in rows if r.dim == dim]
+        for k in ("natural", "target", "expected", "realised"):
+            assert sum(r[k] for r in own) == pytest.approx(1)
+        tempered = {r.value: r.natural ** mixing.TEMPER[dim] for r in own}
+        for r in own:
+            # The raked weights meet the target; the sample holds no more of a value than there is.
+            assert r.target == pytest.approx(tempered[r.value] / sum(tempered.values()), rel=0.02)
+            assert r.expected * fraction <= r.natural * (1 + 1e-9)
+    # Without repeats prose cannot get below this, which is above its target.
+    prose = next(r for r in rows if r.value == "prose")
+    assert prose.expected >= 1 - (1 - prose.natural) / fraction - 1e-9 > prose.target
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "one two", None, "en"), (None, "three", "s", None), (4, "x " * 100_000, "s", "en"), (4, "x " * 100_000, "s", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("weight", F.lit("clash")).withColumn("topic", F.lit(3))
