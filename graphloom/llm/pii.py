@@ -2,7 +2,7 @@
 
 All of it is DataFrame functions. Base spans come from regular expressions whose loops run over single
 character classes: dots and separators that a pattern may cross are first replaced, one for one, by
-U+0001, so long runs neither backtrack nor recurse. Terms near a span are judged by information: with N
+U+0001, so long runs neither backtrack nor recurse. Terms of documents with spans are judged by information: with N
 documents, a term discloses an entity when PMI(term; entity) = log2(N co / (df(term) df(entity))) is at
 least a given share of the entity's information content log2(N / df(entity)).
 """
@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import prepare, stage
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT = 3  # documents in which a term must stand near the entity
 GENERALISE_AT, REMOVE_AT = 0.9, 0.98  # shares of the entity's information
-NEAR_CHARS, NEAR_WORDS = 120, 5  # how far from a span, on either side, a term counts as near
 TERM = r"\p{L}[\p{L}\p{N}]{3,}"  # lower-cased words of four or more
 
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -81,51 +79,70 @@ def joined(*kinds: str) -> Column:
     return F.expr("concat_ws(',', " + ", ".join(f"transform(_{k}, x -> concat('{k}:', x.start, ':', x.end))" for k in kinds) + ")")
 
 
+def _replaced(marks: str) -> str:
+    """SQL: _t with the spans of an array (start, end, m), sorted by start, replaced by their m; overlapping ones once."""
+    return (
+        f"aggregate({marks}, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start >= a.at,"
+        " named_struct('at', x.end, 'out', concat(a.out, substring(_t, a.at + 1, x.start - a.at), x.m)),"
+        " named_struct('at', greatest(a.at, x.end), 'out', a.out)), a -> concat(a.out, substring(_t, a.at + 1)))"
+    )
+
+
 def disclosing_terms(based: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, general, removed): the terms of each document that disclose one of its entities.
+    """(doc_id, terms, removed): of each document with an id, the terms it holds that disclose an entity of any document.
 
     based: rows of with_base() that have a doc_id and at least one span. docs: the whole corpus, over
-    which N and df(term) are counted, each term once a document.
+    which N and df(term) are counted, each term once a document. A term counts with an entity in every
+    document that has both, wherever they stand; words inside base spans are no candidates.
     """
     normal = "concat('{k}:', {v})"
     value = {"email": "lower(replace(x.m, '\\u0001', '.'))", "ip": "x.m", "card": "regexp_replace(x.m, '[^0-9]', '')", "phone": "regexp_replace(x.m, '[^0-9]', '')"}
-    near = (
-        f"array_distinct(concat(slice(reverse(regexp_extract_all(lower(substring(_t, greatest(x.start - {NEAR_CHARS}, 0) + 1, least(x.start, {NEAR_CHARS}))), {_lit(TERM)}, 0)), 1, {NEAR_WORDS}),"
-        f" slice(regexp_extract_all(lower(substring(_t, x.end + 1, {NEAR_CHARS})), {_lit(TERM)}, 0), 1, {NEAR_WORDS})))"
-    )
-    each = ", ".join(f"transform(_{k}, x -> named_struct('e', {normal.format(k=k, v=value[k])}, 'terms', {near}))" for k in KINDS)
-    found = based.select("doc_id", F.explode(F.expr(f"concat({each})")).alias("s")).select("doc_id", "s.e", "s.terms")
-    found = stage(found, "entities")
-    entity = found.select("doc_id", "e").distinct()
-    df_e = entity.groupBy("e").agg(F.count("*").alias("df_e"))
-    near_e = found.select("doc_id", "e", F.explode("terms").alias("term")).distinct()
-    co = near_e.groupBy("e", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
-    near_any = near_e.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    scored = co.join(df_e, "e").join(near_any, "term").crossJoin(F.broadcast(total))  # total is one row
-    info = F.log2(F.col("n_docs") / F.col("df_e"))
-    told_by = lambda df: F.when(info > 0, F.log2(F.col("n_docs") * F.col("co") / (F.col(df) * F.col("df_e"))) / info).otherwise(0.0)
-    # df(term) is at least the documents in which the term stands near any entity: terms that fail with
-    # that many fail for certain, and are not counted over the corpus.
-    scored = stage(scored.filter(told_by("least") >= GENERALISE_AT), "co")
-    words = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({text_col}), {_lit(TERM)}, 0))")).alias("term"))
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t")).join(scored.select("term").distinct(), "term", "left_semi")
-    scored = scored.join(df_t, "term")
-    told = stage(scored.select("e", "term", told_by("df_t").alias("share")).filter(F.col("share") >= GENERALISE_AT), "told")
+    each = ", ".join(f"transform(_{k}, x -> {normal.format(k=k, v=value[k])})" for k in KINDS)
+    entity = stage(based.select("doc_id", F.explode(F.expr(f"array_distinct(concat({each}))")).alias("e")).distinct(), "entities")
+    # Entities of the same documents disclose by the same terms: one of them (by two hashes of the documents) stands for all.
+    same = entity.groupBy("e").agg(F.count("*").alias("df_e"), F.bit_xor(F.xxhash64("doc_id")).alias("g1"), F.bit_xor(F.xxhash64("doc_id", F.lit("g"))).alias("g2"))
+    group = stage(entity.join(stage(same, "groups"), "e").select("doc_id", "df_e", "g1", "g2").distinct(), "members")
+    blank = ", ".join(f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, 'm', ' '))" for k in KINDS)
+    held = based.select("doc_id", F.expr(_replaced(f"array_sort(concat({blank}))")).alias("_rest"))
+    held = stage(held.select("doc_id", F.explode(F.expr(_words("_rest"))).alias("term")).distinct(), "held")
+    words = docs.select(F.col("doc_id"), F.explode(F.expr(_words(text_col))).alias("term"))
+    df_t = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    df_t = stage(df_t.join(held.select("term").distinct(), "term", "left_semi"), "df")
+    n = docs.count()
+    # co is at most df(term) and df(entity). The first bound drops terms that fail with the document's most
+    # frequent entity, before terms and entities of a document meet.
+    info = f"log2({n}D / df_e)"
+    told_by = lambda co: F.expr(f"if({info} > 0, log2({n}D * {co} / (df_t * df_e)) / {info}, 0D)")
+    top = group.groupBy("doc_id").agg(F.max("df_e").alias("df_e"))
+    rare = held.join(df_t, "term").join(top, "doc_id").filter(told_by("least(df_t, df_e)") >= GENERALISE_AT - 1e-9).drop("df_e")
+    pairs = rare.join(group, "doc_id").filter(told_by("least(df_t, df_e)") >= GENERALISE_AT - 1e-9)
+    scored = pairs.groupBy("term", "g1", "g2", "df_e", "df_t").agg(F.count("*").alias("co")).select("term", told_by("co").alias("share"))
+    told = stage(scored.filter(F.col("share") >= GENERALISE_AT).groupBy("term").agg(F.max("share").alias("share")), "told")
     return (
-        entity.join(told, "e")
-        .groupBy("doc_id", "term").agg(F.max("share").alias("share"))
+        words.filter("doc_id is not null").join(told, "term").distinct()
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("term")).alias("terms"), F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE_AT, F.col("term")))).alias("removed"))
     )
 
 
+def _words(text: str) -> str:
+    return f"array_distinct(regexp_extract_all(lower({text}), {_lit(TERM)}, 0))"
+
+
 def _term_spans() -> Column:
     """Occurrences of the row's `terms` as whole words, any case; terms hold letters and digits alone."""
     pattern = "concat('(?iu)(?<![\\\\p{L}\\\\p{N}])(?:', array_join(terms, '|'), ')(?![\\\\p{L}\\\\p{N}])')"
     return F.expr(f"if(coalesce(size(terms), 0) > 0, {_spans('_t', pattern)}, {_NONE})")
 
 
+def _with_terms(docs: DataFrame) -> DataFrame:
+    """`docs` with `_t`, the base spans, terms, removed and `_term`, the spans of the terms."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hit = with_base(src).filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).filter("doc_id is not null")
+    told = stage(disclosing_terms(stage(hit.drop("text"), "spans"), src), "terms").withColumnRenamed("doc_id", "_id")
+    return with_base(docs.join(told, F.col("doc_id").cast("long") == F.col("_id"), "left")).withColumn("_term", _term_spans())
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, base, terms, removed) of every document.
 
@@ -136,15 +153,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = [f"_{k}" for k in KINDS]
-    based = with_base(src)
-    some = F.expr(" + ".join(f"size({k})" for k in kinds) + " > 0")
-    based = stage(based.select("doc_id", *kinds, F.when(some, F.col("_t")).alias("_t")), "spans")
-    hit = based.filter("_t is not null")
-    told = stage(disclosing_terms(hit.filter("doc_id is not null"), src), "terms")
-    plain = based.filter("_t is null").select("*", F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<string>").alias("removed"))
-    both = hit.join(told, "doc_id", "left").select(*based.columns, "terms", "removed").unionByName(plain)
-    both = both.withColumn("_term", _term_spans()).drop("_t")
+    both = _with_terms(src).drop("text", "_t", "_id")
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     base = joined(*KINDS)
     return both.select(
@@ -157,18 +166,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     [TERM], or by nothing where they disclose almost all; overlapping spans are replaced once. n_chars, if there,
     is counted anew. Null texts stay null; the columns, their order and the rows stay."""
     prepare(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hit = with_base(src).filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).filter("doc_id is not null")
-    told = stage(disclosing_terms(stage(hit.drop("text"), "spans"), src), "terms").withColumnRenamed("doc_id", "_id")
-    out = with_base(docs).join(told, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("_term", _term_spans())
+    out = _with_terms(docs)
     marks = [f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, 'm', '[{k.upper()}]'))" for k in KINDS]
     marks.append("transform(_term, x -> named_struct('start', x.start, 'end', x.end, 'm', if(array_contains(removed, lower(x.m)), '', '[TERM]')))")
     out = out.withColumn("_marks", F.expr(f"array_sort(concat({', '.join(marks)}))"))
-    clean = (
-        "aggregate(_marks, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start >= a.at,"
-        " named_struct('at', x.end, 'out', concat(a.out, substring(_t, a.at + 1, x.start - a.at), x.m)),"
-        " named_struct('at', greatest(a.at, x.end), 'out', a.out)), a -> concat(a.out, substring(_t, a.at + 1)))"
-    )
+    clean = _replaced("_marks")
     out = out.withColumn("_new", F.when(F.col("text").isNotNull(), F.when(F.size("_marks") > 0, F.expr(clean)).otherwise(F.col("text"))))
     cols = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
     return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])

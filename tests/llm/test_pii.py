@@ -1,7 +1,10 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -86,3 +89,37 @@ def test_disclosing_terms(spark, corpus):
     assert pii.sanitise(docs).columns == docs.columns
     assert clean[1].text.startswith("Contact ") and "Zyx" not in clean[1].text and "[EMAIL]" in clean[1].text and clean[1].n_chars == len(clean[1].text)
     assert clean[100].text == corpus[4][1] and clean[200].text is None
+
+
+def test_disclosing_terms_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    word = regex.compile(pii.TERM)
+    words = {i: set(word.findall(t.lower())) for i, t in text.items()}
+    df_t = Counter(w for own in words.values() for w in own)
+    who, held = defaultdict(set), {}
+    got = pii.find(docs).collect()
+    for r in got:
+        rest = text[r.doc_id]
+        for x in reversed(sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in r.base.split(",") if s))):
+            v = text[r.doc_id][x[0] : x[1]]
+            who[x[2], v.lower() if x[2] == "email" else v if x[2] == "ip" else re.sub("[^0-9]", "", v)].add(r.doc_id)
+            rest = rest[: x[0]] + " " + rest[x[1] :]
+        held[r.doc_id] = set(word.findall(rest.lower()))
+    n, told = len(text), set()
+    for ids in who.values():
+        for w, co in Counter(w for i in ids for w in held[i]).items():
+            if math.log2(n * co / (df_t[w] * len(ids))) >= pii.GENERALISE_AT * math.log2(n / len(ids)):
+                told.add(w)
+    assert told
+    for r in got:
+        assert (r.terms or []) == sorted(words[r.doc_id] & told), r.doc_id
+    assert sum(r.n_term for r in got) > 0
+
+
+def test_terms_far_away_and_in_other_documents(spark):
+    filler = "plain words without meaning " * 100
+    rows = [(0, f"Quibblethorp {filler} to one@corp.example"), (1, f"quibblethorp {filler}"), (2, "")] + [(10 + i, filler) for i in range(1500)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].terms == got[1].terms == ["quibblethorp"]
+    assert got[1].spans == "term:0:12" and got[1].n_term == 1 and got[10].terms is None
