@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import pieces, prepare, text_bytes, trim
 
-WINDOW, STRIDE = 32, 16  # words
+WINDOW, STRIDE = 32, 1  # words; a window starts at every word
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 WORDS, BUCKETS = 8192, 16384  # known words; buckets of character n-grams
 GRAMS = (3, 4, 5)
@@ -189,7 +189,7 @@ def _corpus_windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.n
     idx = np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
     begin = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     parts = [windows_of(len(d)) for d in docs]
-    owner = np.repeat(np.arange(len(docs)), [len(x) for x in parts])
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in parts])
     first = (np.concatenate(parts) if parts else np.zeros(0, np.int64)) + begin[owner]
     return idx, first, np.minimum(begin[owner + 1] - first, WINDOW), owner
 
@@ -230,7 +230,10 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     by_word = np.add.reduceat(odds[grams], at[:-1]) / lens
     summed = by_word[idx]
     step = np.arange(WINDOW)
-    score = np.where(step < count[:, None], summed[np.minimum(first[:, None] + step, len(idx) - 1)], -9).max(1)
+    score = np.zeros(len(first), np.float32)
+    for lo in range(0, len(first), 1 << 16):  # the driver has little memory
+        f, c = first[lo : lo + (1 << 16), None], count[lo : lo + (1 << 16), None]
+        score[lo : lo + (1 << 16)] = np.where(step < c, summed[np.minimum(f + step, len(idx) - 1)], -9).max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     tick = 0
     for turn in range(rounds):

@@ -13,6 +13,14 @@ def test_windows_cover_the_text():
         assert all(b - a <= T.STRIDE for a, b in zip(w, w[1:]))
 
 
+def test_a_window_starts_at_every_word():
+    for n in (1, 32, 33, 100):
+        assert T.windows_of(n).tolist() == list(range(max(1, n - T.WINDOW + 1)))
+    # Two signs up to 31 words apart stand together in some window.
+    w = T.windows_of(200)
+    assert all(any(f <= a and b < f + T.WINDOW for f in w) for a in range(169) for b in (a + 17, a + 31))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = T.Net(3)
