@@ -133,7 +133,7 @@ def search(types: list[str], links: list[tuple[int, int]], score: Callable, sims
     return set(state[0]), set(state[1]), best, base
 
 
-def search_graphs(nodes: DataFrame, links: DataFrame, sims: int = 40, sparsity: float = 0.4, seed: int = 42, score: Callable = stair_share) -> DataFrame:
+def search_graphs(nodes: DataFrame, links: DataFrame, sims: int = 200, sparsity: float = 0.4, seed: int = 42, score: Callable = stair_share) -> DataFrame:
     """For each graph (graph_id, kept, dropped_edges, reward, baseline, delta): the found rooms, and by how much the
     score falls when they are taken away. nodes: (graph_id, room_id, room_type); links: (graph_id, node, nbr), one direction."""
     share_code(nodes.sparkSession)

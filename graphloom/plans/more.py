@@ -144,7 +144,7 @@ def kmeans(spark: SparkSession, sf_dir: str):
 def mcts_subgraphs(g):
     """X03-X14."""
     links = g.view("physical", "room").select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct()
-    f = X.search_graphs(g.nodes, links, sims=20)
+    f = X.search_graphs(g.nodes, links)
     return f.select("graph_id", F.size("kept").cast("long").alias("n_kept"), "dropped_edges", r6("reward"), r6("baseline"), r6("delta"))
 
 
@@ -152,7 +152,7 @@ def mcts_subgraphs(g):
 def counterfactual(g):
     """X33-X35."""
     links = g.view("physical", "room").select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct()
-    return X.counterfactual_report(X.search_graphs(g.nodes, links, sims=20))
+    return X.counterfactual_report(X.search_graphs(g.nodes, links))
 
 
 @on_events(sql("edges", "select graph_id, least(src, dst) as a, greatest(src, dst) as b, rel from edges where dst_kind = 'room' and src <> dst group by all"))

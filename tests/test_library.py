@@ -135,6 +135,14 @@ def test_search_and_masks(spark):
     assert X._unreached(pairs, {0, 6, 3}) == pytest.approx(1 / 3)
 
 
+def test_search_goes_deep_by_default(spark):
+    n = 66
+    rooms = spark.createDataFrame([(1, i, "corridor" if i % 11 == 0 else "classroom") for i in range(n)], "graph_id long, room_id long, room_type string")
+    links = spark.createDataFrame([(1, i, i - i % 11) for i in range(n) if i % 11] + [(1, i, i + 11) for i in range(0, n - 11, 11)], "graph_id long, node long, nbr long")
+    kept = lambda **k: len(X.search_graphs(rooms, links, **k).first().kept)
+    assert kept() == kept(sims=200) < kept(sims=20)
+
+
 def test_kmeans_and_spectral():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(20, 3)) + 9, rng.normal(size=(20, 3)) - 9])
