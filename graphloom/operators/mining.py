@@ -117,11 +117,12 @@ def power_clusters(kernel: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return out.select(F.col("id").alias("graph_id"), F.col("cluster").cast("long").alias("cluster"))
 
 
-def kmeans(vectors: DataFrame, k: int, col: str = "embedding", seed: int = 42, rounds: int = 10) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, col: str = "embedding", seed: int = 42, rounds: int = 50) -> DataFrame:
     """`vectors` with `cluster`: Lloyd's rounds over the whole table from k rows chosen by hash.
 
     A round is one pass: tasks sum the vectors nearest to each of the k centres, Spark adds up the sums,
-    and only the k centres come to the driver. An empty cluster keeps its centre; stops when none moves."""
+    and only the k centres come to the driver. An empty cluster keeps its centre; stops when none moves.
+    Rows without a vector get a null cluster."""
     share_code(vectors.sparkSession)
     spark = vectors.sparkSession
     first = vectors.filter(F.col(col).isNotNull()).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(col).cast("string")))).limit(k).select(col).collect()
@@ -155,10 +156,13 @@ def kmeans(vectors: DataFrame, k: int, col: str = "embedding", seed: int = 42, r
 
     def assign(batches, centres=c):
         for batch in batches:
-            lab = nearest(batch, centres)[1] if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lab.astype(np.int32))], schema.names)
+            has = batch.column(batch.schema.get_field_index(col)).is_valid().to_numpy(zero_copy_only=False)
+            lab = np.zeros(batch.num_rows, np.int32)
+            if has.any():
+                lab[has] = nearest(batch.filter(pa.array(has)), centres)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lab, mask=~has)], schema.names)
 
-    return rows.mapInArrow(assign, schema)
+    return vectors.mapInArrow(assign, schema)
 
 
 def prototypes(members: DataFrame, counts: DataFrame) -> DataFrame:

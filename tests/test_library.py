@@ -187,6 +187,15 @@ def test_layout(spark):
     assert Y.floor_plan(n).count() == 7
 
 
+def test_kmeans_settles_and_keeps_rows_without_a_vector(spark):
+    x = np.sort(np.random.default_rng(5).random(400)).tolist()
+    d = spark.createDataFrame([(i, [v]) for i, v in enumerate(x)] + [(1000, None)], "vec_id long, embedding array<double>")
+    lab = {r.vec_id: r.cluster for r in K.kmeans(d, 8).collect()}
+    assert len(lab) == 401 and lab[1000] is None
+    centre = {j: np.mean([v for i, v in enumerate(x) if lab[i] == j]) for j in {lab[i] for i in range(400)}}
+    assert all(lab[i] == min(centre, key=lambda j: abs(centre[j] - v)) for i, v in enumerate(x))
+
+
 def test_storage_round_trip(spark, tmp_path):
     g = tables(spark, [(1, "classroom", 62, 0, 0, 0), (2, "corridor", 40, 5, 0, 0)], [(1, 2, "physical", "room")])
     path = T.save_graphs(g, str(tmp_path / "g"))
