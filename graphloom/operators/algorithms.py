@@ -80,7 +80,7 @@ def shortest_path(links: DataFrame, wanted: DataFrame) -> DataFrame:
     checkpoints(wanted.sparkSession)
     seen = wanted.select("graph_id", "src").distinct().select("graph_id", "src", F.col("src").alias("node"), F.array("src").alias("path"))
     front = seen
-    for _ in range(64):
+    while True:
         step = front.join(links, ["graph_id", "node"]).select("graph_id", "src", F.col("nbr").alias("node"), F.concat("path", F.array("nbr")).alias("path"))
         step = step.groupBy("graph_id", "src", "node").agg(F.min("path").alias("path")).join(seen.select("graph_id", "src", "node"), ["graph_id", "src", "node"], "left_anti")
         front = step.checkpoint()

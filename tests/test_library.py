@@ -238,3 +238,10 @@ def test_streaming(spark, tmp_path):
 
 def test_entropy_reference():
     assert -2 * 0.5 * math.log(0.5) == pytest.approx(math.log(2))
+
+
+def test_shortest_path_beyond_64_hops(spark):
+    n = 67
+    e = spark.createDataFrame([(1, a, b) for i in range(n) for a, b in ((i, i + 1), (i + 1, i))], "graph_id long, node long, nbr long").repartition(1)
+    r = A.shortest_path(e, spark.createDataFrame([(1, 0, n)], EDGE)).first()
+    assert r.hops == n and r.path == list(range(n + 1))
