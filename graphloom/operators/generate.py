@@ -6,11 +6,11 @@ partitioning, retries are rows like others, and a collection of any size is one
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import hash_uniform
+from graphloom.llm.common import stage
 from graphloom.model import RULES, GraphTables, catalog
 from graphloom.operators import constraints as C
 from graphloom.operators import topology as J
@@ -176,9 +176,9 @@ def build(graphs: DataFrame, seed: int = 42) -> GraphTables:
     w = Window.partitionBy("graph_id").orderBy("floor_lo", "type_idx", "number")
     n = n.withColumns({"ord": F.row_number().over(w), "floor": F.col("floor_lo"), "occupancy": F.greatest(F.lit(1), F.floor(F.col("area") / F.col("density")).cast("int"))}).withColumn("room_id", F.col("ord").cast("long"))
     n = n.drop("school_size", "num_floors", "split", "seed", "count")
-    n = n.persist(StorageLevel.MEMORY_AND_DISK)  # thirteen rules start from it
-    g = GraphTables(graphs, n, environment(graphs), n.limit(0))
-    return g.with_(edges=J.apply_rules(g, seed=seed).persist(StorageLevel.MEMORY_AND_DISK))
+    n = stage(n, "rooms")  # thirteen rules start from it
+    g = GraphTables(graphs, n, stage(environment(graphs), "environment"), n.limit(0))
+    return g.with_(edges=stage(J.apply_rules(g, seed=seed, keep=lambda d: stage(d, "rule")), "edges"))
 
 
 def with_retries(graphs: DataFrame, attempts: int = ATTEMPTS) -> tuple[GraphTables, DataFrame]:
@@ -189,7 +189,7 @@ def with_retries(graphs: DataFrame, attempts: int = ATTEMPTS) -> tuple[GraphTabl
     each = each.withColumns({"_g": F.col("graph_id"), "graph_id": F.col("graph_id") * attempts + F.col("attempt"), "seed": F.col("seed") + 1000 * F.col("attempt")})
     t = build(each.drop("attempt", "_g"))
     st = C.status(t).groupBy("graph_id").agg(F.bool_and("passed").alias("all_passed"), F.sum("n_violations").alias("violations"))
-    best = best_attempt(st.join(each.select("graph_id", F.col("_g").alias("source"), "attempt"), "graph_id"))
+    best = stage(best_attempt(st.join(each.select("graph_id", F.col("_g").alias("source"), "attempt"), "graph_id")), "best")
     keep = best.select("graph_id")
     pick = lambda d: d.join(keep, "graph_id", "left_semi")
     return GraphTables(pick(t.graphs), pick(t.nodes), pick(t.env), pick(t.edges)), best

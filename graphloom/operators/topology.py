@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,13 +183,13 @@ def library_to_green(g: GraphTables) -> DataFrame:
     return edges(rows, "sight", "S4", "environment", orientation=F.lit(0.5), distance=F.col("dist"))
 
 
-def apply_rules(g: GraphTables, topology: str | None = None, seed: int = 42) -> DataFrame:
-    """The edges of all thirteen rules, duplicates kept."""
+def apply_rules(g: GraphTables, topology: str | None = None, seed: int = 42, keep: Callable = lambda d: d) -> DataFrame:
+    """The edges of all thirteen rules, duplicates kept. keep: what each rule's edges go through, such as staging."""
     parts = [
         room_to_corridors(g), corridor_network(g, topology, seed), corridor_cross_links(g, seed=seed), second_corridor(g, seed=seed), stair_floors(g), vertical_chain(g), entrance(g),
         large_halls(g), service_rooms(g), proximity_pairs(g), daylight_to_south(g), daylight_via_corridor(g, seed=seed), library_to_green(g),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, map(keep, parts))
 
 
 def adjacent_rectangles(rects: DataFrame, gap: float = 0.5) -> DataFrame:

@@ -387,6 +387,14 @@ def generated_checks(spark: SparkSession, sf_dir: str):
     return C.area_bounds(g).unionByName(C.floor_corridor_ratio(g)).groupBy("graph_id", "constraint").agg(F.count("*").alias("n"))
 
 
+@query()
+def generated_status(spark: SparkSession, sf_dir: str):
+    """The status of all checks over the best attempts, after all rules."""
+    from graphloom.operators import constraints as C
+
+    return C.status(G.with_retries(_req(spark))[0])
+
+
 @query("select source, attempt, all_passed, case when all_passed then 0 else violations end::bigint as violations from (select *, row_number() over (partition by source order by all_passed desc, case when all_passed then 0 else violations end, attempt) as k from (select o_custkey as source, o_orderkey as attempt, o_orderstatus = 'F' as all_passed, o_totalprice::bigint as violations from orders)) where k = 1".replace("o_totalprice::bigint", "floor(o_totalprice)::bigint"))
 def best_attempt(spark: SparkSession, sf_dir: str):
     """G17's choice, over orders as attempts of customers."""

@@ -245,3 +245,14 @@ def test_shortest_path_beyond_64_hops(spark):
     e = spark.createDataFrame([(1, a, b) for i in range(n) for a, b in ((i, i + 1), (i + 1, i))], "graph_id long, node long, nbr long").repartition(1)
     r = A.shortest_path(e, spark.createDataFrame([(1, 0, n)], EDGE)).first()
     assert r.hops == n and r.path == list(range(n + 1))
+
+
+def test_retries_run_all_rules_and_checks(spark):
+    from graphloom.plans import more
+
+    assert more.generated_status
+    t, best = G.with_retries(G.requests(spark, 2), attempts=2)
+    assert sorted(r.source for r in best.collect()) == [0, 1]
+    rows = C.status(t).collect()
+    assert len(rows) == 2 * len(C.CONSTRAINTS) and len({r.graph_id for r in rows}) == 2
+    assert t.edges.count() > 0 and t.nodes.filter("x is null or y is null").count() == 0
