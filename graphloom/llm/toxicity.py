@@ -1,9 +1,11 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as its embedding (words the training sample knows) and the mean embedding of its
-characters' 3- to 5-grams. Two gated recurrences read a window of words from either side, attention
-pools their states, and a logistic unit scores the window. A text is cut into overlapping windows that
-cover all of it; its score is the calibrated score of its worst window. Training follows from labels of
+characters' 3- to 5-grams. Two gated recurrences read the words from either side, attention pools the
+states of every window of words, and a logistic unit scores it. The recurrences run over tiles of a text,
+each read from `RUN_IN` words before it (and after it, from the other side), so that all windows share the
+states of their words: a window's softmax over its words is a difference of running sums. A window starts
+at every word; a text's score is the calibrated score of its worst window. Training follows from labels of
 whole texts: of a toxic text the worst window stands for it, of a clean one its worst windows do, first
 by word odds, then by the network itself.
 """
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import pieces, prepare, text_bytes, trim
 
-WINDOW, STRIDE = 32, 1  # words; a window starts at every word
-HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
-WORDS, BUCKETS = 8192, 16384  # known words; buckets of character n-grams
-GRAMS = (3, 4, 5)
+WINDOW = 32  # words; a window starts at every word
+TILE, RUN_IN = 64, 16  # words whose states one recurrence gives, and words that it reads before them
+HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 12, 8, 8, 8
+WORDS, BUCKETS = 8192, 1 << 16  # known words; buckets of character n-grams
+GRAMS, HEADS = (3, 4, 5), (6, 7, 8)  # bytes of character n-grams, and of beginnings of words
 #: The bounded sample of labelled rows that the network is fitted on: rows of each label, bytes of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 5000, 8192
+SHRINK = 10  # texts without evidence that count with those of a bucket
 THRESHOLD = 0.3
 SPAN = 1 << 19
 MEMORY = 80_000  # words whose inputs a worker remembers
@@ -43,31 +47,39 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets) of the character n-grams of every word with its ends marked."""
+    """(buckets, offsets) of the character n-grams and the beginnings of every word with its ends marked."""
     buf = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in words]), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words])
     at = np.concatenate(([0], np.cumsum(size)))
     left = np.repeat(at[1:], size) - np.arange(at[-1])  # bytes to the word's end
     found, owner = [], []
     base = np.repeat(np.arange(len(words)), size)
-    for n in GRAMS:
-        h = np.full(max(len(buf) - n + 1, 0), n, np.uint64)
+    for n in (*GRAMS, *HEADS):
+        # n-grams start anywhere, heads where the word does
+        begin = np.arange(max(len(buf) - n + 1, 0)) if n in GRAMS else at[:-1]
+        begin = begin[left[begin] >= n]
+        h = np.full(len(begin), n, np.uint64)
         for k in range(n):
-            h = h * np.uint64(0x100000001B3) + buf[k : k + len(h)] * np.uint64(0x9E3779B97F4A7C15)
-        ok = left[: len(h)] >= n
-        h = h[ok]
+            h = h * np.uint64(0x100000001B3) + buf[begin + k] * np.uint64(0x9E3779B97F4A7C15)
         found.append(((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(BUCKETS))
-        owner.append(base[: len(ok)][ok])
+        owner.append(base[begin])
     found, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return found[order].astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
 
 
-def windows_of(n: int) -> np.ndarray:
-    """First word of every window over n words; the last ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(int(n > 0), np.int64)
-    return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
+def window_starts(sizes: np.ndarray) -> np.ndarray:
+    """Which words of texts of these sizes, one after another, start a window: all up to the last whole one, or the first."""
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(at[-1]) - np.repeat(at[:-1], sizes)
+    return place <= np.repeat(np.maximum(sizes - WINDOW, 0), sizes)
+
+
+def lines(begin: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, mask) of `width` words from each `begin` with the words read in before and after; only places in [low, high) count."""
+    at = begin[:, None] + np.arange(-RUN_IN, width + RUN_IN)
+    inside = (at >= low[:, None]) & (at < high[:, None])
+    return np.where(inside, at, low[:, None]), inside.astype(np.float32)
 
 
 class Net:
@@ -96,41 +108,46 @@ class Net:
         return np.concatenate((x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]), 1).astype(np.float32)
 
     def run(self, gates, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (n, WINDOW, 2 * HIDDEN); gates(t, k): inputs of step t for direction k. keep: gets what the gradient needs."""
+        """States (n, width, 2 * HIDDEN) of lines of RUN_IN + width + RUN_IN words, both directions in step.
+
+        gates(t): the inputs (2, n, 3 * HIDDEN) of word t from either side. keep: gets what the gradient needs.
+        """
         n, h = len(mask), HIDDEN
-        states = np.zeros((n, WINDOW, 2 * h), np.float32)
-        for k, side in enumerate("fb"):
-            u, s = self.p[f"u{side}"], np.zeros((n, h), np.float32)
-            for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
-                x, m = gates(t, k), mask[:, t : t + 1]
-                hu = s @ u
-                zr = 1 / (1 + np.exp(-(x[:, : 2 * h] + hu[:, : 2 * h])))
-                z, r = zr[:, :h], zr[:, h:]
-                c = np.tanh(x[:, 2 * h :] + r * hu[:, 2 * h :])
-                new = s + m * (1 - z) * (c - s)
-                if keep is not None:
-                    keep.append((k, t, s, z, r, c, hu[:, 2 * h :]))
-                s = new
-                states[:, t, k * h : (k + 1) * h] = s
+        steps = mask.shape[1] - RUN_IN
+        u = np.stack((self.p["uf"], self.p["ub"]))
+        states = np.zeros((n, steps - RUN_IN, 2 * h), np.float32)
+        s = np.zeros((2, n, h), np.float32)
+        for t in range(steps):
+            x, m = gates(t), np.stack((mask[:, t], mask[:, -1 - t]))[:, :, None]
+            hu = s @ u
+            zr = 0.5 * np.tanh(0.5 * (x[:, :, : 2 * h] + hu[:, :, : 2 * h])) + 0.5
+            z, r = zr[:, :, :h], zr[:, :, h:]
+            c = np.tanh(x[:, :, 2 * h :] + r * hu[:, :, 2 * h :])
+            new = s + m * (1 - z) * (c - s)
+            if keep is not None:
+                keep.append((s, z, r, c, hu[:, :, 2 * h :], m))
+            s = new
+            if t >= RUN_IN:
+                states[:, t - RUN_IN, :h], states[:, steps - 1 - t, h:] = s[0], s[1]
         return states
 
-    def pool(self, states: np.ndarray, mask: np.ndarray) -> tuple:
+    def attend(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = np.tanh(states @ self.p["att"] + self.p["att_b"])
-        e = a @ self.p["att_v"]
-        e = np.exp(e - e.max(1, keepdims=True)) * mask
-        w = e / e.sum(1, keepdims=True)
-        pooled = (w[:, :, None] * states).sum(1)
-        return pooled @ self.p["out"] + self.p["out_b"][0], a, w, pooled
+        return a, a @ self.p["att_v"]
 
     def loss(self, known, chars, mask, y) -> tuple[float, dict, np.ndarray]:
-        """Mean cross entropy of windows, gradients of the dense parameters, and of the inputs x (n, WINDOW, dims)."""
+        """Mean cross entropy of windows with the words around them, gradients of the dense parameters, and of the inputs."""
         p, h, n = self.p, HIDDEN, len(y)
         x = np.concatenate((p["word"][known], chars), 2)
         g = [x @ p["xf"] + p["bf"], x @ p["xb"] + p["bb"]]
         keep: list = []
-        states = self.run(lambda t, k: g[k][:, t], mask, keep)
-        logit, a, w, pooled = self.pool(states, mask)
-        q = sigmoid(logit)
+        states = self.run(lambda t: np.stack((g[0][:, t], g[1][:, -1 - t])), mask, keep)
+        inside = mask[:, RUN_IN:-RUN_IN]
+        a, e = self.attend(states)
+        e = np.exp(e - e.max(1, keepdims=True)) * inside
+        w = e / e.sum(1, keepdims=True)
+        pooled = (w[:, :, None] * states).sum(1)
+        q = sigmoid(pooled @ p["out"] + p["out_b"][0])
         loss = -np.mean(y * np.log(q + 1e-7) + (1 - y) * np.log(1 - q + 1e-7))
         d = {}
         dl = ((q - y) / n).astype(np.float32)
@@ -144,38 +161,51 @@ class Net:
         d["att"], d["att_b"] = np.einsum("ntd,nta->da", states, da), da.sum((0, 1))
         ds += da @ p["att"].T
         dg = [np.zeros_like(g[0]), np.zeros_like(g[1])]
-        d["uf"], d["ub"] = np.zeros_like(p["uf"]), np.zeros_like(p["ub"])
-        carry = np.zeros((n, h), np.float32)
-        last = None
-        for k, t, s, z, r, c, hc in reversed(keep):
-            if k != last:
-                carry, last = np.zeros((n, h), np.float32), k
-            m = mask[:, t : t + 1]
-            ds_t = carry + ds[:, t, k * h : (k + 1) * h]
+        u = np.stack((p["uf"], p["ub"]))
+        du = np.zeros_like(u)
+        carry = np.zeros((2, n, h), g[0].dtype)
+        steps = len(keep)
+        for t in range(steps - 1, -1, -1):
+            s, z, r, c, hc, m = keep[t]
+            ds_t = carry
+            if t >= RUN_IN:
+                ds_t = carry + np.stack((ds[:, t - RUN_IN, :h], ds[:, steps - 1 - t, h:]))
             dc = ds_t * m * (1 - z) * (1 - c * c)
             dz = -ds_t * m * (c - s) * z * (1 - z)
             dr = dc * hc * r * (1 - r)
-            dh = np.concatenate((dz, dr, dc * r), 1)
-            u = "uf" if k == 0 else "ub"
-            d[u] += s.T @ dh
-            dg[k][:, t] = np.concatenate((dz, dr, dc), 1)
-            carry = ds_t * (1 - m * (1 - z)) + dh @ p[u].T
+            dh = np.concatenate((dz, dr, dc * r), 2)
+            du += s.transpose(0, 2, 1) @ dh
+            own = np.concatenate((dz, dr, dc), 2)
+            dg[0][:, t], dg[1][:, -1 - t] = own[0], own[1]
+            carry = ds_t * (1 - m * (1 - z)) + dh @ u.transpose(0, 2, 1)
         dx = dg[0] @ p["xf"].T + dg[1] @ p["xb"].T
         for k, side in enumerate("fb"):
+            d[f"u{side}"] = du[k]
             d[f"x{side}"], d[f"b{side}"] = np.einsum("ntd,ntg->dg", x, dg[k]), dg[k].sum((0, 1))
         return float(loss), d, dx
 
-    def logits(self, halves: tuple[np.ndarray, np.ndarray], idx: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Logits of the windows of `count` words from `first` over word rows idx into the halves of a table of inputs()."""
-        out = np.zeros(len(first), np.float32)
-        step = np.arange(WINDOW)
-        for lo in range(0, len(first), 1024):
-            f, c = first[lo : lo + 1024], count[lo : lo + 1024]
-            rows = idx[np.minimum(f[:, None] + step, len(idx) - 1)]
-            mask = (step < c[:, None]).astype(np.float32)
-            states = self.run(lambda t, k: halves[k][rows[:, t]], mask)  # noqa: B023
-            out[lo : lo + 1024] = self.pool(states, mask)[0]
-        return out
+    def logits(self, halves: tuple[np.ndarray, np.ndarray], idx: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The logit of the window that starts at each word of texts of `sizes` words, given as rows idx of a table
+        of inputs(); -inf at words near a text's end that start none."""
+        n = len(idx)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        tiles = -(-sizes // TILE)
+        text = np.repeat(np.arange(len(sizes)), tiles)
+        begin = at[text] + TILE * (np.arange(len(text)) - np.repeat(np.cumsum(tiles) - tiles, tiles))
+        weight, value = np.zeros(n + 1), np.zeros(n + 1)
+        for lo in range(0, len(begin), 512):
+            own = text[lo : lo + 512]
+            places, mask = lines(begin[lo : lo + 512], at[own], at[own + 1], TILE)
+            rows = idx[places]
+            states = self.run(lambda t: np.stack((halves[0][rows[:, t]], halves[1][rows[:, -1 - t]])), mask)  # noqa: B023
+            inside = mask[:, RUN_IN:-RUN_IN] > 0
+            there = places[:, RUN_IN:-RUN_IN][inside] + 1
+            weight[there] = np.exp(self.attend(states)[1][inside].astype(np.float64))
+            value[there] = weight[there] * (states @ self.p["out"])[inside]
+        weight, value = np.cumsum(weight), np.cumsum(value)
+        stop = np.minimum(np.arange(n) + WINDOW, np.repeat(at[1:], sizes))
+        out = (value[stop] - value[:n]) / (weight[stop] - weight[:n]) + float(self.p["out_b"][0])
+        return np.where(window_starts(sizes), out, -np.inf)
 
 
 def _halves(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +214,11 @@ def _halves(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(table[:, :w]), np.ascontiguousarray(table[:, w:])
 
 
-def _corpus_windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(idx, first, count, owner) of all windows of texts given as word rows."""
-    idx = np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
-    begin = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    parts = [windows_of(len(d)) for d in docs]
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in parts])
-    first = (np.concatenate(parts) if parts else np.zeros(0, np.int64)) + begin[owner]
-    return idx, first, np.minimum(begin[owner + 1] - first, WINDOW), owner
+def _best(score: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The first place of the largest score of each text that has one over -inf."""
+    most = np.maximum.reduceat(score, begin)
+    hit = np.flatnonzero((score == most[owner]) & (score > -np.inf))
+    return hit[np.unique(owner[hit], return_index=True)[1]]
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3, seed: int = 11) -> Net:
@@ -212,7 +239,11 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     rng = np.random.default_rng(seed)
     names = list(row)
     del row, texts
-    idx, first, count, owner = _corpus_windows(split)
+    sizes = np.array([len(x) for x in split])
+    idx = np.concatenate(split)
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    starts = window_starts(sizes)
     seen = np.bincount(idx, minlength=len(names))
     common = sorted(np.flatnonzero(seen >= 3).tolist(), key=lambda i: (-seen[i], names[i]))[:WORDS]
     net.vocab = {names[i]: k + 1 for k, i in enumerate(common)}
@@ -221,27 +252,34 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     grams, at = gram_buckets(names)
     grams = grams.astype(np.int32)
     lens = np.diff(at)
-    # Word odds by n-gram bucket, over texts: only to choose the first windows.
+    # Odds by n-gram bucket, over texts, shrunk towards none where texts are few: where training starts from.
     pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for own, label in zip(split, y, strict=True):
         (pos if label > 0 else neg)[np.unique(_take(grams, at, np.unique(own)))] += 1
     del split
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
+    base = y.mean()
+    rate = (pos + SHRINK * base) / (pos + neg + SHRINK)
+    odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
+    net.p["char"][:, 0] = odds  # the first coordinate of a bucket starts there, the others at random
     by_word = np.add.reduceat(odds[grams], at[:-1]) / lens
-    summed = by_word[idx]
-    step = np.arange(WINDOW)
-    score = np.zeros(len(first), np.float32)
-    for lo in range(0, len(first), 1 << 16):  # the driver has little memory
-        f, c = first[lo : lo + (1 << 16), None], count[lo : lo + (1 << 16), None]
-        score[lo : lo + (1 << 16)] = np.where(step < c, summed[np.minimum(f + step, len(idx) - 1)], -9).max(1)
+    # A window's first score is the sum of its words' squared positive odds.
+    total = np.concatenate(([0.0], np.cumsum(np.maximum(by_word, 0)[idx] ** 2)))
+    stop = np.minimum(np.arange(len(idx)) + WINDOW, np.repeat(begin + sizes, sizes))
+    score = np.where(starts, total[stop] - total[:-1], -np.inf)
+    del total, stop
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     tick = 0
+    clean = np.flatnonzero(starts & (y[owner] == 0))
     for turn in range(rounds):
-        ranked = np.lexsort((-score, owner))
-        place = np.arange(len(ranked)) - np.searchsorted(owner[ranked], owner[ranked])
-        toxic = y[owner[ranked]] > 0
-        pick = ranked[np.where(toxic, place < 1, place < 1 + (turn > 0))]
-        clean = np.flatnonzero(y[owner] == 0)
+        pick = _best(score, begin, owner)
+        if turn:  # of clean texts also the worst window that the first does not meet
+            rest = score.copy()
+            for k in range(1 - WINDOW, WINDOW):
+                near = pick + k
+                near = near[(near >= 0) & (near < len(owner))]
+                rest[near] = -np.inf
+            second = _best(rest, begin, owner)
+            pick = np.concatenate((pick, second[y[owner[second]] == 0]))
         pick = np.concatenate((pick, rng.choice(clean, min(len(clean), len(pick) // 3))))
         weight_up = np.repeat(pick[y[owner[pick]] > 0], max(1, int((y[owner[pick]] == 0).sum() / max(1, (y[owner[pick]] > 0).sum()) / 3)))
         train = np.concatenate((pick[y[owner[pick]] == 0], weight_up))
@@ -249,15 +287,16 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
             rng.shuffle(train)
             for lo in range(0, len(train), 128):
                 b = train[lo : lo + 128]
-                rows = idx[np.minimum(first[b][:, None] + step, len(idx) - 1)]
-                mask = (step < count[b][:, None]).astype(np.float32)
+                own = owner[b]
+                places, mask = lines(b, begin[own], begin[own] + sizes[own], WINDOW)
+                rows = idx[places]
                 uniq, inv = np.unique(rows, return_inverse=True)
                 inv = inv.reshape(rows.shape)
                 ug = _take(grams, at, uniq)
                 ul = lens[uniq]
                 chars = (np.add.reduceat(net.p["char"][ug], np.concatenate(([0], np.cumsum(ul)[:-1]))) / ul[:, None]).astype(np.float32)
                 kept = np.where(rng.random(len(uniq)) < 0.5, 0, known[uniq])  # half of the words must do with their characters
-                _, d, dx = net.loss(kept[inv], chars[inv], mask, y[owner[b]])
+                _, d, dx = net.loss(kept[inv], chars[inv], mask, y[own])
                 order = np.argsort(inv, axis=None, kind="stable")
                 heads = np.searchsorted(inv.ravel()[order], np.arange(len(uniq)))
                 du = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], heads)
@@ -268,10 +307,8 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
                 for k, grad in d.items():
                     _adam(net.p[k], moments[k], grad, rate)
         table = np.concatenate([net.inputs(names[lo : lo + 20_000]) for lo in range(0, len(names), 20_000)])
-        score = net.logits(_halves(table), idx, first, count)
-    worst = np.full(len(y), -np.inf)
-    np.maximum.at(worst, owner, score)
-    net.scale = _calibrate(worst, y)
+        score = net.logits(_halves(table), idx, sizes)
+    net.scale = _calibrate(np.maximum.reduceat(score, begin), y)
     return net
 
 
@@ -336,18 +373,15 @@ class Scorer:
         if self.net.constant is not None:
             return np.full(len(texts), self.net.constant)
         split = [words_of(t) for t in texts]
-        sizes = [len(s) for s in split]
+        sizes = np.array([len(s) for s in split], np.int64)
         out = np.zeros(len(texts))
-        if not any(sizes):
+        if not sizes.any():
             return out
         rows = self.rows_of([w for s in split for w in s])
-        cut = np.cumsum([0, *sizes])
-        idx, first, count, owner = _corpus_windows([rows[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-        logit = self.net.logits(self.table, idx, first, count)
-        worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, owner, logit)
-        has = np.array(sizes) > 0
-        out[has] = sigmoid(self.net.scale[0] * worst[has] + self.net.scale[1])
+        has = np.flatnonzero(sizes)
+        logit = self.net.logits(self.table, rows, sizes[has])
+        worst = np.maximum.reduceat(logit, np.cumsum(sizes[has]) - sizes[has])
+        out[has] = sigmoid(self.net.scale[0] * worst + self.net.scale[1])
         return out
 
 

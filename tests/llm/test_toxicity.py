@@ -6,28 +6,56 @@ from pyspark.sql import functions as F
 from graphloom.llm import toxicity as T
 
 
-def test_windows_cover_the_text():
-    for n in (0, 1, 31, 32, 33, 48, 49, 500):
-        w = T.windows_of(n)
-        assert {i for f in w for i in range(f, min(f + T.WINDOW, n))} == set(range(n))
-        assert all(b - a <= T.STRIDE for a, b in zip(w, w[1:]))
+def test_a_window_starts_at_every_word():
+    sizes = np.array([1, 32, 33, 100])
+    starts = np.split(T.window_starts(sizes), np.cumsum(sizes)[:-1])
+    assert [np.flatnonzero(s).tolist() for s in starts] == [list(range(max(1, n - T.WINDOW + 1))) for n in sizes]
 
 
-def test_a_window_starts_at_every_word():
-    for n in (1, 32, 33, 100):
-        assert T.windows_of(n).tolist() == list(range(max(1, n - T.WINDOW + 1)))
-    # Two signs up to 31 words apart stand together in some window.
-    w = T.windows_of(200)
-    assert all(any(f <= a and b < f + T.WINDOW for f in w) for a in range(169) for b in (a + 17, a + 31))
+def test_tiles_give_every_window_the_states_of_its_words():
+    """Window logits from running sums over tiles equal a softmax over states found word by word."""
+    net = T.Net(3)
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 40, T.TILE, 3 * T.TILE + 5])
+    table = rng.normal(size=(50, 6 * T.HIDDEN)).astype(np.float32)
+    idx = rng.integers(0, 50, sizes.sum())
+    got = np.split(net.logits(T._halves(table), idx, sizes), np.cumsum(sizes)[:-1])
+
+    def step(s, x, u):
+        h = T.HIDDEN
+        hu = s @ u
+        z, r = T.sigmoid(x[:h] + hu[:h]), T.sigmoid(x[h : 2 * h] + hu[h : 2 * h])
+        return s + (1 - z) * (np.tanh(x[2 * h :] + r * hu[2 * h :]) - s)
+
+    for rows, mine in zip(np.split(idx, np.cumsum(sizes)[:-1]), got, strict=True):
+        n, states = len(rows), []
+        for i in range(n):
+            tile = i // T.TILE * T.TILE
+            f, b = np.zeros(T.HIDDEN), np.zeros(T.HIDDEN)
+            for k in range(max(0, tile - T.RUN_IN), i + 1):
+                f = step(f, table[rows[k], : 3 * T.HIDDEN], net.p["uf"])
+            for k in range(min(n, tile + T.TILE + T.RUN_IN) - 1, i - 1, -1):
+                b = step(b, table[rows[k], 3 * T.HIDDEN :], net.p["ub"])
+            states.append(np.concatenate((f, b)))
+        states = np.array(states)
+        e = np.exp(np.tanh(states @ net.p["att"] + net.p["att_b"]) @ net.p["att_v"])
+        for i in range(n):
+            if i > max(0, n - T.WINDOW):
+                assert mine[i] == -np.inf
+                continue
+            w = e[i : i + T.WINDOW] / e[i : i + T.WINDOW].sum()
+            assert abs(w @ states[i : i + T.WINDOW] @ net.p["out"] + net.p["out_b"][0] - mine[i]) < 1e-4
 
 
 def test_gradients():
     rng = np.random.default_rng(0)
     net = T.Net(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    known = rng.integers(0, 20, (4, T.WINDOW))
-    chars = rng.normal(size=(4, T.WINDOW, T.CHAR_DIM))
-    mask = (np.arange(T.WINDOW) < np.array([32, 5, 1, 17])[:, None]).astype(float)
+    whole = T.WINDOW + 2 * T.RUN_IN
+    known = rng.integers(0, 20, (4, whole))
+    chars = rng.normal(size=(4, whole, T.CHAR_DIM))
+    at, first = np.arange(whole), T.RUN_IN
+    mask = ((at >= np.array([0, 3, first, first])[:, None]) & (at < np.array([whole, first + 5, first + 1, whole - 7])[:, None])).astype(float)
     y = np.array([1.0, 0, 1, 0])
     _, d, dx = net.loss(known, chars, mask, y)
     for k in ("xf", "ub", "uf", "bb", "att", "att_b", "att_v", "out", "out_b"):
@@ -39,24 +67,26 @@ def test_gradients():
         down = net.loss(known, chars, mask, y)[0]
         net.p[k][at] = was
         assert abs((up - down) / (2 * eps) - d[k][at]) < 2e-5, k
-    chars[1, 2, 3] += 1e-3
+    chars[1, 4, 3] += 1e-3
     up = net.loss(known, chars, mask, y)[0]
-    chars[1, 2, 3] -= 2e-3
+    chars[1, 4, 3] -= 2e-3
     down = net.loss(known, chars, mask, y)[0]
-    assert abs((up - down) / 2e-3 - dx[1, 2, T.WORD_DIM + 3]) < 2e-5
+    assert abs((up - down) / 2e-3 - dx[1, 4, T.WORD_DIM + 3]) < 2e-5
 
 
 def test_scoring_equals_the_training_pass():
     net = T.fit([b"you vile clown", b"a calm day", b"vile thing here", b"calm sea and sky"] * 5, [1, 0, 1, 0] * 5, rounds=1, epochs=1)
     words = [b"you", b"vile", b"calm"]
     table = net.inputs(words)
-    one = net.logits(T._halves(table), np.array([0, 1, 2]), np.array([0]), np.array([3]))[0]
-    pad = np.zeros((1, T.WINDOW), int)
-    pad[0, :3] = [net.vocab.get(w, 0) for w in words]
-    chars = np.zeros((1, T.WINDOW, T.CHAR_DIM))
-    chars[0, :3] = net.chars(words)
-    mask = np.zeros((1, T.WINDOW))
-    mask[0, :3] = 1
+    one = net.logits(T._halves(table), np.array([0, 1, 2]), np.array([3]))[0]
+    whole = T.WINDOW + 2 * T.RUN_IN
+    here = slice(T.RUN_IN, T.RUN_IN + 3)
+    pad = np.zeros((1, whole), int)
+    pad[0, here] = [net.vocab.get(w, 0) for w in words]
+    chars = np.zeros((1, whole, T.CHAR_DIM))
+    chars[0, here] = net.chars(words)
+    mask = np.zeros((1, whole))
+    mask[0, here] = 1
     loss = net.loss(pad, chars, mask, np.array([1.0]))[0]
     assert abs(-np.log(T.sigmoid(one) + 1e-7) - loss) < 1e-3
 
@@ -70,8 +100,8 @@ def test_held_out_and_whole_texts(spark):
     far = [r for r in rows if r.held_out and mark.get(r.doc_id) is not None]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
     hit = sum(r.predicted and mark[r.doc_id] for r in far)
-    # About a third of the toxic texts of this table, not English, have no sign that 120 examples could teach.
-    assert hit >= 0.6 * sum(mark[r.doc_id] for r in far) and hit >= 0.8 * sum(r.predicted for r in far)
+    # Measured 0.75 and 0.90: few toxic texts here are not English (some 20 to 50 to learn from in each language).
+    assert hit >= 0.7 * sum(mark[r.doc_id] for r in far) and hit >= 0.8 * sum(r.predicted for r in far)
 
 
 def test_odd_rows(spark):
