@@ -1,9 +1,11 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
 Unit vectors are quantised to int8 with one scale each, and the norm of what that loses is kept. Blocks
-of vectors meet in tiles; a tile's integer product gives every cosine up to a bound made of the two
-losses, and only pairs that may reach the threshold are computed again in double precision. Blocks are
-cells around pivots; tiles whose cones lie too far apart for the threshold are never formed.
+of vectors of one length meet in tiles; a tile's integer product gives every cosine up to a bound made of
+the two losses, and only pairs that may reach the threshold are computed again in double precision. Where a
+length has more vectors than a block holds, blocks are cells around pivots, and a vector goes only to tiles
+of cells whose cone it may reach: with a link to a member, its angle to the pivot is at most the
+cell's radius and the threshold's angle. Data without clusters leave every tile to be formed.
 """
 
 from __future__ import annotations
@@ -15,14 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, prepare, stage
+from graphloom.llm.common import components, prepare, stage, trim
 
-BLOCK = 2048  # rows of a tile's side
-PIVOTS = 256  # at most; a bounded sample of the vectors
+BLOCK = 2048  # rows of a tile's side, at least
+SIDE_BYTES = 16 << 20  # of a tile's side, in double precision, at most (or one row)
+PIVOTS = 1024  # of one length, at most: more only prune better
+PIVOT_BYTES = 16 << 20  # of the pivots of all lengths; lengths beyond it are not pruned
 STRIP = 512  # rows of a tile's product held at once
+EXACT = 1024  # int8 products that float32 sums exactly: 1024 * 127 * 127 is under 2^24
 SLACK = 1e-9  # covers the rounding of the bounds themselves
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(q, scale, loss, size): unit ~ scale * q with q int8; loss = |unit - scale * q|, size = |scale * q|."""
     scale = np.abs(unit).max(1) / 127
@@ -31,24 +41,45 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return q.astype(np.int8), scale, np.linalg.norm(unit - near, axis=1) + SLACK, np.linalg.norm(near, axis=1) + SLACK
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The exact integer products of int8 rows, as floats: sums of at most EXACT terms in float32, more of them in float64."""
+    if left.shape[1] <= EXACT:
+        return left.astype(np.float32) @ right.astype(np.float32).T
+    out = np.zeros((len(left), len(right)))
+    for k in range(0, left.shape[1], EXACT):
+        out += left[:, k : k + EXACT].astype(np.float32) @ right[:, k : k + EXACT].astype(np.float32).T
+    return out
+
+
 def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """(i, j, recomputed): pairs of rows with cosine >= threshold in double precision; j > i if both sides are the same block."""
+    """(i, j, recomputed): pairs of rows with cosine >= threshold in double precision; j > i if both sides are the same block.
+
+    A pair's cosine is at most product * scales + the two losses. Most pairs fail already where the strip's largest
+    scale and losses stand for each row's own; for the rest the bound of the pair decides.
+    """
+    left, right = scaled(left), scaled(right)
     lu, ru = (x / np.linalg.norm(x, axis=1)[:, None] for x in (left, right))
     lq, ls, le, ln = quantise(lu)
     rq, rs, re, rn = quantise(ru)
-    rf = rq.astype(np.float32).T.copy()  # integers below 2^24 are exact in float32
+    del lu, ru
+    order = np.argsort(ls)  # rows of a strip have like scales
+    goal = threshold - SLACK
     found_i, found_j, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for at in range(0, len(left), STRIP):
-        rows = slice(at, at + STRIP)
-        near = (lq[rows].astype(np.float32) @ rf).astype(np.float64) * ls[rows, None] * rs
-        near += le[rows, None] * (rn + re) + ln[rows, None] * re
-        i, j = np.nonzero(near >= threshold - SLACK)
-        i += at
+        rows = order[at : at + STRIP]
+        dot = products(lq[rows], rq)
+        room = goal - le[rows].max() * (rn + re) - ln[rows].max() * re
+        least = room / (np.where(room > 0, ls[rows].max(), ls[rows].min()) * rs)
+        i, j = np.nonzero(dot >= np.nextafter(least.astype(dot.dtype), dot.dtype.type(-np.inf)))
+        part = dot[i, j].astype(np.float64)
+        i = rows[i]
+        ok = part * ls[i] * rs[j] + le[i] * (rn[j] + re[j]) + ln[i] * re[j] >= goal
         if same:
-            i, j = i[j > i], j[j > i]
+            ok &= j > i
+        i, j = i[ok], j[ok]
         again += len(i)
-        for k in range(0, len(i), 1 << 16):
-            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
             x, y = left[a], right[b]
             cos = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
             ok = cos >= threshold
@@ -70,15 +101,24 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _matrix(vec: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of some rows, all of length dim."""
+    flat, at = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
+    return flat[at[rows][:, None] + np.arange(dim)]
+
+
+def _columns(batch: pa.RecordBatch, *at: int) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in at]
+
+
 def _tiles(threshold: float):
-    """mapInArrow over partitions sorted by tile: (p, q, side, node, copies, vec) -> (node, links, root)."""
+    """mapInArrow over partitions sorted by tile: (dim, p, q, side, node, copies, vec) -> (node, links, root)."""
 
     def close(key, held) -> pa.RecordBatch | None:
-        side = np.array([h[0] for h in held])
-        node = np.array([h[1] for h in held])
-        copies = np.array([h[2] for h in held])
-        vec = np.stack([h[3] for h in held]).astype(np.float64)
-        same = key[0] == key[1]
+        side, node, copies = (np.concatenate([h[k] for h in held]) for k in range(3))
+        vec = np.concatenate([h[3] for h in held]).astype(np.float64)
+        held.clear()
+        same = key[1] == key[2]
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         if not len(left) or not len(right):
@@ -95,34 +135,79 @@ def _tiles(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            p, q, side, node, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            vec = batch.column(5)
-            flat, at = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
-            for k in range(len(p)):
-                if (p[k], q[k]) != key:
+            if not batch.num_rows:
+                continue
+            dim, p, q, side, node, copies = _columns(batch, *range(6))
+            new = np.flatnonzero((dim[1:] != dim[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            for lo, hi in zip([0, *new], [*new, len(dim)], strict=True):
+                own = (dim[lo], p[lo], q[lo])
+                if own != key:
                     if held and (out := close(key, held)) is not None:
                         yield out
-                    key, held = (p[k], q[k]), []
-                held.append((side[k], node[k], copies[k], flat[at[k] : at[k + 1]].copy()))
+                    key, held = own, []
+                held.append((side[lo:hi].copy(), node[lo:hi].copy(), copies[lo:hi].copy(), _matrix(batch.column(6), np.arange(lo, hi), dim[lo])))
         if held and (out := close(key, held)) is not None:
             yield out
+        trim()
 
     return run
 
 
-def _cells(pivots: np.ndarray):
-    """mapInArrow: (node, copies, vec) -> the same with the nearest pivot and the angle to it."""
+def _angles(vec: pa.ListArray, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    x = scaled(_matrix(vec, rows, pivots.shape[1]).astype(np.float64))
+    return np.arccos(np.clip((x / np.linalg.norm(x, axis=1)[:, None]) @ pivots.T, -1, 1))
+
+
+def _cells(pivots: dict[int, np.ndarray]):
+    """mapInArrow: (dim, vec) -> (dim, cell, angle): the nearest pivot and the angle to it; cell 0 where there are no pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec = batch.column(2)
-            x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ pivots.T
-            best = cos.argmax(1)
-            angle = np.arccos(np.clip(cos[np.arange(len(x)), best], -1, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(angle)], ["node", "copies", "vec", "cell", "angle"])
+            (dim,) = _columns(batch, 0)
+            cell, angle = np.zeros(len(dim), np.int32), np.zeros(len(dim))
+            for d in pivots.keys() & set(dim.tolist()):
+                rows = np.flatnonzero(dim == d)
+                far = _angles(batch.column(1), rows, pivots[d])
+                cell[rows] = far.argmin(1)
+                angle[rows] = far.min(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array(angle)], ["dim", "cell", "angle"])
+
+    return run
+
+
+def _dealt(pivots: dict[int, np.ndarray], parts: dict[int, np.ndarray], radius: dict[int, np.ndarray], reach: float):
+    """mapInArrow: (dim, node, copies, vec) -> (dim, p, q, side, node, copies, vec), a row for each tile that a vector takes part in.
+
+    Block (cell << 20 | part) p meets q >= p; a cell's vectors are dealt to its parts by their node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, node = _columns(batch, 0, 1)
+            for d in sorted(set(dim.tolist())):
+                rows = np.flatnonzero(dim == d)
+                if d in pivots:
+                    far = _angles(batch.column(3), rows, pivots[d])
+                    cell, own = far.argmin(1), far.min(1)
+                    # A partner in cell q is as near to q's pivot as to any other.
+                    meets = (far <= radius[d] + reach) & (far - own[:, None] <= 2 * reach)
+                    meets[np.arange(len(rows)), cell] = True
+                else:
+                    cell, meets = np.zeros(len(rows), np.int64), np.ones((len(rows), 1), bool)
+                mixed = node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                block = cell.astype(np.int64) << 20 | ((mixed >> np.uint64(33)) % parts[d][cell].astype(np.uint64)).astype(np.int64)
+                at, other = np.nonzero(meets)
+                times = parts[d][other]
+                at, other = np.repeat(at, times), np.repeat(other.astype(np.int64) << 20, times)
+                other |= np.arange(len(other)) - np.repeat(np.cumsum(times) - times, times)
+                mine = block[at]
+                for lo in range(0, len(at), 4096):
+                    a, b = mine[lo : lo + 4096], other[lo : lo + 4096]
+                    take = pa.array(rows[at[lo : lo + 4096]])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((a > b).astype(np.int32)), *[batch.column(k).take(take) for k in (1, 2, 3)]],
+                        ["dim", "p", "q", "side", "node", "copies", "vec"],
+                    )
 
     return run
 
@@ -133,63 +218,63 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     Returns (vec_id, n_links, component_id, kept) for every row; n_links counts other rows linked
     directly, equal rows too. Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing (0 links, their own class), and so do rows with a null id; vectors of different
-    lengths do not link. Equal vectors are compared once, and no pair is sampled or capped. Other
-    columns are ignored; an empty table gives an empty result.
+    lengths do not link, and any number of lengths may occur. Equal vectors (told by 128 bits of hashes) are
+    compared once, and no pair is sampled or capped. Other columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    single = "array<float>" in vectors.schema[vec_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("vec"))
     usable = F.expr(
         "vec_id is not null and coalesce(size(vec), 0) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
         " and exists(vec, x -> x <> 0)"
     )
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    # xxhash64 tells 0.0 from -0.0, so such vectors stay two nodes; they still link by their cosine.
-    good = stage(rows.filter("ok").select("vec_id", F.xxhash64("vec").alias("node"), "vec"), "vectors")
-    distinct = stage(good.groupBy("node").agg(F.count("*").alias("copies"), F.first("vec").alias("vec")), "distinct")
-    dims = [r[0] for r in distinct.select(F.size("vec")).distinct().limit(64).collect()]
-    links = None
-    for dim in dims:
-        own = distinct.filter(F.size("vec") == dim)
-        part = _links(own, threshold)
-        links = part if links is None else links.unionByName(part)
-    out = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if links is not None:
-        links = stage(links, "links")
-        counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-        comp = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        named = good.select("vec_id", "node").join(distinct.select("node", "copies"), "node").join(counted, "node", "left").join(comp, "node", "left")
-        named = named.select("vec_id", F.expr("coalesce(links, 0) + copies - 1").alias("n_links"), F.coalesce("comp", "node").alias("comp"))
-        first = named.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
-        out = out.unionByName(named.join(first, "comp").select("vec_id", "n_links", "component_id"))
+    # The hashes may tell 0.0 from -0.0; such vectors are two nodes then, which link by their cosine.
+    good = rows.filter("ok").select("vec_id", F.xxhash64("vec").alias("k1"), F.xxhash64("vec", F.lit(7)).alias("k2"), "vec")
+    distinct = good.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("vec").alias("vec"))
+    # Numbers are given once, where the table is written.
+    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("node"), "*", F.size("vec").alias("dim")), "distinct")
+    links = stage(_links(distinct, threshold), "links")
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    comp = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = stage(
+        distinct.select("node", "k1", "k2", "copies", "low").join(counted, "node", "left").join(comp, "node", "left")
+        .select("k1", "k2", F.expr("coalesce(links, 0) + copies - 1").alias("n_links"), F.coalesce("comp", "node").alias("comp"), "low"), "named")
+    # Written first, so that the join below reads two plain exchanges, of which a hot class can be split.
+    first = stage(named.groupBy("comp").agg(F.min("low").alias("component_id")), "first")
+    named = stage(named.join(first, "comp").select("k1", "k2", "n_links", "component_id"), "classes")
+    out = good.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _links(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) of all tiles of vectors of one length."""
+    """(node, links, root) of all tiles. The driver sees counts by length and cell, and the pivots."""
     spark = distinct.sparkSession
-    total = distinct.count()
-    k = max(1, min(PIVOTS, -(-total // BLOCK)))
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(k).collect()
-    pivots = np.array([r.vec for r in sample], np.float64)
-    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
-    celled = stage(distinct.select("node", "copies", "vec").mapInArrow(_cells(pivots), "node long, copies long, vec array<double>, cell int, angle double"), "cells")
-    cells = {r.cell: (r.n, r.radius) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
-    parts = {c: -(-n // BLOCK) for c, (n, _) in cells.items()}
-    angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    reach = np.arccos(threshold) + 1e-6
-    # Which cells meet (at most PIVOTS squared pairs of cells); blocks of a cell follow from its parts.
-    meet = [(p, q, parts[p], parts[q]) for p in sorted(cells) for q in sorted(cells) if p <= q and angles[p, q] <= cells[p][1] + cells[q][1] + reach]
-    pairs = spark.createDataFrame(meet, "p int, q int, np long, nq long")
-    own = celled.join(F.broadcast(spark.createDataFrame(list(parts.items()), "cell int, parts long")), "cell")
-    own = own.withColumn("sub", F.expr("pmod(xxhash64(node, 7), parts)"))
-    left = own.join(F.broadcast(pairs), F.col("cell") == F.col("p")).select(
-        "p", "q", F.lit(0).alias("side"), "node", "copies", "vec", "sub", F.explode(F.expr("sequence(if(p = q, sub, 0), nq - 1)")).alias("other")
+    counts = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    # Blocks as large as memory allows cost the least shuffle, as long as there are some tiles for every core.
+    even = -(-sum(counts.values()) // int(np.ceil(np.sqrt(6 * tasks))))
+    block = {d: max(1, min(SIDE_BYTES // (8 * d), max(BLOCK, even))) for d in counts}
+    pivots, room = {}, PIVOT_BYTES
+    for d, n in sorted(counts.items(), key=lambda x: -x[1]):
+        k = min(PIVOTS, -(-n // block[d]), room // (8 * d))
+        if k > 1:
+            chosen = distinct.filter(F.col("dim") == d).filter(F.expr(f"pmod(xxhash64(k1), 1000000007) < {2 * k / n * 1000000007}"))
+            chosen = np.array([r.vec for r in chosen.select("vec").limit(4 * k).collect()][:k], np.float64)
+            if len(chosen):
+                chosen = scaled(chosen)
+                pivots[d] = chosen / np.linalg.norm(chosen, axis=1)[:, None]
+                room -= pivots[d].nbytes
+    found = distinct.select("dim", "vec").mapInArrow(_cells(pivots), "dim int, cell int, angle double") if pivots else distinct.select("dim", F.lit(0).alias("cell"), F.lit(0.0).alias("angle"))
+    parts = {d: np.zeros(len(pivots.get(d, "1")), np.int64) for d in counts}
+    radius = {d: np.full(len(x), -np.inf) for d, x in parts.items()}
+    for r in found.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():
+        parts[r.dim][r.cell] = -(-r.n // block[r.dim])
+        radius[r.dim][r.cell] = r.radius
+    tiles = sum(int(x.sum()) * (int(x.sum()) + 1) // 2 for x in parts.values())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(3 * tiles, 20_000))
+    dealt = distinct.select("dim", "node", "copies", "vec").mapInArrow(
+        _dealt(pivots, parts, radius, float(np.arccos(threshold)) + 1e-6), f"dim int, p long, q long, side int, node long, copies long, vec {distinct.schema['vec'].dataType.simpleString()}"
     )
-    right = own.join(F.broadcast(pairs), F.col("cell") == F.col("q")).select(
-        "p", "q", F.lit(1).alias("side"), "node", "copies", "vec", "sub", F.explode(F.expr("sequence(0, if(p = q, sub, np) - 1)")).alias("other")
-    ).filter("p <> q or other < sub")
-    one = left.select(F.expr("p * 1048576L + sub").alias("p"), F.expr("q * 1048576L + other").alias("q"), "side", "node", "copies", "vec")
-    two = right.select(F.expr("p * 1048576L + other").alias("p"), F.expr("q * 1048576L + sub").alias("q"), "side", "node", "copies", "vec")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = one.unionByName(two).repartition(n, "p", "q").sortWithinPartitions("p", "q")
-    return tiles.mapInArrow(_tiles(threshold), "node long, links long, root long")
+    return dealt.repartition(n, "dim", "p", "q").sortWithinPartitions("dim", "p", "q").mapInArrow(_tiles(threshold), "node long, links long, root long")

@@ -42,10 +42,43 @@ def test_bound_is_rigorous():
     assert len(i) <= again < 300 * 300 // 20
 
 
+def test_bound_holds_in_long_vectors():
+    """Flat vectors of 1,536 components, whose integer products pass 2^24, at the threshold of their own cosine."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x = rng.choice([-1.0, 1.0], (2, 1536))
+        x[1, 40:] = x[0, 40:]
+        cos = float(x[0] @ x[1] / (np.sqrt(x[0] @ x[0]) * np.sqrt(x[1] @ x[1])))
+        i, j, _ = embed.tile_links(x[:1], x[1:], cos, False)
+        assert len(i) == 1
+    big = rng.normal(size=(3, 8)) * np.array([[1e-200], [1.0], [1e200]])
+    big[1], big[2] = big[0] * 1e200, big[0] * 1e300
+    assert len(embed.tile_links(big, big, 0.999, True)[0]) == 3
+
+
+def test_many_lengths(spark):
+    rows = [(100 * d + k, [1.0 + k] * d) for d in range(1, 71) for k in range(2)]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 140 and all(r.n_links == 1 and r.component_id == r.vec_id // 100 * 100 for r in got)
+
+
+def test_clusters_are_pruned_without_loss(spark, monkeypatch):
+    """Tight clusters over several cells and parts: fewer rows are dealt than tiles would take, and no link is lost."""
+    monkeypatch.setattr(embed, "BLOCK", 16)
+    monkeypatch.setattr(embed, "SIDE_BYTES", 16 * 8 * 32)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 32))
+    x = centre[rng.integers(0, 12, 300)] + rng.normal(size=(300, 32)) * 0.15
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=str) == brute(rows)
+
+
 @pytest.mark.parametrize("block", [2048, 40])
 def test_whole_table(spark, sf, monkeypatch, block):
     monkeypatch.setattr(embed, "BLOCK", block)
-    t = spark.read.parquet(f"{sf}/embeddings.parquet").limit(400)
+    monkeypatch.setattr(embed, "SIDE_BYTES", block * 8 * 64)
+    t = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in t.collect()]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embed.near_duplicates(t).collect()), key=str)
     assert got == brute(rows)
