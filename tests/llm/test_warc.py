@@ -40,11 +40,60 @@ def test_hostile_and_odd_rows(spark, tmp_path):
     assert warc.digest(pages.withColumn("url", F.lit(None).cast("string"))).count() == len(rows)
 
 
+def by_hand(data: bytes) -> list[int]:
+    """Offsets of the records of a file, one after another."""
+    at, out = 0, []
+    while at < len(data):
+        out.append(at)
+        stop = data.index(b"\r\n\r\n", at)
+        size = next(int(x.split(b":")[1]) for x in data[at:stop].split(b"\r\n") if x.lower().startswith(b"content-length"))
+        at = stop + 4 + size + 4
+    return out
+
+
+@pytest.mark.parametrize("split", [97, 1000])
+def test_splits_anywhere(spark, tmp_path, split):
+    """Files cut into splits at any byte, with magic, whole records and line ends inside payloads."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(k, "x" * (k % 7) + ("\r\n" * (k % 4)) + (inner * (k % 3) if k % 2 else "\r\n\r\n" + inner) + "\r\n" * (k % 5)) for k in range(40)]
+    rows += [(100, "\r\n\r\n" + inner * 30), (101, "\r\n\r\nWARC/1.1 no header\r\n\r\nWARC/1."), (102, "\r\n\r\n")]
+    path = warc.write(spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert got == dict(rows)
+    (file,) = (tmp_path / "w").glob("part-*")
+    assert len(by_hand(file.read_bytes())) == len(rows)
+
+
+def test_damage_fails(spark, tmp_path):
+    path = warc.write(spark.createDataFrame([(k, "u", "text " * 20) for k in range(9)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = file.read_bytes()
+    (tmp_path / "w" / f".{file.name}.crc").unlink()
+    for bad in (data[:-40], data[40:], data.replace(b"Content-Length: 100", b"Content-Length: 101", 1), data.replace(b"text text", b"tert text", 1)):
+        file.write_bytes(bad)
+        with pytest.raises(Exception, match="chain|damaged|missing"):
+            warc.read(spark, path).collect()
+
+
+def test_many_copies_go_through_the_filter(spark):
+    rows = [(k, "u", "z" * (1000 + k % 50)) for k in range(2000)] + [(5000 + k, "u", f"{k} " * 600) for k in range(50)]
+    got = sorted((tuple(r) for r in warc.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    assert got == expected([(p, h) for p, _, h in rows])
+
+
 def test_chain():
     here, after = np.array([0, 5, 10, 12, 30]), np.array([10, 7, 30, 30, 40])
-    assert warc.reachable(here, after, 40).tolist() == [True, False, True, False, True]
-    with pytest.raises(ValueError):
-        warc.reachable(here, after, 41)
-    with pytest.raises(ValueError):
-        warc.reachable(np.array([3]), np.array([9]), 9)
-    assert warc.reachable(np.array([], np.int64), np.array([], np.int64), 0).tolist() == []
+    assert warc.reached(here, after, 0).tolist() == [True, False, True, False, True]
+    assert warc.reached(here, after, 12).tolist() == [False, False, False, True, True]
+    assert not warc.reached(here, after, -1).any()
+    assert warc.exits(here, after, 40).tolist() == [40, -1, 40, 40, 40]
+    assert warc.exits(here, after, 30).tolist() == [30, -1, 30, 30, 40]
+    none = np.array([], np.int64)
+    assert warc.exits(none, none, 9).tolist() == [] == warc.reached(none, none, 0).tolist()
