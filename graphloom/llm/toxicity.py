@@ -27,13 +27,14 @@ from graphloom.llm.common import pieces, prepare, text_bytes, trim
 WINDOW = 32  # words; a window starts at every word
 TILE, RUN_IN = 64, 16  # words whose states one recurrence gives, and words that it reads before them
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 12, 8, 8, 8
-WORDS, BUCKETS = 8192, 1 << 16  # known words; buckets of character n-grams
+WORDS, BUCKETS = 8192, 1 << 16  # known words; buckets of character n-grams (16 bits)
 GRAMS, HEADS = (3, 4, 5), (6, 7, 8)  # bytes of character n-grams, and of beginnings of words
 #: The bounded sample of labelled rows that the network is fitted on: rows of each label, bytes of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 3000, 5000, 8192
 SHRINK = 10  # texts without evidence that count with those of a bucket
 THRESHOLD = 0.3
 SPAN = 1 << 19
+PART = 20_000  # words handled at once while fitting
 MEMORY = 80_000  # words whose inputs a worker remembers
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or chr(c).isalnum() else 32) for c in range(256))
 
@@ -101,10 +102,16 @@ class Net:
         b, at = gram_buckets(words)
         return np.add.reduceat(self.p["char"][b], at[:-1]) / np.diff(at)[:, None]
 
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """What enters for each word: its embedding and that of its characters."""
+        known = np.array([self.vocab.get(w, 0) for w in words])
+        return np.concatenate((self.p["word"][known], self.chars(words)), 1, dtype=np.float32)
+
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """The gates' inputs of both directions for each word."""
-        known = np.array([self.vocab.get(w, 0) for w in words])
-        x = np.concatenate((self.p["word"][known], self.chars(words)), 1)
+        return self.gates(self.vectors(words))
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]), 1).astype(np.float32)
 
     def run(self, gates, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -249,9 +256,14 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     net.vocab = {names[i]: k + 1 for k, i in enumerate(common)}
     known = np.zeros(len(names), np.int32)
     known[common] = np.arange(1, len(common) + 1)
-    grams, at = gram_buckets(names)
-    grams = grams.astype(np.int32)
-    lens = np.diff(at)
+    # The driver has little memory: words, and later texts, are taken in parts.
+    grams, lens = [], []
+    for lo in range(0, len(names), PART):
+        b, edges = gram_buckets(names[lo : lo + PART])
+        grams.append(b.astype(np.uint16))
+        lens.append(np.diff(edges))
+    grams, lens = np.concatenate(grams), np.concatenate(lens)
+    at = np.concatenate(([0], np.cumsum(lens)))
     # Odds by n-gram bucket, over texts, shrunk towards none where texts are few: where training starts from.
     pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for own, label in zip(split, y, strict=True):
@@ -261,11 +273,11 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
     rate = (pos + SHRINK * base) / (pos + neg + SHRINK)
     odds = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
     net.p["char"][:, 0] = odds  # the first coordinate of a bucket starts there, the others at random
-    by_word = np.add.reduceat(odds[grams], at[:-1]) / lens
+    by_word = np.concatenate([np.add.reduceat(odds[grams[at[lo] : at[min(lo + PART, len(names))]]], at[lo : lo + PART][: len(names) - lo] - at[lo]) for lo in range(0, len(names), PART)]) / lens
     # A window's first score is the sum of its words' squared positive odds.
     total = np.concatenate(([0.0], np.cumsum(np.maximum(by_word, 0)[idx] ** 2)))
     stop = np.minimum(np.arange(len(idx)) + WINDOW, np.repeat(begin + sizes, sizes))
-    score = np.where(starts, total[stop] - total[:-1], -np.inf)
+    score = np.where(starts, total[stop] - total[:-1], -np.inf).astype(np.float32)
     del total, stop
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     tick = 0
@@ -306,8 +318,12 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 3,
                 d["char"] = (ug, np.repeat(du[:, WORD_DIM:] / ul[:, None], ul, axis=0))
                 for k, grad in d.items():
                     _adam(net.p[k], moments[k], grad, rate)
-        table = np.concatenate([net.inputs(names[lo : lo + 20_000]) for lo in range(0, len(names), 20_000)])
-        score = net.logits(_halves(table), idx, sizes)
+        table = np.concatenate([net.vectors(names[lo : lo + PART]) for lo in range(0, len(names), PART)])
+        for lo in range(0, len(sizes), 500):
+            here = slice(begin[lo], begin[lo] + sizes[lo : lo + 500].sum())
+            own, place = np.unique(idx[here], return_inverse=True)
+            score[here] = net.logits(_halves(net.gates(table[own])), place, sizes[lo : lo + 500])
+        del table
     net.scale = _calibrate(np.maximum.reduceat(score, begin), y)
     return net
 
