@@ -15,9 +15,10 @@ from graphloom.session import share_code
 
 KEEP = ("staircase", "corridor", "entrance_hall")
 DEPTH = 20
+EXPLORE = 1.414  # fixed value: weight of the exploration term
 
 
-def uct(total: Column, visits: Column, parent_visits: Column, c: float = 1.4) -> Column:
+def uct(total: Column, visits: Column, parent_visits: Column, c: float = EXPLORE) -> Column:
     """Mean reward plus c * sqrt(ln(parent visits) / visits); unvisited is infinite."""
     q = total / F.greatest(F.lit(1), visits)
     return F.when(visits == 0, F.lit(float("inf"))).otherwise(q + c * F.sqrt(F.ln(F.greatest(F.lit(1), parent_visits)) / F.greatest(F.lit(1), visits)))
@@ -114,7 +115,7 @@ def search(types: list[str], links: list[tuple[int, int]], score: Callable, sims
     for _ in range(sims):
         x = root
         while not x["todo"] and x["kids"]:
-            x = max(x["kids"], key=lambda k: k["t"] / max(1, k["v"]) + 1.4 * math.sqrt(math.log(max(1, k["up"]["v"])) / max(1, k["v"])) if k["v"] else math.inf)
+            x = max(x["kids"], key=lambda k: k["t"] / max(1, k["v"]) + EXPLORE * math.sqrt(math.log(max(1, k["up"]["v"])) / max(1, k["v"])) if k["v"] else math.inf)
         if x["todo"] and x["d"] < DEPTH:
             kind, what = x["todo"].pop(0)
             rooms, gone = x["s"]
@@ -154,7 +155,7 @@ def search_graphs(nodes: DataFrame, links: DataFrame, sims: int = 200, sparsity:
         return pa.table([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=["graph_id", "kept", "dropped_edges", "reward", "baseline", "delta"])
 
     a = nodes.select("graph_id", "room_id", "room_type").groupBy("graph_id")
-    b = links.select("graph_id", "node", "nbr").groupBy("graph_id")
+    b = links.select("graph_id", "node", "nbr").toDF("graph_id", "node", "nbr").groupBy("graph_id")  # attributes of its own: both sides may come from one frame
     return a.cogroup(b).applyInArrow(run, f"graph_id {kind}, kept array<long>, dropped_edges long, reward double, baseline double, delta double")
 
 

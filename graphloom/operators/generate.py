@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import hash_uniform
-from graphloom.llm.common import stage
 from graphloom.model import RULES, GraphTables, catalog
 from graphloom.operators import constraints as C
 from graphloom.operators import topology as J
+from graphloom.session import held
 
 # Rooms of each school size, the rooms a typical floor may hold, and the least it must.
 PROGRAM = {
@@ -136,13 +136,26 @@ def allocate_areas(nodes: DataFrame) -> DataFrame:
 
 
 def place(nodes: DataFrame, seed_col: str = "seed") -> DataFrame:
-    """Centroids: a slice of y a typical floor; stairs at a west, centre or east position, other rooms along x by zone."""
-    u = lambda what: hash_uniform(F.col(seed_col), F.col("room_name"), what)
-    lo = F.when(F.col("typical_floor") == "ground", 20.0).when(F.col("typical_floor") == "teaching", 60.0).otherwise(110.0)
-    stair = F.element_at(F.array(*[F.lit(v) for v in (25.0, 100.0, 175.0)]), (F.floor(u("stair") * 3) + 1).cast("int"))
-    left = F.when(F.col("zone") == "admin", 10.0).when(F.col("zone") == "special", 110.0).otherwise(20.0)
-    x = F.when(F.col("room_type") == "staircase", stair).when(F.col("room_type") == "corridor", 20 + 160 * u("x")).otherwise(left + 70 * u("x"))
-    return nodes.withColumns({"x": x, "y": lo + 30 * u("y")})
+    """Centroids within the site: a slice of y for each typical floor the graph has (ground, teaching, top upwards).
+
+    Ground: administration west, special rooms and the cafeteria east, the entrance hall at the west end, others around the
+    middle. Above: teaching rooms over the slice's centre, special rooms under it, corridors and stairs on it, stairs at the
+    west end, the middle or the east end."""
+    x0, y0, x1, y1 = RULES["site"]
+    u = lambda what, lo, hi: lo + (hi - lo) * hash_uniform(F.col(seed_col), F.col("room_name"), what)
+    mid = (x0 + x1) / 2
+    ground, kind, zone = F.col("typical_floor") == "ground", F.col("room_type"), F.col("zone")
+    d = nodes.withColumn("_slice", (y1 - y0) / F.size(F.collect_set("typical_floor").over(Window.partitionBy("graph_id"))))
+    rank = F.when(ground, 0).when(F.col("typical_floor") == "teaching", 1).otherwise(2)
+    base = y0 + (rank + 0.5) * F.col("_slice")
+    third = F.floor(u("stair", 0.0, 3.0)).cast("int")
+    east = (zone == "special") | (kind == "cafeteria")
+    low_x = F.when(zone == "admin", u("x", x0 + 10, x0 + 50)).when(east, u("x", x1 - 50, x1 - 10)).when(kind == "entrance_hall", F.lit(x0 + 10)).otherwise(u("x", mid - 40, mid + 40))
+    low_y = F.when((zone == "admin") | east, u("y", -10.0, 10.0)).when(kind == "entrance_hall", 0.0).otherwise(u("y", -5.0, 5.0))
+    side = u("x", x0 + 10, x1 - 10)
+    up_x = F.when(zone.isin("teaching", "special"), side).when(kind == "corridor", u("x", mid - 30, mid + 30)).when(kind == "staircase", F.when(third == 0, x0 + 10).when(third == 1, mid).otherwise(x1 - 10)).otherwise(side)
+    up_y = F.when(zone == "teaching", F.col("_slice") * u("y", 0.1, 0.4)).when(zone == "special", -F.col("_slice") * u("y", 0.05, 0.35)).when(kind.isin("corridor", "staircase"), 0.0).otherwise(u("y", -10.0, 10.0))
+    return d.withColumns({"x": F.when(ground, low_x).otherwise(up_x), "y": base + F.when(ground, low_y).otherwise(up_y)}).drop("_slice")
 
 
 def environment(graphs: DataFrame, road_side: str = "west") -> DataFrame:
@@ -176,9 +189,9 @@ def build(graphs: DataFrame, seed: int = 42) -> GraphTables:
     w = Window.partitionBy("graph_id").orderBy("floor_lo", "type_idx", "number")
     n = n.withColumns({"ord": F.row_number().over(w), "floor": F.col("floor_lo"), "occupancy": F.greatest(F.lit(1), F.floor(F.col("area") / F.col("density")).cast("int"))}).withColumn("room_id", F.col("ord").cast("long"))
     n = n.drop("school_size", "num_floors", "split", "seed", "count")
-    n = stage(n, "rooms")  # thirteen rules start from it
-    g = GraphTables(graphs, n, stage(environment(graphs), "environment"), n.limit(0))
-    return g.with_(edges=stage(J.apply_rules(g, seed=seed, keep=lambda d: stage(d, "rule")), "edges"))
+    n = held(n)  # thirteen rules start from it
+    g = GraphTables(graphs, n, held(environment(graphs)), n.limit(0))
+    return g.with_(edges=held(J.apply_rules(g, seed=seed, keep=held)))
 
 
 def with_retries(graphs: DataFrame, attempts: int = ATTEMPTS) -> tuple[GraphTables, DataFrame]:
@@ -189,7 +202,7 @@ def with_retries(graphs: DataFrame, attempts: int = ATTEMPTS) -> tuple[GraphTabl
     each = each.withColumns({"_g": F.col("graph_id"), "graph_id": F.col("graph_id") * attempts + F.col("attempt"), "seed": F.col("seed") + 1000 * F.col("attempt")})
     t = build(each.drop("attempt", "_g"))
     st = C.status(t).groupBy("graph_id").agg(F.bool_and("passed").alias("all_passed"), F.sum("n_violations").alias("violations"))
-    best = stage(best_attempt(st.join(each.select("graph_id", F.col("_g").alias("source"), "attempt"), "graph_id")), "best")
+    best = held(best_attempt(st.join(each.select("graph_id", F.col("_g").alias("source"), "attempt"), "graph_id")))
     keep = best.select("graph_id")
     pick = lambda d: d.join(keep, "graph_id", "left_semi")
     return GraphTables(pick(t.graphs), pick(t.nodes), pick(t.env), pick(t.edges)), best

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 FLOOR_ORDER = {"ground": 0, "teaching": 1, "top": 2}
 FIXED_WIDTH = {"staircase": 4.0, "toilet": 5.5}
-#: Patterns used where no motif dictionary is there (name, room type, count).
-DEFAULT_PATTERNS = (("classroom unit", "classroom", 6), ("service core", "toilet", 1), ("vertical core", "staircase", 2), ("office group", "office", 3), ("special group", "special_classroom", 3))
+#: Patterns used where no motif dictionary is there (id, frequency, percentage, rooms).
+DEFAULT_PATTERNS = (
+    ("P1", 10, 0.3, {"classroom": 4, "corridor": 1}), ("P2", 8, 0.25, {"classroom": 2}), ("P3", 6, 0.2, {"classroom": 2, "teacher_office": 1}),
+    ("P4", 5, 0.15, {"staircase": 1, "toilet": 1}), ("P5", 4, 0.1, {"special_classroom": 2, "music_room": 1}),
+)
+#: Width and depth of a placed room by type; (6, 6) for others.
+DEFAULT_SIZES = {
+    "classroom": (8, 8), "special_classroom": (8, 10), "music_room": (9, 9), "library": (10, 10), "office": (4, 6), "teacher_office": (5, 8),
+    "corridor": (3, 30), "staircase": (4, 8), "toilet": (4, 5), "storage": (3, 4), "entrance_hall": (6, 8),
+}
 
 
 def floor_rank() -> Column:
@@ -73,11 +81,12 @@ def strips(nodes: DataFrame, width: float = 50.0, per_row: int = 6) -> DataFrame
     return d.withColumn("x0", F.coalesce(F.sum("w").over(r.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_i")
 
 
-def even_positions(nodes: DataFrame, width: float) -> DataFrame:
-    """(…, cx): one room in the middle, two at the ends, more at the centres of equal segments."""
+def even_positions(nodes: DataFrame, width: float, own: float = FIXED_WIDTH["toilet"]) -> DataFrame:
+    """(…, cx): centres of rooms of width `own` in a row: one in the middle, two flush with the ends, more at the centres
+    of equal segments."""
     g = Window.partitionBy("graph_id", "typical_floor")
     i, n = F.row_number().over(g.orderBy("ord")) - 1, F.count("*").over(g)
-    return nodes.withColumn("cx", F.when(n == 1, width / 2).when(n == 2, i * width).otherwise((i + 0.5) * width / n))
+    return nodes.withColumn("cx", F.when(n == 1, width / 2).when(n == 2, own / 2 + i * (width - own)).otherwise((i + 0.5) * width / n))
 
 
 def floor_plan(nodes: DataFrame, height: float = 7.0, spine: float = 2.4) -> DataFrame:
@@ -104,27 +113,57 @@ def grid(n: int, rows: int, spark: SparkSession) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), (F.col("id") % per).alias("col"), F.expr(f"id div {per}").alias("row"))
 
 
+def _pattern(name: str, rooms: dict) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("pattern"), F.lit(t).alias("room_type"), (n if isinstance(n, Column) else F.lit(n)).cast("int").alias("count")) for t, n in rooms.items()])
+
+
 def sub_patterns(comp: DataFrame) -> DataFrame:
-    """(motif_id, pattern, room_type, count) from compositions (motif_id, room_type, mean): units of up to six, halves
-    from eight on, and up to three of the special types."""
-    n = F.round("mean").cast("int")
-    c = comp.withColumn("n", n).filter("n >= 1")
-    unit = c.filter("room_type = 'classroom'").select("motif_id", F.lit("unit").alias("pattern"), "room_type", F.least(F.lit(6), F.col("n")).alias("count"))
-    half = c.filter("room_type = 'classroom' and n >= 8").select("motif_id", F.lit("half").alias("pattern"), "room_type", F.expr("cast(n div 2 as int)").alias("count"))
-    core = c.filter("room_type in ('staircase', 'toilet')").select("motif_id", F.lit("core").alias("pattern"), "room_type", F.col("n").alias("count"))
-    rest = c.filter("room_type in ('office', 'teacher_office', 'special_classroom', 'music_room')").select("motif_id", F.lit("special").alias("pattern"), "room_type", F.least(F.lit(3), F.col("n")).alias("count"))
-    return unit.unionByName(half).unionByName(core).unionByName(rest)
+    """(motif_id, pattern, room_type, count) from compositions (motif_id, room_type, mean), means truncated: a teaching unit
+    U1 of up to six classrooms from four on, U2 of half of them from eight on, a core C1 of a staircase and a toilet, an office
+    pair O1, up to three special classrooms S1; the default patterns where none of them comes about."""
+    whole = comp.filter("mean >= 0.5").withColumn("_n", F.col("mean").cast("int"))
+    n = lambda t: F.coalesce(F.max(F.when(F.col("room_type") == t, F.col("_n"))), F.lit(0))
+    kinds = ("classroom", "staircase", "toilet", "office", "teacher_office", "special_classroom")
+    c = comp.select("motif_id").distinct().join(whole.groupBy("motif_id").agg(*[n(t).alias(t) for t in kinds]), "motif_id", "left").fillna(0, list(kinds))
+    room, none = F.col("classroom"), F.array().cast("array<struct<pattern:string,room_type:string,count:int>>")
+    part = lambda ok, *a: F.when(ok, _pattern(*a)).otherwise(none)
+    found = F.concat(
+        part(room >= 4, "U1", {"classroom": F.least(F.lit(6), room), "corridor": 1, "toilet": 1}),
+        part(room >= 8, "U2", {"classroom": F.floor(room / 2), "corridor": 1}),
+        part((F.col("staircase") >= 1) & (F.col("toilet") >= 1), "C1", {"staircase": 1, "toilet": 1}),
+        part(F.col("office") + F.col("teacher_office") >= 2, "O1", {"office": 2}),
+        part(F.col("special_classroom") >= 1, "S1", {"special_classroom": F.least(F.lit(3), F.col("special_classroom"))}),
+    )
+    plain = F.concat(*[_pattern(p, rooms) for p, _, _, rooms in DEFAULT_PATTERNS])
+    return c.select("motif_id", F.inline(F.when(F.size(found) > 0, found).otherwise(plain)))
 
 
 def default_patterns(spark: SparkSession) -> DataFrame:
-    """The patterns to use without a dictionary (returned, where the original returned nothing)."""
-    return spark.createDataFrame(list(DEFAULT_PATTERNS), "pattern string, room_type string, count int")
+    """(pattern, room_type, count, frequency, percentage) of the patterns without a dictionary (returned, where the original returned nothing)."""
+    return spark.createDataFrame([(p, t, n, f, s) for p, f, s, rooms in DEFAULT_PATTERNS for t, n in rooms.items()], "pattern string, room_type string, count int, frequency int, percentage double")
 
 
 def top_types(comp: DataFrame, k: int = 5, cap: int = 6) -> DataFrame:
-    """Of each motif the k most frequent types, at most `cap` rooms each."""
+    """(motif_id, room_type, count): of each motif the k most frequent types but corridors (ties by type), as many rooms as
+    the mean truncates to, from one to `cap`."""
     w = Window.partitionBy("motif_id").orderBy(F.desc("mean"), "room_type")
-    return comp.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("motif_id", "room_type", F.least(F.lit(cap), F.greatest(F.lit(1), F.round("mean").cast("int"))).alias("count"))
+    n = F.greatest(F.lit(1), F.least(F.col("mean").cast("int"), F.lit(cap)))
+    return comp.filter("room_type <> 'corridor'").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).select("motif_id", "room_type", n.alias("count"), "k")
+
+
+def template(comp: DataFrame, wrap: float = 40.0) -> DataFrame:
+    """(motif_id, i, room_type, x, y, w, h): the rooms of top_types() side by side, 0.3 apart; a new line, one below the last
+    room, begins once the line passes `wrap`. A motif has at most 30 rooms."""
+    size = "map(" + ", ".join(f"'{t}', named_struct('w', {w}D, 'h', {h}D)" for t, (w, h) in DEFAULT_SIZES.items()) + ")"
+    lists = top_types(comp).groupBy("motif_id").agg(F.expr("flatten(transform(array_sort(collect_list(struct(k, room_type, count))), s -> array_repeat(s.room_type, s.count)))").alias("t"))
+    step = (
+        f"aggregate(transform(t, r -> named_struct('t', r, 'd', coalesce(try_element_at({size}, r), named_struct('w', 6D, 'h', 6D)))),"
+        " named_struct('x', 0D, 'y', 0D, 'out', cast(array() as array<struct<room_type:string,x:double,y:double,w:double,h:double>>)),"
+        " (a, r) -> named_struct("
+        f"'x', if(a.x + r.d.w + 0.3D > {wrap}D, 0D, a.x + r.d.w + 0.3D), 'y', if(a.x + r.d.w + 0.3D > {wrap}D, a.y + r.d.h + 1D, a.y),"
+        " 'out', concat(a.out, array(named_struct('room_type', r.t, 'x', a.x, 'y', a.y, 'w', r.d.w, 'h', r.d.h)))), a -> a.out)"
+    )
+    return lists.select("motif_id", F.posexplode(F.expr(step)).alias("i", "r")).select("motif_id", "i", "r.*")
 
 
 def place_pattern(canvas: DataFrame, pattern: DataFrame, x: float, y: float, step: float = 9.0, wrap: int = 6) -> DataFrame:

@@ -94,11 +94,11 @@ def space_type_diversity(g: GraphTables) -> DataFrame:
 def vertical_flow_balance(g: GraphTables, compat: bool = True) -> DataFrame:
     """1 less the sample deviation over the mean of stairs a floor, at least 0; floors without any count.
 
-    compat counts toilets, whose index the original takes for stairs'. 1 for a single floor, 0.5 where there are none."""
+    compat counts toilets, whose index the original takes for stairs'. 1 for a single floor, and where there are none."""
     kind = "toilet" if compat else "staircase"
     mid = half_even((F.col("floor_lo") + F.col("floor_hi")) / 2).alias("f")
     f = g.nodes.select("graph_id", mid, (F.col("room_type") == kind).cast("long").alias("k")).groupBy("graph_id", "f").agg(F.sum("k").alias("k"))
-    v = F.when(F.avg("k") <= 0, 0.5).when(F.count("*") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.stddev_samp("k"), F.avg("k"))))
+    v = F.when((F.count("*") < 2) | (F.avg("k") <= 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.stddev_samp("k"), F.avg("k"))))
     return f.groupBy("graph_id").agg(v.alias("value"))
 
 
@@ -127,11 +127,16 @@ def _hops_from(g: GraphTables, kind: str) -> DataFrame:
 
 
 def stair_service_radius(g: GraphTables, compat: bool = True) -> DataFrame:
-    """1 less the mean hops to the nearest stair over the number of rooms (which unreachable rooms count), in [0, 1]; compat as M07."""
+    """1 less the mean hops of the other rooms to the nearest stair over the number of rooms (which unreachable rooms
+    count), in [0, 1]; 1 for a single room and where all are stairs, 0 without stairs; compat as M07."""
+    kind = "toilet" if compat else "staircase"
     n = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    d = _hops_from(g, "toilet" if compat else "staircase").join(n, "graph_id")
-    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.avg(F.coalesce("hops", "n")) / F.max("n")))
-    return _all(g, d.groupBy("graph_id").agg(v.alias("value")), 0.0)
+    d = _hops_from(g, kind).join(n, "graph_id").groupBy("graph_id")
+    other = F.col("room_type") != kind
+    r = d.agg(F.max("n").alias("n"), F.count_if(other).alias("others"), F.avg(F.when(other, F.coalesce("hops", "n"))).alias("mean"))
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("mean") / F.col("n")))
+    v = F.when(F.col("n") <= 1, 1.0).when(F.col("others") == F.col("n"), 0.0).when(F.col("others") == 0, 1.0).otherwise(near)
+    return _all(g, r.select("graph_id", v.alias("value")), 1.0)
 
 
 def toilet_coverage(g: GraphTables, most: int = 3) -> DataFrame:

@@ -210,12 +210,17 @@ def patterns(labels: DataFrame, links: DataFrame) -> DataFrame:
     return both.groupBy("graph_id", "size", F.substring(F.md5("form"), 1, 16).alias("canonical"), "form").agg(F.count("*").alias("n"))
 
 
-def frequent(pats: DataFrame, scores: DataFrame, support: int = 3, top_k: int = 15, compat: bool = False) -> DataFrame:
-    """Patterns in at least `support` graphs (twice as many with compat), ranked by
-    support * (1 + mean score) * (1 + 0.1 * distinct labels), the top_k best. scores: (graph_id, score)."""
-    labels = F.size(F.array_distinct(F.transform(F.split("form", ";"), lambda x: F.substring_index(x, ":", 1))))
-    p = pats.join(scores, "graph_id").groupBy("canonical", "size", "form").agg(F.countDistinct("graph_id").alias("support"), F.sum("n").alias("occurrences"), F.avg("score").alias("avg_score"))
-    p = p.filter(F.col("support") >= support * (2 if compat else 1)).withColumn("diversity", labels.cast("long"))
+def frequent(pats: DataFrame, scores: DataFrame, support: int = 3, top_k: int = 15, compat: bool = True) -> DataFrame:
+    """Patterns in at least `support` graphs, ranked by support * (1 + mean score) * (1 + 0.1 * distinct labels), the top_k best.
+
+    A pattern counts once a graph, so occurrences are the support; compat asks for twice `support` of them, as the original
+    does. copies: all of them; percentage: of the graphs of `scores` (graph_id, score); composition: rooms by label."""
+    names = F.transform(F.split("form", ";"), lambda x: F.substring_index(x, ":", 1))
+    comp = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(names)), lambda t: F.struct(t, F.size(F.filter(names, lambda x: x == t)).cast("double"))))
+    total = scores.agg(F.countDistinct("graph_id").alias("graphs"))
+    p = pats.join(scores, "graph_id").groupBy("canonical", "size", "form").agg(F.countDistinct("graph_id").alias("support"), F.sum("n").alias("copies"), F.avg("score").alias("avg_score"))
+    p = p.filter(F.col("support") >= support * (2 if compat else 1)).withColumn("diversity", F.size(F.array_distinct(names)).cast("long"))
+    p = p.crossJoin(F.broadcast(total)).withColumns({"occurrences": F.col("support"), "percentage": F.col("support") / F.col("graphs"), "composition": comp}).drop("graphs")  # total is one row
     p = p.withColumn("rank_score", F.col("support") * (1 + F.col("avg_score")) * (1 + 0.1 * F.col("diversity")))
     return p.orderBy(F.desc(F.round("rank_score", 9)), "canonical").limit(top_k)
 
@@ -258,25 +263,52 @@ def sample_connected(labels: DataFrame, links: DataFrame, most: int = 8, seed: i
     return kernel(links.select("graph_id", "node", "nbr").unionByName(names), fn, "walk long, nodes array<long>")
 
 
-def motif_name(c: dict[str, str] | None = None) -> Column:
-    """A name by the first rule that holds over the counts classroom, special, corridor, staircase, toilet, office (columns)."""
-    n = lambda t: F.coalesce(F.col(t), F.lit(0.0))
-    return (
-        F.when((n("classroom") >= 2) & (n("corridor") >= 1), "classroom cluster")
-        .when((n("staircase") >= 1) & (n("toilet") >= 1), "service core")
-        .when(n("staircase") >= 2, "vertical core")
-        .when(n("special") >= 1, "special teaching group")
-        .when(n("office") >= 1, "office group")
-        .when(n("corridor") >= 2, "circulation spine")
-        .otherwise("mixed group")
-    )
+#: Chinese names of room types in pattern names.
+TYPE_NAMES = {
+    "classroom": "教室", "corridor": "走道", "staircase": "楼梯间", "toilet": "卫生间", "office": "办公", "teacher_office": "教师办公",
+    "special_classroom": "专用教室", "music_room": "音乐教室", "library": "图书馆", "storage": "储藏",
+}
+
 
+def _of(comp: Column, kind: str) -> Column:
+    return F.coalesce(F.try_element_at(comp, F.lit(kind)), F.lit(0.0))
 
-def constraint_refs() -> Column:
-    """Which constraints a composition (same columns as motif_name) bears on, sorted."""
-    n = lambda t: F.coalesce(F.col(t), F.lit(0.0))
+
+def motif_name(comp: Column) -> Column:
+    """A motif's name by the first rule that holds over its composition (map of room type to mean count)."""
+    n = lambda t: _of(comp, t)
+    room, hall, stair = n("classroom") >= 2, n("corridor") >= 1, n("staircase") >= 0.5
+    return (
+        F.when((n("music_room") >= 0.5) & room, "动静分区模体").when(room & hall & stair, "教学翼标准模体").when(room & hall, "教室-走廊模体")
+        .when((n("entrance_hall") >= 0.5) & (n("office") >= 1), "入口行政模体").when((n("toilet") >= 1) & stair & hall, "公共服务核模体")
+        .when(stair & hall, "垂直交通核模体").when(hall, "走廊脊柱模体").otherwise("复合功能模体")
+    )
+
+
+def pattern_name(comp: Column) -> Column:
+    """A pattern's name by the first rule that holds; else its two most frequent types (ties by type) joined."""
+    n = lambda t: _of(comp, t)
+    room, hall, stair = n("classroom") >= 1, n("corridor") >= 1, n("staircase") >= 0.5
+    rooms = n("classroom").cast("int").cast("string")
+    names = F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv])
+    order = F.array_sort(F.transform(F.map_entries(comp), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("t"))))
+    top = F.transform(F.slice(order, 1, 2), lambda e: F.coalesce(F.try_element_at(names, e["t"]), e["t"]))
+    return (
+        F.when(room & hall & stair, F.concat(rooms, F.lit("教室教学单元"))).when(stair & (n("toilet") >= 0.5) & hall, "交通服务核").when((n("office") >= 1) & hall, "办公走廊区")
+        .when((n("music_room") >= 0.5) & room, "动静分区单元").when(n("special_classroom") >= 0.5, "专用教室集群").when(room, F.concat(rooms, F.lit("教室集群")))
+        .otherwise(F.concat(F.array_join(top, "·"), F.lit("组合")))
+    )
+
+
+def constraint_refs(comp: Column, edges: Column | None = None) -> Column:
+    """The code sections that a composition of rooms (and of edge types, as a map) bears on, sorted, each once."""
+    n = lambda t: _of(comp, t)
+    loud = n("music_room") >= 0.5
+    if edges is not None:
+        loud = loud | (_of(edges, "acoustic_blocks") >= 0.5)
     return F.sort_array(F.array_compact(F.array(
-        F.when(n("staircase") >= 1, "fire_exits"), F.when(n("classroom") >= 1, "daylight"), F.when(n("corridor") >= 1, "circulation_ratio"), F.when(n("special") >= 1, "acoustic"), F.when(n("toilet") >= 1, "service"),
+        F.when(n("classroom") >= 1, "GB50099-2011 §5.1 采光"), F.when(n("classroom") >= 1, "GB50016-2014 §5.5 消防"), F.when(loud, "GB50099-2011 §7.3 声学"),
+        F.when(n("staircase") >= 0.5, "GB50016-2014 §5.5.17 疏散"), F.when(n("corridor") >= 1, "GB50099-2011 §8.2.3 走廊比"),
     )))
 
 

@@ -43,7 +43,7 @@ def connectivity_loss(g: GraphTables) -> DataFrame:
     return l2.join(some, "graph_id", "left").select("graph_id", F.when(F.col("has").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 0.05 - F.col("l2"))).alias("loss"))
 
 
-def ranking_loss(rows: DataFrame, margin: float = 0.1, compat: bool = False) -> DataFrame:
+def ranking_loss(rows: DataFrame, margin: float = 0.05, compat: bool = False) -> DataFrame:
     """(task, pairs, loss) over (task, item, pred, target): mean of max(0, margin - difference of predictions) over
     pairs of different targets, better target first; compat has the sign the original inverts."""
     a = rows.select("task", F.col("pred").alias("pa"), F.col("target").alias("ta"))
@@ -66,7 +66,7 @@ def pass_label(quality: Column, fraction: Column) -> Column:
 class SageWeights:
     """Seeded weights of a three-layer mean-aggregating network with one head a task."""
 
-    def __init__(self, relations: tuple[str, ...], tasks: tuple[str, ...], dims: int = 27, hidden: int = 32, layers: int = 3, seed: int = 1):
+    def __init__(self, relations: tuple[str, ...], tasks: tuple[str, ...], dims: int = 27, hidden: int = 128, layers: int = 3, seed: int = 1):
         r = np.random.default_rng(seed)
         w = lambda a, b: (r.normal(size=(a, b)) / np.sqrt(a)).astype(np.float32)
         self.relations, self.tasks, self.hidden = relations, tasks, hidden
@@ -122,7 +122,8 @@ def score_graphs(features: DataFrame, edges: DataFrame, weights: SageWeights) ->
         return pa.table([pa.array([g] * len(got), left.schema.field("graph_id").type), pa.array(list(weights.tasks)), pa.array(got)], names=["graph_id", "task", "score"])
 
     a = features.select("graph_id", "room_id", "features").groupBy("graph_id")
-    return a.cogroup(edges.select("graph_id", "rel", "src", "dst").groupBy("graph_id")).applyInArrow(run, f"graph_id {kind}, task string, score double")
+    b = edges.select("graph_id", "rel", "src", "dst").toDF("graph_id", "rel", "src", "dst")  # attributes of its own: both sides may come from one frame
+    return a.cogroup(b.groupBy("graph_id")).applyInArrow(run, f"graph_id {kind}, task string, score double")
 
 
 def train_regressor(rows: DataFrame, features: list[str], label: str, folds: int = 3, seed: int = 42):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from graphloom.functions import half_even
 from graphloom.model import RELATIONS, ROOM_TYPES, RULES, GraphTables
 from graphloom.operators import algorithms as A
 from graphloom.operators.constraints import distinct_degree
-from graphloom.operators.features import flatten
+from graphloom.operators.features import flatten, undirected
+from graphloom.operators.metrics import multi_degree, source_degree
 
 
 def relation_counts(g: GraphTables) -> DataFrame:
@@ -143,34 +146,106 @@ def evaluate_connectivity(g: GraphTables) -> DataFrame:
     iso = A.isolated(g.nodes, phys).groupBy("graph_id").agg(F.count("*").alias("isolated"))
     br = A.bridges(phys).groupBy("graph_id").agg(F.count("*").alias("bridges"))
     out = n.join(iso, "graph_id", "left").join(br, "graph_id", "left").select("graph_id", "components", F.coalesce("isolated", F.lit(0)).alias("isolated"), F.coalesce("bridges", F.lit(0)).alias("bridges"))
-    score = F.when(F.col("components") <= 1, 100.0).otherwise(F.greatest(F.lit(0.0), 100.0 - 30 * F.col("components") - 5 * F.col("isolated")))
-    return out.withColumn("score", score)
+    whole = (F.col("components") <= 1) & (F.col("isolated") == 0)
+    score = F.when(whole, 100.0).otherwise(F.greatest(F.lit(0.0), 100.0 - 30 * F.col("components") - 5 * F.col("isolated")))
+    return out.withColumn("score", score).withColumn("passed", whole)
+
+
+def _rated(g: GraphTables, rows: DataFrame, ok: Column, shown: int) -> DataFrame:
+    """(graph_id, compliant, total, rate, score, passed, violations): the share of rows that are ok, 1 without rows; pass from
+    0.95; the first rooms that fail."""
+    r = rows.groupBy("graph_id").agg(F.count_if(ok).alias("compliant"), F.count("*").alias("total"), F.slice(F.sort_array(F.collect_list(F.when(~ok, F.col("room_id")))), 1, shown).alias("violations"))
+    d = g.graphs.select("graph_id").join(r, "graph_id", "left")
+    rate = F.coalesce(F.col("compliant") / F.col("total"), F.lit(1.0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return d.select("graph_id", zero("compliant"), zero("total"), rate.alias("rate"), (100 * rate).alias("score"), (rate >= 0.95).alias("passed"), F.coalesce("violations", F.array().cast(r.schema["violations"].dataType)).alias("violations"))
 
 
 def evaluate_fire(g: GraphTables) -> DataFrame:
-    """The share of rooms of 50 persons with enough distinct neighbours; pass from 0.95; the first five that fail."""
-    d = g.nodes.filter("occupancy >= 50").join(distinct_degree(g.view("physical", "room")), ["graph_id", "room_id"], "left")
-    ok = F.coalesce("degree", F.lit(0)) >= F.col("exits")
-    return d.groupBy("graph_id").agg(F.avg(ok.cast("double")).alias("rate"), F.slice(F.sort_array(F.collect_list(F.when(~ok, F.col("room_id")))), 1, 5).alias("violations")).select("graph_id", "rate", (F.col("rate") >= 0.95).alias("passed"), "violations")
+    """The share of rooms of 50 persons with as many doors as exits, every edge counting; five that fail."""
+    d = g.nodes.filter("occupancy >= 50").join(multi_degree(g.view("physical", "room")), ["graph_id", "room_id"], "left")
+    return _rated(g, d, F.coalesce("d", F.lit(0)) >= F.greatest(F.lit(1), F.col("exits")), 5)
+
+
+def evaluate_daylight(g: GraphTables) -> DataFrame:
+    """The share of rooms of high daylight demand that a sight line starts from; three that fail."""
+    d = g.nodes.filter("daylight >= 3").join(source_degree(g.view("sight")), ["graph_id", "room_id"], "left")
+    return _rated(g, d, F.coalesce("d", F.lit(0)) >= 1, 3)
+
+
+def evaluate_acoustic(g: GraphTables, gap: int = 2) -> DataFrame:
+    """A10: (graph_id, adequate, total, rate, score, passed, violations) over pairs of rooms where one's noise exceeds the other's
+    tolerance by `gap`: those with an acoustic edge, or two hops of doors or more apart (or not connected), are adequate.
+
+    Pairs are counted by classes of noise and tolerance, of which there are at most 25; only pairs at a door can fail."""
+    k = g.nodes.groupBy("graph_id", "noise", "tolerance").agg(F.count("*").alias("n"))
+    side = lambda x: k.select("graph_id", F.col("noise").alias(f"n{x}"), F.col("tolerance").alias(f"t{x}"), F.col("n").alias(f"k{x}"))
+    both = side("a").join(side("b"), "graph_id").filter("na < nb or (na = nb and ta <= tb)").filter(f"na - tb >= {gap} or nb - ta >= {gap}")
+    n = F.when((F.col("na") == F.col("nb")) & (F.col("ta") == F.col("tb")), F.col("ka") * (F.col("ka") - 1) / 2).otherwise(F.col("ka") * F.col("kb"))
+    total = both.groupBy("graph_id").agg(F.sum(n).cast("long").alias("total"))
+    room = lambda x: g.nodes.select("graph_id", F.col("room_id").alias(x), F.col("noise").alias(f"n_{x}"), F.col("tolerance").alias(f"t_{x}"))
+    near = undirected(g.view("physical", "room")).filter("node < nbr").join(room("node"), ["graph_id", "node"]).join(room("nbr"), ["graph_id", "nbr"])
+    bad = near.filter(f"n_node - t_nbr >= {gap} or n_nbr - t_node >= {gap}").join(undirected(g.view("acoustic", "room")), ["graph_id", "node", "nbr"], "left_anti")
+    bad = bad.groupBy("graph_id").agg(F.count("*").alias("bad"), F.slice(F.sort_array(F.collect_list(F.struct("node", "nbr"))), 1, 3).alias("violations"))
+    d = g.graphs.select("graph_id").join(total, "graph_id", "left").join(bad, "graph_id", "left")
+    all_, worse = F.coalesce("total", F.lit(0)), F.coalesce("bad", F.lit(0))
+    rate = F.coalesce(F.try_divide(all_ - worse, all_), F.lit(1.0))
+    return d.select("graph_id", (all_ - worse).alias("adequate"), all_.alias("total"), rate.alias("rate"), (100 * rate).alias("score"), (rate >= 0.95).alias("passed"), F.coalesce("violations", F.array().cast(bad.schema["violations"].dataType)).alias("violations"))
+
+
+def _physical(g: GraphTables) -> tuple[DataFrame, DataFrame]:
+    """The links of the flattened physical graph, and the same with a row of its own for every room and environment node."""
+    phys = links_both(flatten(g.edges).filter("etype = 'physical'"))
+    alone = g.nodes.select("graph_id", F.col("room_id").alias("node")).unionByName(g.env.select("graph_id", F.col("env_id").alias("node")))
+    return phys, phys.unionByName(alone.withColumn("nbr", F.lit(None).cast("long")))
 
 
 def evaluate_circulation(g: GraphTables) -> DataFrame:
-    """Corridor ratio, and the three rooms of largest betweenness in the flattened physical graph."""
-    phys = links_both(flatten(g.edges).filter("etype = 'physical'"))
-    bc = A.betweenness(phys).join(g.nodes.select("graph_id", F.col("room_id").alias("node")), ["graph_id", "node"], "left_semi")
-    w = Window.partitionBy("graph_id").orderBy(F.round("bc", 9).desc(), "node")
-    return bc.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("graph_id", "k", F.col("node").alias("room_id"), "bc")
+    """(graph_id, corridor_ratio, avg_path, diameter, max_betweenness, bottlenecks, score, passed): mean and largest hops
+    within the largest component of the flattened physical graph (of equally large ones that of the smallest node), the
+    three rooms of largest betweenness; 100 less 30 for a ratio outside 0.10 to 0.30 and 10 for a mean over 8."""
+    phys, whole = _physical(g)
+    hall = F.sum(F.when(F.col("room_type") == "corridor", F.col("area")).otherwise(0.0))
+    ratio = g.nodes.groupBy("graph_id").agg(F.coalesce(F.try_divide(hall, F.sum("area")), F.lit(0.0)).alias("corridor_ratio"), F.count("*").alias("rooms"))
+    comp = A.components(whole)
+    size = comp.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
+    top = size.groupBy("graph_id").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
+    inside = comp.join(top, ["graph_id", "component"], "left_semi").select("graph_id", F.col("node").alias("a"))
+    path = A.all_pairs(phys).join(inside, ["graph_id", "a"], "left_semi").groupBy("graph_id").agg(F.avg("hops").alias("avg_path"), F.max("hops").alias("diameter"))
+    bc = A.betweenness(whole).join(g.nodes.select("graph_id", F.col("room_id").alias("node"), F.lit(True).alias("room")), ["graph_id", "node"], "left")
+    first = F.sort_array(F.collect_list(F.when(F.col("room"), F.struct((-F.round("bc", 9)).alias("o"), "node"))))
+    bc = bc.groupBy("graph_id").agg(F.max("bc").alias("max_betweenness"), F.transform(F.slice(first, 1, 3), lambda x: x["node"]).alias("bottlenecks"))
+    d = ratio.join(path, "graph_id", "left").join(bc, "graph_id", "left")
+    ok, far = F.col("corridor_ratio").between(0.10, 0.30), F.coalesce(F.when(F.col("rooms") >= 2, F.col("avg_path")), F.lit(0.0))
+    score = 100.0 - F.when(ok, 0.0).otherwise(30.0) - F.when(far > 8, 10.0).otherwise(0.0)
+    return d.select("graph_id", "corridor_ratio", far.alias("avg_path"), F.coalesce(F.when(F.col("rooms") >= 2, F.col("diameter")), F.lit(0)).alias("diameter"), F.coalesce("max_betweenness", F.lit(0.0)).alias("max_betweenness"), "bottlenecks", score.alias("score"), ok.alias("passed"))
 
 
 def evaluate_diversity(g: GraphTables) -> DataFrame:
-    """Entropy (nats) of the degrees of the flattened graph, mean clustering; score min(100, 40 H + 50 C), pass from H >= 1."""
-    links = links_both(flatten(g.edges))
-    deg = links.groupBy("graph_id", "node").agg(F.count("*").alias("d"))
+    """Entropy (nats) of the rooms' degrees in the flattened physical graph, 0 included, mean clustering over all its nodes;
+    score min(100, 40 H + 50 C), pass from H >= 1."""
+    phys, _ = _physical(g)
+    have = phys.groupBy("graph_id", F.col("node").alias("room_id")).agg(F.count("*").alias("d"))
+    deg = g.nodes.select("graph_id", "room_id").join(have, ["graph_id", "room_id"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
     k = deg.groupBy("graph_id", "d").agg(F.count("*").alias("k"))
     p = F.col("k") / F.sum("k").over(Window.partitionBy("graph_id"))
     h = k.withColumn("p", p).groupBy("graph_id").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.min("d").alias("d_min"), F.max("d").alias("d_max"))
-    c = A.clustering(links).groupBy("graph_id").agg(F.avg("c").alias("clustering"))
-    return h.join(c, "graph_id").select("graph_id", "entropy", "clustering", "d_min", "d_max", F.least(F.lit(100.0), 40 * F.col("entropy") + 50 * F.col("clustering")).alias("score"), (F.col("entropy") >= 1).alias("passed"))
+    n = g.nodes.select("graph_id").unionAll(g.env.select("graph_id")).groupBy("graph_id").agg(F.count("*").alias("n"))
+    c = A.clustering(phys).groupBy("graph_id").agg(F.sum("c").alias("c"))
+    d = h.join(n, "graph_id").join(c, "graph_id", "left").withColumn("clustering", F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)))
+    return d.select("graph_id", "entropy", "clustering", "d_min", "d_max", F.least(F.lit(100.0), 40 * F.col("entropy") + 50 * F.col("clustering")).alias("score"), (F.col("entropy") >= 1).alias("passed"))
+
+
+EVALUATORS = {"connectivity": evaluate_connectivity, "fire_safety": evaluate_fire, "daylight": evaluate_daylight, "acoustic": evaluate_acoustic, "circulation": evaluate_circulation, "diversity": evaluate_diversity}
+
+
+def evaluate_all(g: GraphTables) -> DataFrame:
+    """(graph_id, a score of each evaluator, overall, grade): overall is the mean of the six scores."""
+    out = g.graphs.select("graph_id")
+    for name, f in EVALUATORS.items():
+        out = out.join(f(g).select("graph_id", F.col("score").alias(name)), "graph_id", "left")
+    out = out.withColumn("overall", reduce(lambda a, b: a + b, [F.col(n) for n in EVALUATORS]) / len(EVALUATORS))
+    return out.withColumn("grade", grade(F.col("overall")))
 
 
 def grade(score: Column) -> Column:

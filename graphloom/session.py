@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,6 +36,23 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a table below the checkpoint folder, deleted when the driver ends: its plan starts
+    there, and lost executors do not matter."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/held-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Make sure checkpoint() has a folder: the one the session names, a temporary one only where it names none (tests)."""
     sc = spark.sparkContext

@@ -181,9 +181,9 @@ def test_layout(spark):
     assert [r.room_id for r in Y.interleave(n).orderBy("pos").collect()] == [1, 5, 2, 6, 3, 7, 4]
     assert {r.row for r in Y.grid(12, 3, spark).collect()} == {0, 1, 2}
     canvas = spark.createDataFrame([("corridor", "corridor_1", 0.0, 0.0)], "room_type string, label string, x double, y double")
-    p = Y.place_pattern(canvas, Y.default_patterns(spark).filter("pattern = 'vertical core'"), 5.0, 5.0)
-    assert sorted(r.label for r in p.collect()) == ["corridor_1", "staircase_1", "staircase_2"]
-    assert {(r.room_type, r.add) for r in Y.missing_essentials(p).collect()} == {("toilet", 1)} and Y.clear(p).count() == 0
+    p = Y.place_pattern(canvas, Y.default_patterns(spark).filter("pattern = 'P4'"), 5.0, 5.0)
+    assert sorted(r.label for r in p.collect()) == ["corridor_1", "staircase_1", "toilet_1"]
+    assert {(r.room_type, r.add) for r in Y.missing_essentials(p).collect()} == {("staircase", 1)} and Y.clear(p).count() == 0
     assert Y.floor_plan(n).count() == 7
 
 
@@ -209,7 +209,7 @@ def test_storage_round_trip(spark, tmp_path):
     assert '"room_type":"classroom"' in doc and '"edge_type":"physical"' in doc
     T.write_json(T.graph_documents(g.nodes, P.flatten(g.edges)), str(tmp_path / "j"))
     assert T.read_json(spark, str(tmp_path / "j"), False).count() == 1
-    assert T.motif_patterns(spark, None).count() == 5
+    assert T.motif_patterns(spark, None).select("motif_id").distinct().count() == 5
     assert "split_info" in T.metadata({"seed": 1}, spark.createDataFrame([("a", 1.0)], "stat string, value double"), spark.createDataFrame([("train",)], "split string"))
 
 
@@ -256,3 +256,94 @@ def test_retries_run_all_rules_and_checks(spark):
     rows = C.status(t).collect()
     assert len(rows) == 2 * len(C.CONSTRAINTS) and len({r.graph_id for r in rows}) == 2
     assert t.edges.count() > 0 and t.nodes.filter("x is null or y is null").count() == 0
+
+
+def _graph(spark, rooms, doors):
+    """A small graph from (room_id, type, floor) and pairs of rooms."""
+    from graphloom.model import GraphTables
+
+    n = spark.createDataFrame([(1, i, t, f, f, f, 60, 1, 1, 3, 10.0) for i, t, f in rooms], "graph_id long, room_id long, room_type string, floor int, floor_lo int, floor_hi int, occupancy int, exits int, noise int, daylight int, area double")
+    n = n.withColumn("tolerance", F.lit(2))
+    e = spark.createDataFrame([(1, "physical", "room", a, b, "x") for a, b in doors], "graph_id long, rel string, dst_kind string, src long, dst long, rule string")
+    env = spark.createDataFrame([], "graph_id long, env_id long, env_type string, x double, y double")
+    return GraphTables(n.select("graph_id").distinct(), n, env, e)
+
+
+def test_metrics_by_hand(spark):
+    from graphloom.operators import metrics as M
+
+    one = lambda f, g: f(g, compat=False).first().value
+    path = [(1, "staircase", 0), (2, "office", 0), (3, "office", 1), (4, "office", 1)]
+    # Hops of the others are 1, 2, 3: mean 2 of 4 rooms.
+    assert one(M.stair_service_radius, _graph(spark, path, [(1, 2), (2, 3), (3, 4)])) == pytest.approx(0.5)
+    # Unreached rooms count as many hops as there are rooms: (1 + 4 + 4) / 3 = 3 of 4.
+    assert one(M.stair_service_radius, _graph(spark, path, [(1, 2)])) == pytest.approx(0.25)
+    assert one(M.stair_service_radius, _graph(spark, [(1, "office", 0), (2, "office", 0)], [(1, 2)])) == 0
+    assert one(M.stair_service_radius, _graph(spark, [(1, "staircase", 0), (2, "staircase", 0)], [(1, 2)])) == 1
+    # Stairs a floor: 1 and 0, so the sample deviation over the mean is sqrt(2).
+    assert one(M.vertical_flow_balance, _graph(spark, path, [])) == 0
+    assert one(M.vertical_flow_balance, _graph(spark, [(1, "office", 0), (2, "office", 1)], [])) == 1
+    assert one(M.vertical_flow_balance, _graph(spark, [(1, "staircase", 0), (2, "office", 0)], [])) == 1
+
+
+def test_evaluators_by_hand(spark):
+    from graphloom.operators import stats as S
+
+    g = _graph(spark, [(1, "corridor", 0), (2, "office", 0), (3, "office", 0), (4, "office", 0)], [(1, 2), (1, 3), (2, 3)])
+    fire = S.evaluate_fire(g).first()
+    assert (fire.compliant, fire.total, fire.score, fire.passed, fire.violations) == (3, 4, 75.0, False, [4])
+    con = S.evaluate_connectivity(g).first()
+    assert (con.components, con.isolated, con.score, con.passed) == (2, 1, 35.0, False)
+    div = S.evaluate_diversity(g).first()
+    # Degrees 2, 2, 2, 0; a triangle and a lone room.
+    assert div.entropy == pytest.approx(0.5623351446) and div.clustering == pytest.approx(0.75) and (div.d_min, div.d_max) == (0, 2)
+    cir = S.evaluate_circulation(g).first()
+    assert (cir.corridor_ratio, cir.avg_path, cir.diameter, cir.score, cir.passed) == (0.25, 1.0, 1, 100.0, True)
+    assert S.evaluate_daylight(g).first().score == 0
+    loud = g.with_(nodes=g.nodes.withColumn("noise", F.when(F.col("room_id") == 1, 4).otherwise(1)))
+    aco = S.evaluate_acoustic(loud).first()
+    # Room 1 is too loud for the three others; rooms 2 and 3 have a door to it.
+    assert (aco.adequate, aco.total, [tuple(v) for v in aco.violations]) == (1, 3, [(1, 2), (1, 3)])
+    row = S.evaluate_all(g).first()
+    assert row.overall == pytest.approx((35 + 75 + 0 + 100 + 100 + min(100, 40 * 0.5623351446 + 50 * 0.75)) / 6) and row.grade == "C"
+    none = S.evaluate_fire(g.with_(nodes=g.nodes.withColumn("occupancy", F.lit(1)))).first()
+    assert (none.rate, none.total, none.passed, none.violations) == (1.0, 0, True, [])
+
+
+def test_names_and_patterns_by_hand(spark):
+    from graphloom.operators import layout as Y
+    from graphloom.operators import mining as K
+
+    comps = [
+        ({"music_room": 1.0, "classroom": 2.0}, "动静分区模体", "动静分区单元"), ({"classroom": 4.0, "corridor": 1.0, "staircase": 1.0}, "教学翼标准模体", "4教室教学单元"),
+        ({"classroom": 2.5, "corridor": 1.0}, "教室-走廊模体", "2教室集群"), ({"entrance_hall": 1.0, "office": 1.0}, "入口行政模体", "办公·entrance_hall组合"),
+        ({"toilet": 1.0, "staircase": 1.0, "corridor": 1.0}, "公共服务核模体", "交通服务核"), ({"corridor": 3.0, "office": 2.0}, "走廊脊柱模体", "办公走廊区"), ({"storage": 1.0}, "复合功能模体", "储藏组合"),
+    ]
+    d = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(comps)], "i long, comp map<string,double>")
+    got = {r.i: (r.m, r.p) for r in d.select("i", K.motif_name(F.col("comp")).alias("m"), K.pattern_name(F.col("comp")).alias("p")).collect()}
+    # Ties are in order of the type's name: entrance_hall before office.
+    assert got == {i: (m, "entrance_hall·办公组合" if i == 3 else p) for i, (_, m, p) in enumerate(comps)}
+    refs = d.filter("i = 1").select(K.constraint_refs(F.col("comp")).alias("r")).first().r
+    assert sorted(refs) == sorted(["GB50099-2011 §5.1 采光", "GB50016-2014 §5.5 消防", "GB50016-2014 §5.5.17 疏散", "GB50099-2011 §8.2.3 走廊比"])
+    comp = spark.createDataFrame([(1, "classroom", 9.9), (1, "staircase", 1.0), (1, "toilet", 1.2), (1, "corridor", 7.0), (2, "storage", 3.0)], "motif_id long, room_type string, mean double")
+    sub = {(r.motif_id, r.pattern, r.room_type): r["count"] for r in Y.sub_patterns(comp).collect()}
+    assert {k[1:]: n for k, n in sub.items() if k[0] == 1} == {("U1", "classroom"): 6, ("U1", "corridor"): 1, ("U1", "toilet"): 1, ("U2", "classroom"): 4, ("U2", "corridor"): 1, ("C1", "staircase"): 1, ("C1", "toilet"): 1}
+    assert {k[1] for k in sub if k[0] == 2} == {"P1", "P2", "P3", "P4", "P5"}
+    rows = Y.template(comp.filter("motif_id = 1")).orderBy("i").collect()
+    assert [r.room_type for r in rows] == ["classroom"] * 6 + ["toilet", "staircase"]
+    # Five classrooms of 8.3 pass 40; the next line is one below them.
+    assert [round(r.x, 1) for r in rows] == [0, 8.3, 16.6, 24.9, 33.2, 0, 8.3, 12.6] and [r.y for r in rows] == [0] * 5 + [9.0] * 3
+    row = spark.createDataFrame([(1, "top", 1), (1, "top", 2)], "graph_id long, typical_floor string, ord int")
+    assert sorted(r.cx for r in Y.even_positions(row, 50.0).collect()) == [2.75, 47.25]
+
+
+def test_places_follow_the_site(spark):
+    from graphloom.operators import generate as G
+
+    rows = [(1, f"r{i}", f, z, t, 42) for f in ("ground", "teaching") for i, (z, t) in enumerate([("admin", "office"), ("special", "gymnasium"), ("service", "entrance_hall"), ("circulation", "staircase"), ("teaching", "classroom"), ("circulation", "corridor")])]
+    p = G.place(spark.createDataFrame(rows, "graph_id long, room_name string, typical_floor string, zone string, room_type string, seed long")).collect()
+    at = {(r.typical_floor, r.room_type): (r.x, r.y) for r in p}
+    # Two slices of 75: centres at 37.5 and 112.5.
+    assert 10 <= at["ground", "office"][0] <= 50 and 150 <= at["ground", "gymnasium"][0] <= 190 and at["ground", "entrance_hall"] == (10, 37.5)
+    assert at["teaching", "staircase"][0] in (10, 100, 190) and at["teaching", "staircase"][1] == 112.5 == at["teaching", "corridor"][1]
+    assert 120 <= at["teaching", "classroom"][1] <= 142.5 and 86.25 <= at["teaching", "gymnasium"][1] <= 108.75
