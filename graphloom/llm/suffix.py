@@ -10,7 +10,9 @@ same place; so occurrences of minimisers are the anchors at which strings can be
    anchor, and of the reversed prefixes that end there, where a comparison finds the common extension by
    binary search on prefix polynomial hashes; the neighbours' common extensions are verified byte by
    byte. They give, for each offset, classes of equal left and right parts, and a window repeats if its
-   pair of classes does. Anchors with very many contexts are counted by window hashes instead, in Spark.
+   pair of classes does. Anchors with more contexts than a task holds are dealt first: windows with l to h
+   bytes left of the anchor can only be equal if the last l bytes left and the first bytes right that all of
+   them have are, so contexts meet within such a range by these bytes, and ranges are halved until groups fit.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from graphloom.llm.common import as_i64, pieces, prepare, stage, text_bytes
 
 LENGTH = 200
 GRAM = 50
-CROWD = 20_000  # contexts of one gram beyond which Spark counts windows instead of one task sorting them
+CROWD = 20_000  # contexts that are sorted together; groups with more are dealt by the bytes their windows share
 SPAN = 1 << 20
 _rng = np.random.default_rng(424242)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -234,10 +236,12 @@ def _common(a: bytes, b: bytes) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], reach: int, low=0, high=None) -> tuple[np.ndarray, np.ndarray]:
     """For contexts around anchors, the least and the largest left part of a window that another context
-    of the group also has (-1, -1: none). A window is l bytes left and reach - l bytes right of the anchor."""
+    of the group also has (-1, -1: none). A window is l bytes left and reach - l bytes right of the anchor;
+    low and high bound the l that are looked at, for each context or for all."""
     n = len(left)
+    high = reach if high is None else high
     least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     if n < 2:
         return least, most
@@ -249,7 +253,7 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], r
     (lsize, lorder, lcommon), (rsize, rorder, rcommon) = sides
     lclass, rclass = np.empty(n, np.int64), np.empty(n, np.int64)
     for part in range(reach + 1):
-        ok = np.flatnonzero((lsize >= part) & (rsize >= reach - part))
+        ok = np.flatnonzero((lsize >= part) & (rsize >= reach - part) & (low <= part) & (part <= high))
         if len(ok) < 2:
             continue
         lclass[lorder] = np.cumsum(lcommon < part)
@@ -263,22 +267,25 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], r
     return least, most
 
 
-def _sorted_groups(length: int, gram: int):
-    """mapInArrow over partitions sorted by g: contexts -> intervals (tid, start, stop) of repeated windows."""
+def _sorted_groups(length: int, gram: int, crowd: int):
+    """mapInArrow over partitions sorted by g and loc: (g, loc, tid, pos, left, right, l, h) -> intervals
+    (tid, start, stop) of repeated windows. A place that comes twice counts once."""
     reach = length - gram
 
     def close(rows: list[tuple]) -> pa.RecordBatch:
-        group = np.array([r[0] for r in rows])
-        least, most = repeated_windows(group, [r[3] for r in rows], [r[4] for r in rows], reach)
+        group, tid, pos, low, high = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 6, 7))
+        least, most = repeated_windows(group, [r[4] for r in rows], [r[5] for r in rows], reach, low, high)
         hit = least >= 0
-        tid, pos = np.array([r[1] for r in rows])[hit], np.array([r[2] for r in rows], np.int64)[hit]
-        return pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array((pos - most[hit]).astype(np.int32)), pa.array((pos - least[hit] + length).astype(np.int32))], ["tid", "start", "stop"])
+        tid, pos, least, most = tid[hit], pos[hit], least[hit], most[hit]
+        return pa.RecordBatch.from_arrays([pa.array(tid), pa.array((pos - most).astype(np.int32)), pa.array((pos - least + length).astype(np.int32))], ["tid", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
-                if len(held) >= CROWD and row[0] != held[-1][0]:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue
+                if len(held) >= crowd and row[0] != held[-1][0]:
                     yield close(held)
                     held = []
                 held.append(row)
@@ -288,28 +295,32 @@ def _sorted_groups(length: int, gram: int):
     return run
 
 
-def _window_hashes(length: int, gram: int):
-    """mapInArrow: contexts of crowded grams -> (h, k, loc, tid, start): two hashes of every window."""
-    reach = length - gram
+def _dealt(crowded: DataFrame, reach: int, crowd: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Contexts (g, loc, tid, pos, left, right, l, h) of groups with more than `crowd` of them, dealt to groups that fit.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, loc, tid, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            for i in range(len(g)):
-                buf = np.frombuffer(left[i] + right[i], np.uint8)
-                part = np.arange(max(0, reach - len(right[i])), len(left[i]) + 1)
-                if not len(part):
-                    continue
-                a = len(left[i]) - part
-                salt = mix(part.astype(np.uint64) + np.uint64(int(g[i]) & 0xFFFFFFFFFFFFFFFF))
-                one, two = Hashes(buf).of(a, a + reach), Hashes(buf ^ np.uint8(0x5A)).of(a, a + reach)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_i64(mix(one) ^ salt)), pa.array(as_i64(mix(two ^ salt))), pa.array(np.full(len(a), loc[i])), pa.array(np.full(len(a), tid[i])), pa.array((pos[i] - part).astype(np.int32))],
-                    ["h", "k", "loc", "tid", "start"],
-                )
-
-    return run
+    Returns tables of groups of 2 to `crowd` contexts, and the (tid, start) of windows in groups that do not get
+    smaller: there l = h, so that all have the same window; it is compared as a whole by Spark's aggregation.
+    """
+    fit, same = [], None
+    part = crowded
+    while True:
+        half = F.explode(F.expr("filter(array(struct(l, (l + h) div 2 as h), struct((l + h) div 2 + 1 as l, h)), x -> x.l <= x.h)"))
+        part = part.select("g", "loc", "tid", "pos", "left", "right", half.alias("x"))
+        part = part.select("g", "loc", "tid", "pos", "left", "right", F.col("x.l").cast("int").alias("l"), F.col("x.h").cast("int").alias("h"))
+        part = part.filter(f"octet_length(`left`) >= l and octet_length(`right`) >= {reach} - h")
+        shared = F.expr(f"xxhash64(g, l, h, substring(`left`, -l, l), substring(`right`, 1, {reach} - h))")
+        part = stage(part.withColumn("g", shared), "dealt")
+        size = stage(part.groupBy("g").agg(F.count("*").alias("m"), F.first(F.col("l") == F.col("h")).alias("single")).filter("m > 1"), "sizes")
+        fit.append(part.join(size.filter(F.col("m") <= crowd).select("g"), "g", "left_semi"))
+        alike = part.join(size.filter((F.col("m") > crowd) & F.col("single")).select("g"), "g", "left_semi")
+        alike = alike.select("loc", "tid", (F.col("pos") - F.col("l")).alias("start"), "g", F.expr(f"concat(substring(`left`, -l, l), substring(`right`, 1, {reach} - l))").alias("w"))
+        twice = alike.groupBy("g", "w").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).filter("lo <> hi").select("g", "w")
+        alike = alike.join(twice, ["g", "w"], "left_semi").select("tid", "start")
+        same = alike if same is None else same.unionByName(alike)
+        more = size.filter((F.col("m") > crowd) & ~F.col("single")).select("g")
+        if not more.take(1):
+            return fit, same
+        part = part.join(more, "g", "left_semi")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +355,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept holds the bytes
     that stay, which may cut a character. Null texts count as empty; texts shorter than `length` stay
     whole. A text that several rows have (also rows with equal or null ids) repeats itself wholly.
-    Other columns are ignored; an empty table gives an empty result. Equal places are told by 64-bit
-    hashes, equal grams and contexts by 64-bit hashes of random polynomials.
+    Other columns are ignored; an empty table gives an empty result. `crowd` bounds what a task sorts, not
+    what is compared: larger groups are dealt. Texts and places are told by 64-bit hashes, contexts that
+    repeat as a whole by two; all other windows are compared byte by byte.
     """
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -373,14 +385,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     near = first.mapInArrow(_contexts(length, gram), "g long, loc long, tid long, pos int, left binary, right binary")
     near = stage(near, "near", release=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = near.join(crowds.filter(F.col("m") <= crowd).select("g"), "g", "left_semi").dropDuplicates(["g", "loc"])
-    found = few.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sorted_groups(length, gram), "tid long, start int, stop int")
-    many = near.join(crowds.filter(F.col("m") > crowd).select("g"), "g", "left_semi")
-    windows = stage(many.mapInArrow(_window_hashes(length, gram), "h long, k long, loc long, tid long, start int"), "windows", release=True)
-    equal = windows.groupBy("h", "k").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).filter("lo <> hi").select("h", "k")
-    by_hash = windows.join(equal, ["h", "k"], "left_semi").select("tid", "start", (F.col("start") + length).alias("stop")).distinct()
+    reach = length - gram
+    near = near.select("g", "loc", "tid", "pos", "left", "right", F.lit(0).alias("l"), F.lit(reach).alias("h"))
+    large = stage(crowds.filter(F.col("m") > crowd).select("g"), "crowds")
+    groups, spans = near, None
+    if large.take(1):
+        fit, same = _dealt(near.join(large, "g", "left_semi").dropDuplicates(["g", "loc"]), reach, crowd)
+        groups = near.join(large, "g", "left_anti")
+        for part in fit:
+            groups = groups.unionByName(part)
+        spans = same.select("tid", "start", (F.col("start") + length).alias("stop")).distinct()
+    groups = groups.repartition(n, "g").sortWithinPartitions("g", "loc")
+    found = groups.mapInArrow(_sorted_groups(length, gram, crowd), "tid long, start int, stop int")
+    found = found if spans is None else found.unionByName(spans)
     covered = covered.select("tid", F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("start"), (F.col("pos") + length).alias("stop"))
-    spans = found.unionByName(covered).unionByName(by_hash).groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.unionByName(covered).groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = stage(spans.join(copies.drop("rep"), "tid", "full"), "intervals", release=True)
     out = texts.join(spans, "tid", "left").select(F.col("a").alias("doc_id"), "z", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

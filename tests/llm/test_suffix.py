@@ -74,3 +74,20 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(docs).collect()}
     assert got == {(1, 0, 0, 0), (2, 0, 0, 0), (3, 199, 0, 0), (4, 200, 0, 0), (5, 201, 201, 1), (None, 300, 300, 1), (6, 250, 250, 1), (7, 120_000, 120_000, 1)}
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_crowd_through_the_sort(spark, monkeypatch):
+    """Many contexts around one gram, some of which share windows; hashes that see nothing leave it to the bytes."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    core, texts = "zyxwvuts", []
+    shared = [(word(9), word(9)) for _ in range(4)]
+    for i in range(160):
+        a, b = shared[i % 4]
+        k = int(rng.integers(0, 10))
+        texts.append(word(12) + a[9 - k :] + core + b[: 9 - k] + word(12))
+    texts += [word(3) + shared[0][0] + core + word(20) for _ in range(40)] + [word(20) + core + shared[1][1] + word(3) for _ in range(40)]
+    want = brute([t.encode() for t in texts], 20)
+    assert sum(w[1] for w in want) > 0 and any(w[1] == 0 for w in want)
+    for crowd in (20_000, 50, 5, 1):
+        assert run(spark, texts, length=20, gram=6, crowd=crowd) == want
