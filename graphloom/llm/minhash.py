@@ -95,11 +95,12 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
-def _fingerprint(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64 bits of each (non-empty) set: mixed sums of two different mixes of its members, and its size."""
+def _fingerprint(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each (non-empty) set: two mixed sums of different mixes of its members, and its size."""
+    size = np.diff(at).astype(np.uint64)
     one = np.add.reduceat(mix(s ^ _SLOT[1]), at[:-1])
     two = np.add.reduceat(mix(s * _SLOT[2]), at[:-1])
-    return mix(mix(one) + two * _SLOT[3] + np.diff(at).astype(np.uint64))
+    return mix(mix(one) + size), mix(two * _SLOT[3] + size)
 
 
 def _nonempty(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _nonempty(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(bands: int):
-    """mapInArrow: (doc_id, text) -> (doc_id, n, fp, bands)."""
+    """mapInArrow: (doc_id, text) -> (doc_id, n, f1, f2, bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,18 +118,18 @@ def signatures(bands: int):
             for lo, hi in pieces(texts, SPAN):
                 s, at = shingle_sets(texts[lo:hi])
                 has, sub = _nonempty(s, at)
-                fp = np.zeros(hi - lo, np.uint64)
+                f1, f2 = np.zeros((2, hi - lo), np.uint64)
                 both = np.zeros((hi - lo, 2 * bands), np.uint64)
                 if len(has):
-                    fp[has] = _fingerprint(s, sub)
+                    f1[has], f2[has] = _fingerprint(s, sub)
                     for j in range(2 * bands):
                         for h in (2 * j, 2 * j + 1):
                             low = np.minimum.reduceat(mix_light(s, h), sub[:-1])
                             both[has, j] = both[has, j] * _SLOT[4] + low
                 flat = np.arange(0, (hi - lo) * 2 * bands + 1, 2 * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(as_i64(fp)), list_array(as_i64(both.ravel()), flat, pa.int64())],
-                    ["doc_id", "n", "fp", "bands"],
+                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(as_i64(f1)), pa.array(as_i64(f2)), list_array(as_i64(both.ravel()), flat, pa.int64())],
+                    ["doc_id", "n", "f1", "f2", "bands"],
                 )
         trim()
 
@@ -142,14 +143,14 @@ def mix_light(s: np.ndarray, h: int) -> np.ndarray:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (doc_id, text) -> (fp, sh)."""
+    """mapInArrow: (doc_id, text) -> (f1, f2, sh)."""
     for batch in batches:
         texts = text_bytes(batch)
         for lo, hi in pieces(texts, SPAN):
             s, at = shingle_sets(texts[lo:hi])
             has, sub = _nonempty(s, at)
             if len(has):
-                yield pa.RecordBatch.from_arrays([pa.array(as_i64(_fingerprint(s, sub))), list_array(as_i64(s), sub, pa.int64())], ["fp", "sh"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(as_i64(f)) for f in _fingerprint(s, sub)], list_array(as_i64(s), sub, pa.int64())], ["f1", "f2", "sh"])
     trim()
 
 
@@ -260,18 +261,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, bloc
     """
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stage(src.mapInArrow(signatures(bands), "doc_id long, n long, fp long, bands array<long>"), "sig")
-    reps = stage(
-        sig.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x"))
-        .select("fp", "x.*"), "reps")
+    sig = stage(src.mapInArrow(signatures(bands), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sig")
+    # Equal sets (128 bits of hashes) are one node; numbers are given once, where the table is written.
+    reps = sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x"))
+    reps = stage(reps.select(F.monotonically_increasing_id().alias("fp"), "f1", "f2", "x.*"), "reps")
     pair = F.explode(F.sequence(F.lit(0), F.lit(bands * bands - 1)))
     key = F.xxhash64("t", F.expr(f"bands[t div {bands}]"), F.expr(f"bands[{bands} + t % {bands}]"))
     keys = reps.select("fp", "bands", pair.alias("t")).select(key.alias("key"), "fp")
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
     met = stage(keys.join(shared, "key"), "met")
-    cand = stage(met.select("fp").distinct().join(reps.select("fp", "doc_id", "n"), "fp"), "cand")
-    sets = src.join(cand.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets_of, "fp long, sh array<long>")
-    sets = stage(sets.join(cand.select("fp"), "fp", "left_semi"), "sets")
+    cand = stage(met.select("fp").distinct().join(reps.select("fp", "f1", "f2", "doc_id", "n"), "fp"), "cand")
+    sets = src.join(cand.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets_of, "f1 long, f2 long, sh array<long>")
+    sets = stage(sets.join(cand.select("f1", "f2", "fp"), ["f1", "f2"]).select("fp", "sh"), "sets")
     # Shingles that one candidate alone has can be in no overlap; half of the hash is enough to prove it.
     lone = sets.select("fp", F.explode("sh").alias("s")).groupBy(F.expr("cast(s & 4294967295 as bigint)").alias("s")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     lone = lone.filter("lo = hi").groupBy(F.col("lo").alias("fp")).agg(F.count("*").alias("lone"))
@@ -290,10 +291,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, bloc
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = blocks.repartition(n, "g", "ci", "cj").sortWithinPartitions("g", "ci", "cj").mapInArrow(confirm_blocks(percent), "a long, b long")
     comp = components(links).select(F.col("node").alias("fp"), "comp")
-    rows = sig.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fp").join(comp, "fp", "left")
-    rows = rows.select("doc_id", "n", F.coalesce("comp", "fp").alias("comp"))
-    first = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.join(first, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # Classes are named over nodes, so that the rows meet one small table and a hot class only its own nodes.
+    named = stage(reps.select("fp", "f1", "f2", "doc_id").join(comp, "fp"), "linked")
+    first = named.groupBy("comp").agg(F.min("doc_id").alias("first"))
+    named = stage(named.join(first, "comp").select("f1", "f2", "first"), "classes")
+    low = reps.select("f1", "f2", "doc_id").join(named, ["f1", "f2"], "left")
+    low = stage(low.select("f1", "f2", F.coalesce("first", "doc_id").alias("component_id")), "named")
+    rows = sig.filter("n > 0 and doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
+    linked = rows.join(low, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
     alone = sig.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
