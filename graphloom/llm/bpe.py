@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import prepare, text_bytes, trim
 
 LEAF = 12  # bytes that are encoded at once
+LOSSLESS = "surrogateescape"  # bytes that are not UTF-8 stay as they are
 CACHE = 250_000  # distinct matches whose ids a worker remembers; then it starts anew
 CACHE_BYTES = 48  # longer matches are not remembered
 
@@ -119,7 +120,7 @@ class Bpe:
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
+        raw = piece.encode(errors=LOSSLESS)
         ids = np.array(self.tree(raw), "<u4").tobytes()
         if len(raw) <= CACHE_BYTES:
             if len(self.known) >= CACHE:
@@ -175,13 +176,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     """`docs` with `ids`: the packed ids (binary, 4 bytes each, little endian) of every whole text.
 
     Each match of `pattern` is encoded separately; special tokens are ordinary text. Null and empty
-    texts give empty ids; an existing column `ids_col` is replaced. `ids_array` unpacks them.
+    texts give empty ids; bytes that are not UTF-8 are matched as characters of no class and encoded as they are; an existing column `ids_col` is replaced. `ids_array` unpacks them.
     """
     prepare(docs.sparkSession)
 
     def make(texts: list[bytes]) -> list[list[bytes]]:
         bpe = load(path, pattern)
-        return [[bpe.encode(t.decode()) for t in texts]]
+        return [[bpe.encode(t.decode(errors=LOSSLESS)) for t in texts]]
 
     return _mapped(docs, text_col, (ids_col,), make)
 
@@ -203,7 +204,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 
     def make(texts: list[bytes]) -> list[list[bytes]]:
         bpe = load(path, pattern)
-        ids = [bpe.encode(t.decode()) for t in texts]
+        ids = [bpe.encode(t.decode(errors=LOSSLESS)) for t in texts]
         return [ids, [bpe.decode(x) for x in ids]]
 
     return _mapped(docs, text_col, ("ids", "decoded"), make)

@@ -67,3 +67,15 @@ def test_odd_rows_and_array(spark, theirs):
         assert bytes(r.decoded).decode() == (r.text or "")
         assert r.list == theirs.encode_ordinary(r.text or "")
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    raw = [b"\xff\xfe one \xc3", b"caf\xe9 au lait", b"\xed\xa0\x80x", b"good"]
+    strings = pa.Array.from_buffers(pa.string(), len(raw), pa.array(raw, pa.binary()).buffers())
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(raw)), pa.int64()), "text": strings}), tmp_path / "x.parquet")
+    docs = spark.read.parquet(str(tmp_path / "x.parquet"))
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.round_trip(docs, PATH, PATTERN).select("doc_id", "decoded").collect()}
+    assert [got[i] for i in range(len(raw))] == raw
