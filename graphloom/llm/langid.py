@@ -18,7 +18,9 @@ from graphloom.llm.common import pieces, prepare, text_bytes
 
 DIM = 512
 SYMBOLS = 4096  # letter vectors; code points share one modulo this
-SPAN = 1 << 20
+SPAN = 1 << 19  # bytes of text whose trigrams are counted at once
+CELLS = 1 << 22  # counts held at once
+CODES = 1 << 14  # trigrams whose vectors are held at once
 _rng = np.random.default_rng(77)
 _LETTERS = _rng.integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * np.int8(2) - np.int8(1)
 _tables: list[np.ndarray] = []
@@ -44,8 +46,20 @@ def vectors_of(codes: np.ndarray) -> np.ndarray:
 
 
 def profiles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, codes, letters): how often each text has each trigram of letters and word ends; whether it has a letter."""
-    wide = [t.decode().encode("utf-32-le") for t in texts]
+    """(counts, codes, letters): how often each text has each trigram of letters and word ends; whether it has a letter.
+
+    Bytes that are not UTF-8 are no letters."""
+    owner, place, codes, letters = _trigrams(texts)
+    return _dense(owner, place, len(texts), len(codes)), codes, letters
+
+
+def _dense(owner: np.ndarray, place: np.ndarray, texts: int, n: int) -> np.ndarray:
+    return np.bincount(owner * n + place, minlength=texts * n).reshape(texts, n).astype(np.float32)
+
+
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, codes, letters): of each trigram in the texts its text and its place among the codes."""
+    wide = [t.decode(errors="replace").encode("utf-32-le") for t in texts]
     sizes = np.array([len(w) // 4 + 2 for w in wide], np.int64)  # with a word end before and after
     end = bytes(4)
     sym = _symbol_table()[np.frombuffer(b"".join([end + w + end for w in wide]), np.uint32)]
@@ -54,7 +68,7 @@ def profiles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sym, doc = sym[keep].astype(np.int64), doc[keep]
     letters = np.bincount(doc[sym != 0], minlength=len(texts)) > 0
     if len(sym) < 3:
-        return np.zeros((len(texts), 0), np.float32), np.zeros(0, np.int64), letters
+        return *np.zeros((3, 0), np.int64), letters
     used = np.flatnonzero(np.bincount(sym, minlength=SYMBOLS))
     small = np.zeros(SYMBOLS, np.int64)
     small[used] = np.arange(len(used))
@@ -70,17 +84,44 @@ def profiles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place = rank[code]
     else:
         there, place = np.unique(code, return_inverse=True)
-    n = len(there)
     codes = used[there // (k * k)] << 24 | used[there // k % k] << 12 | used[there % k]
-    counts = np.bincount(owner * n + place, minlength=len(texts) * n).reshape(len(texts), n).astype(np.float32)
-    return counts, codes, letters
+    return owner, place, codes, letters
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Slices of at most SPAN bytes and 256 texts: bounds the count matrix."""
-    for lo, hi in pieces(texts, SPAN):
-        for at in range(lo, hi, 256):
-            yield at, min(at + 256, hi)
+def _slices(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about SPAN bytes that end with white space, so that no trigram is cut; a longer word stays whole."""
+    at = 0
+    while len(text) - at > SPAN:
+        end = min((x for x in (text.find(c, at + SPAN) for c in (b" ", b"\n")) if x >= 0), default=-1) + 1
+        if not end:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def bundles(texts: list[bytes], kind: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(v, letters): the summed vectors of the texts of each kind, and whether a text has a letter.
+
+    Memory is bounded by SPAN bytes of text, CELLS counts and CODES trigram vectors at a time.
+    """
+    v, letters = np.zeros((kinds, DIM), np.float32), np.zeros(len(texts), bool)
+    parts = [(i, x) for i, t in enumerate(texts) for x in _slices(t)]
+    for lo, hi in pieces([x for _, x in parts], SPAN):
+        of = np.array([i for i, _ in parts[lo:hi]])
+        owner, place, codes, has = _trigrams([x for _, x in parts[lo:hi]])
+        letters[of[has]] = True
+        there, rows = np.unique(kind[of], return_inverse=True)
+        owner = rows[owner]
+        step = max(1, min(CODES, CELLS // max(len(there), 1)))
+        if len(codes) > step:
+            rank = np.argsort(place, kind="stable")
+            owner, place = owner[rank], place[rank]
+        for at in range(0, len(codes), step):
+            a, b = np.searchsorted(place, (at, at + step)) if len(codes) > step else (0, len(place))
+            n = min(step, len(codes) - at)
+            v[there] += _dense(owner[a:b], place[a:b] - at, len(there), n) @ vectors_of(codes[at : at + n])
+    return v, letters
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +129,10 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = text_bytes(batch), np.array(batch.column(0).to_pylist(), object)
-        for lo, hi in _blocks(texts):
-            counts, codes, _ = profiles(texts[lo:hi])
-            own = langs[lo:hi]
-            names = sorted(set(own))
-            summed = np.stack([counts[own == name].sum(0, dtype=np.float64) for name in names])
-            for name, v in zip(names, summed @ vectors_of(codes).astype(np.float64), strict=True):
-                total[name] = total.get(name, 0) + v
+        names = sorted(set(langs))
+        kind = np.array([names.index(x) for x in langs], np.int64)
+        for name, v in zip(names, bundles(texts, kind, len(names))[0].astype(np.float64), strict=True):
+            total[name] = total.get(name, 0) + v
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
@@ -129,13 +167,12 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
         for batch in batches:
             texts = text_bytes(batch)
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for lo, hi in _blocks(texts) if names else ():
-                counts, codes, letters = profiles(texts[lo:hi])
-                v = counts @ vectors_of(codes)
+            if names:
+                v, letters = bundles(texts, np.arange(len(texts)), len(texts))
                 cos = v @ proto.T / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
                 top = cos.argmax(1)
-                best[lo:hi] = np.where(letters, top, -1)
-                score[lo:hi] = np.where(letters, np.clip(cos[np.arange(hi - lo), top], 0, 1), 0)
+                best = np.where(letters, top, -1)
+                score = np.where(letters, np.clip(cos[np.arange(len(texts)), top], 0, 1), 0).astype(np.float64)
             pred = [names[b] if b >= 0 else "und" for b in best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

@@ -39,3 +39,21 @@ def test_odd_rows(spark):
     assert by[23].lang_pred == by[None].lang_pred == "en" and by[None].held_out is False
     assert langid.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
+
+
+def test_bundles_are_the_sums_of_all_trigrams(monkeypatch):
+    monkeypatch.setattr(langid, "SPAN", 300)
+    monkeypatch.setattr(langid, "CELLS", 64)
+    monkeypatch.setattr(langid, "CODES", 16)
+    texts = ["der die das " * 90, "", "x" * 1000, "日本語の文 と文字 " * 40, "12 !", "été naïve\n" * 70]
+    kind = np.array([0, 1, 2, 1, 0, 2])
+    v, letters = langid.bundles([t.encode() for t in texts], kind, 3)
+    counts, codes, want = langid.profiles([t.encode() for t in texts])
+    each = counts @ langid.vectors_of(codes)
+    assert letters.tolist() == want.tolist() == [True, False, True, True, False, True]
+    assert all((v[k] == each[kind == k].sum(0)).all() for k in range(3))
+
+
+def test_bytes_that_are_not_utf8():
+    bad, good = langid.profiles([b"ab\xff\xfecd", b"ab cd"])[0]
+    assert (bad == good).all()
