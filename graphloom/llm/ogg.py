@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,26 @@ def read(media: bytes) -> tuple[bytes, str]:
     payload = b"".join(b[i] for i in range(max(map(len, bodies))) for b in bodies if i < len(b))
     ends = ",".join(f"{order[k]['granule']}" for k in range(of))
     feature = f"pages={n_pages};packets={sum(map(len, bodies))};granules={ends};seconds={max(order[k]['times'][-1] for k in range(of)):.6f};rate={rate}"
-    return payload, feature
+    return payload, f"{feature};{signal(bodies)}"
+
+
+def signal(streams: list[list[bytes]]) -> str:
+    """What the decoded samples of each stream are like: energy (sum of squares), peak and zero crossings around the level 128."""
+    found = []
+    for packets in streams:
+        energy = peak = crossings = 0
+        last = None
+        for p in packets:
+            x = np.frombuffer(p, np.uint8).astype(np.int32) - 128
+            if not len(x):
+                continue
+            energy += int((x.astype(np.int64) ** 2).sum())
+            peak = max(peak, int(np.abs(x).max()))
+            below = x < 0
+            crossings += int((below[1:] != below[:-1]).sum()) + int(last is not None and last != below[0])
+            last = below[-1]
+        found.append((energy, peak, crossings))
+    return ";".join(f"{name}={','.join(str(f[k]) for f in found)}" for k, name in enumerate(("energy", "peak", "crossings")))
 
 
 def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -53,3 +53,11 @@ def test_whole_table_and_odd_rows(spark, sf):
     by = {r.doc_id: r for r in rows}
     assert (by[None].media_sha256, by[None].feature) == (by[-4].media_sha256, by[-4].feature)
     assert ogg.digest(docs.limit(0)).count() == 0
+
+
+def test_signal_of_the_samples():
+    packets = [[b"\x80\x81\x00", b"", b"\x7f\xff"], [bytes([128, 127, 128])]]
+    # around 128: 0 1 -128 | -1 127 and 0 -1 0
+    assert ogg.signal(packets) == f"energy={1 + 128 * 128 + 1 + 127 * 127},1;peak=128,1;crossings=2,2"
+    one, two = ogg.read(ogg.write(ogg.pad(b"a" * 640)))[1], ogg.read(ogg.write(ogg.pad(b"ab" * 320)))[1]
+    assert one != two
