@@ -65,7 +65,14 @@ def stage(df: DataFrame, name: str = "stage", release: bool = False) -> DataFram
     df.write.option("compression", "zstd").parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(staged: DataFrame) -> None:
+    """Delete what `stage` wrote, once nothing reads it any more."""
+    _remove(staged.sparkSession, staged.staged_at)
 
 
 def trim() -> None:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, embed, langid, minhash, mixing, ogg, pii, suffix, toxicity, warc
+from graphloom.llm import bpe, centroids, codes, embed, langid, minhash, mixing, ogg, pii, suffix, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,9 +59,27 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+ALL = [
+    op1_minhash_dedup, op2_toxicity, op3_warc, op4_pii, op5_suffix_dedup, op6_byte_bpe, op7_embedding_dedup, op8_language_id, op9_mixing,
+    op10_ogg_media, op11_top_k_search, op12_vector_codes, op13_centroid_clusters,
+]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_warc, op4_pii, op5_suffix_dedup, op6_byte_bpe, op7_embedding_dedup, op8_language_id, op9_mixing, op10_ogg_media)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.oracle()}
+    return {"op9_mixing": mixing.oracle(), "op11_top_k_search": topk.oracle(), "op12_vector_codes": codes.oracle(), "op13_centroid_clusters": centroids.oracle()}
