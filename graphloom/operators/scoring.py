@@ -1,15 +1,12 @@
-"""Learned scoring and losses."""
+"""Labels and losses of scoring (L04b, L06-L11, SC09); the network is in network.py, its training in training.py."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import GraphTables
 from graphloom.operators.metrics import doors, multi_degree, source_degree
-from graphloom.session import share_code
 
 
 def fire_exit_loss(g: GraphTables) -> DataFrame:
@@ -61,80 +58,3 @@ def multitask_mse(rows: DataFrame) -> DataFrame:
 def pass_label(quality: Column, fraction: Column) -> Column:
     """SC09: the label: quality if there is one, else the share of constraints passed, else 0.5."""
     return F.coalesce(quality, fraction, F.lit(0.5))
-
-
-class SageWeights:
-    """Seeded weights of a three-layer mean-aggregating network with one head a task."""
-
-    def __init__(self, relations: tuple[str, ...], tasks: tuple[str, ...], dims: int = 27, hidden: int = 128, layers: int = 3, seed: int = 1):
-        r = np.random.default_rng(seed)
-        w = lambda a, b: (r.normal(size=(a, b)) / np.sqrt(a)).astype(np.float32)
-        self.relations, self.tasks, self.hidden = relations, tasks, hidden
-        self.enter = w(dims, hidden)
-        self.layers = [{rel: (w(hidden, hidden), w(hidden, hidden)) for rel in relations} for _ in range(layers)]
-        self.heads = {t: (w(hidden, hidden // 2), w(hidden // 2, 1)) for t in tasks}
-
-    def embed(self, x: np.ndarray, links: dict[str, np.ndarray]) -> np.ndarray:
-        """Room embeddings; links: relation -> (2, E) positions, used both ways."""
-        h = x @ self.enter
-        for layer in self.layers:
-            out = np.zeros_like(h)
-            for rel, (own, near) in layer.items():
-                e = links.get(rel, np.zeros((2, 0), int))
-                s, d = np.concatenate((e[0], e[1])), np.concatenate((e[1], e[0]))
-                total = np.zeros_like(h)
-                np.add.at(total, d, h[s])
-                n = np.bincount(d, minlength=len(h))[:, None]
-                out += h @ own + total / np.maximum(n, 1) @ near
-            mean, var = out.mean(), out.var()  # normalised over the whole graph
-            h = h + np.maximum(0, (out - mean) / np.sqrt(var + 1e-5))
-        return h
-
-    def scores(self, h: np.ndarray) -> list[float]:
-        """One value in (0, 1) a task from the mean embedding."""
-        m = h.mean(0)
-        return [float(1 / (1 + np.exp(-(np.maximum(0, m @ a) @ b)[0]))) for a, b in self.heads.values()]
-
-
-def score_graphs(features: DataFrame, edges: DataFrame, weights: SageWeights) -> DataFrame:
-    """(graph_id, task, score) of every graph. features: (graph_id, room_id, features); edges: (graph_id, rel, src, dst)."""
-    share_code(features.sparkSession)
-    kind = dict(features.dtypes)["graph_id"]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("room_id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        x = np.array(left.column("features").to_pylist(), np.float32)[order]
-        links: dict[str, np.ndarray] = {}
-        if right.num_rows:
-            rel, s, d = right.column("rel").to_pylist(), right.column("src").to_numpy(), right.column("dst").to_numpy()
-            si, di = np.searchsorted(ids, s), np.searchsorted(ids, d)
-            ok = (si < len(ids)) & (di < len(ids))
-            ok &= (ids[np.minimum(si, len(ids) - 1)] == s) & (ids[np.minimum(di, len(ids) - 1)] == d)
-            key = np.array(rel)
-            for r in weights.relations:
-                pick = ok & (key == r)
-                e = np.stack((si[pick], di[pick]))
-                links[r] = e[:, np.lexsort(e)]
-        got = weights.scores(weights.embed(x, links))
-        g = left.column("graph_id")[0].as_py()
-        return pa.table([pa.array([g] * len(got), left.schema.field("graph_id").type), pa.array(list(weights.tasks)), pa.array(got)], names=["graph_id", "task", "score"])
-
-    a = features.select("graph_id", "room_id", "features").groupBy("graph_id")
-    b = edges.select("graph_id", "rel", "src", "dst").toDF("graph_id", "rel", "src", "dst")  # attributes of its own: both sides may come from one frame
-    return a.cogroup(b.groupBy("graph_id")).applyInArrow(run, f"graph_id {kind}, task string, score double")
-
-
-def train_regressor(rows: DataFrame, features: list[str], label: str, folds: int = 3, seed: int = 42):
-    """A regressor on metric features, chosen by cross validation (pyspark.ml in place of a hand-made training loop)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    lr = LinearRegression(featuresCol="x", labelCol=label)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), lr]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed)
-    return cv.fit(rows)

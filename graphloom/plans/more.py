@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import hash_uniform
 from graphloom.model import CATALOG, NOISE, ROOM_TYPES, SPEC_SCHEMA, catalog
 from graphloom.operators import explain as X
 from graphloom.operators import features as P
 from graphloom.operators import generate as G
 from graphloom.operators import layout as Y
+from graphloom.operators import metrics as M
 from graphloom.operators import mining as K
+from graphloom.operators import network as N
 from graphloom.operators import scoring as L
 from graphloom.operators import stats as S
+from graphloom.operators import training as T
 from graphloom.plans.catalogue import on_events, query, r6
 from graphloom.plans.prelude import sql, u
+from graphloom.session import held
 
 # Kernels and patterns ------------------------------------------------------------------------------
 _L0 = {"l0": "select graph_id, room_id as node, room_type as label from nodes"}
@@ -145,19 +150,44 @@ def kmeans(spark: SparkSession, sf_dir: str):
 
 
 # Explanation ---------------------------------------------------------------------------------------
+def _packed(g, tasks=N.TASKS):
+    """The graphs packed for the network, with the metrics as targets and a split by hash."""
+    scores = M.compute_all(g, tuple(M.WEIGHTS))
+    goal = scores.unionByName(M.aggregate(scores).select("graph_id", F.lit("overall_quality").alias("metric"), F.col("score").alias("value")))
+    goal = goal.filter(F.col("metric").isin(*tasks)).select("graph_id", F.col("metric").alias("task"), F.col("value").alias("target"))
+    u7 = hash_uniform(7, F.col("graph_id"), "split")
+    packed = T.pack(_typed(g), g.edges.filter("dst_kind = 'room'"), goal, tasks)
+    return held(packed.withColumn("split", F.when(u7 < 0.7, "train").when(u7 < 0.85, "val").otherwise("test")))
+
+
+def _typed(g):
+    return P.room_features(g.nodes).join(g.nodes.select("graph_id", "room_id", "room_type"), ["graph_id", "room_id"])
+
+
 @on_events()
 def mcts_subgraphs(g):
-    """X03-X14."""
-    links = g.view("physical", "room").select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct()
-    f = X.search_graphs(g.nodes, links)
-    return f.select("graph_id", F.size("kept").cast("long").alias("n_kept"), "dropped_edges", r6("reward"), r6("baseline"), r6("delta"))
+    """The found states of two heads of a network with seeded weights."""
+    packed = T.pack(_typed(g), g.edges.filter("dst_kind = 'room'"))
+    f = X.search_graphs(packed, N.Network(hidden=32), ("overall_quality", "zone_cohesion"))
+    return f.select("graph_id", "metric", F.size("rooms").cast("long").alias("n_rooms"), F.size("edges").cast("long").alias("n_edges"), r6("reward"), r6("baseline"), "actions")
+
+
+_TESTED = ("overall_quality", "fire_safety_margin", "circulation_efficiency")
 
 
 @on_events()
 def counterfactual(g):
-    """X33-X35."""
-    links = g.view("physical", "room").select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct()
-    return X.counterfactual_report(X.search_graphs(g.nodes, links))
+    """Three heads of a network that was trained for two epochs."""
+    packed, network = _packed(g, _TESTED), N.Network(_TESTED, hidden=32)
+    T.fit(packed, network, epochs=2)
+    return X.counterfactual(packed, network).select("graph_id", "metric", "test_type", r6("baseline_score"), r6("sub_score"), r6("delta_q"), "subgraph_nodes", "subgraph_edges", "significant")
+
+
+@on_events()
+def counterfactual_report(g):
+    """X34, X35."""
+    packed = T.pack(_typed(g), g.edges.filter("dst_kind = 'room'"))
+    return X.counterfactual_report(X.counterfactual(packed, N.Network(_TESTED, hidden=32)))
 
 
 @on_events(sql("edges", "select graph_id, least(src, dst) as a, greatest(src, dst) as b, rel from edges where dst_kind = 'room' and src <> dst group by all"))
@@ -243,9 +273,25 @@ def multitask_mse(spark: SparkSession, sf_dir: str):
 
 @on_events()
 def graph_scores(g):
-    """Seeded weights."""
-    w = L.SageWeights(("physical", "acoustic", "sight"), ("overall", "daylight"))
-    return L.score_graphs(P.room_features(g.nodes), g.edges.filter("dst_kind = 'room'"), w).select("graph_id", "task", F.round("score", 4).alias("score"))
+    """All heads of a network with seeded weights."""
+    return T.score(T.pack(_typed(g), g.edges.filter("dst_kind = 'room'")), N.Network()).select("graph_id", "task", F.round("score", 4).alias("score"))
+
+
+@on_events()
+def graph_training(g):
+    """Losses of four epochs over the metrics of the graphs."""
+    packed = _packed(g)
+    state = T.fit(packed, N.Network(hidden=32), epochs=4)
+    return T.history(packed.sparkSession, state).select("epoch", r6("train_loss"), r6("val_loss"), "lr")
+
+
+@on_events()
+def graph_training_report(g):
+    """A20 on the test split, after four epochs."""
+    packed, network = _packed(g), N.Network(hidden=32)
+    T.fit(packed, network, epochs=4)
+    report = S.task_report(T.predictions(packed.filter("split = 'test'"), network))
+    return report.select("task", r6("r2"), r6("mae"), r6("mean_pred"), r6("mean_target"))
 
 
 # Layout --------------------------------------------------------------------------------------------

@@ -36,23 +36,35 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, deleted when the driver ends."""
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
 def held(df: DataFrame) -> DataFrame:
     """df, computed once and written as a table below the checkpoint folder, deleted when the driver ends: its plan starts
     there, and lost executors do not matter."""
-    spark = df.sparkSession
-    checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/held-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_folder(df.sparkSession, "held")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system; none where there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Make sure checkpoint() has a folder: the one the session names, a temporary one only where it names none (tests)."""
     sc = spark.sparkContext

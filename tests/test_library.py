@@ -10,7 +10,6 @@ from graphloom import functions as E
 from graphloom import model as M
 from graphloom.operators import algorithms as A
 from graphloom.operators import constraints as C
-from graphloom.operators import explain as X
 from graphloom.operators import features as P
 from graphloom.operators import generate as G
 from graphloom.operators import layout as Y
@@ -128,21 +127,6 @@ def test_lambda2_matches_the_path(spark):
     assert A.lambda2(e).first().l2 == pytest.approx(1.0, abs=1e-6)
 
 
-def test_search_and_masks(spark):
-    types, pairs = ["classroom"] * 6 + ["corridor"] * 2, [(0, 6), (1, 6), (2, 6), (3, 7), (4, 7), (5, 7), (6, 7)]
-    kept, gone, best, base = X.search(types, pairs, X.stair_share, 60, 0.4, 3)
-    assert {6, 7} <= kept and best >= -1 and base == pytest.approx(2 / 8)
-    assert X._unreached(pairs, {0, 6, 3}) == pytest.approx(1 / 3)
-
-
-def test_search_goes_deep_by_default(spark):
-    n = 66
-    rooms = spark.createDataFrame([(1, i, "corridor" if i % 11 == 0 else "classroom") for i in range(n)], "graph_id long, room_id long, room_type string")
-    links = spark.createDataFrame([(1, i, i - i % 11) for i in range(n) if i % 11] + [(1, i, i + 11) for i in range(0, n - 11, 11)], "graph_id long, node long, nbr long")
-    kept = lambda **k: len(X.search_graphs(rooms, links, **k).first().kept)
-    assert kept() == kept(sims=200) < kept(sims=20)
-
-
 def test_kmeans_and_spectral():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(20, 3)) + 9, rng.normal(size=(20, 3)) - 9])
