@@ -2,9 +2,10 @@
 
 A word enters as its embedding (words the training sample knows) and the mean embedding of its
 characters' 3- to 5-grams. Two gated recurrences read the words from either side, attention pools the
-states of every window of words, and a logistic unit scores it. The recurrences run over tiles of a text,
-each read from `RUN_IN` words before it (and after it, from the other side), so that all windows share the
-states of their words: a window's softmax over its words is a difference of running sums. A window starts
+states of every window of words, and a logistic unit scores it. A word's state is what the recurrences make of
+the `REACH` words before it and itself, and of those after it and itself, in training and in scoring, wherever in
+a text the word stands; all words are read in step. So all windows share the states of their words: a window's
+softmax over its words is a difference of running sums. A window starts
 at every word; a text's score is the calibrated score of its worst window. Training follows from labels of
 whole texts: of a toxic text the worst window stands for it, of a clean one its worst windows do, first
 by word odds, then by the network itself.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import pieces, prepare, text_bytes, trim
 
 WINDOW = 32  # words; a window starts at every word
-TILE, RUN_IN = 64, 16  # words whose states one recurrence gives, and words that it reads before them
+REACH = 4  # words before a word, and after it, that its state depends on
+CHUNK = 2048  # words whose states are computed at once
+SHUT = 60.0  # a gate input that keeps a state exactly as it is
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 12, 8, 8, 8
 WORDS, BUCKETS = 8192, 1 << 16  # known words; buckets of character n-grams (16 bits)
 GRAMS, HEADS = (3, 4, 5), (6, 7, 8)  # bytes of character n-grams, and of beginnings of words
@@ -47,6 +50,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def squash(x: np.ndarray, by: float) -> None:
+    """1 / (1 + exp(by * x)), in place; exp is the fastest of numpy's functions here."""
+    x *= by
+    with np.errstate(over="ignore"):  # of an infinite one becomes 0
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets) of the character n-grams and the beginnings of every word with its ends marked."""
     buf = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in words]), np.uint8).astype(np.uint64)
@@ -77,10 +89,10 @@ def window_starts(sizes: np.ndarray) -> np.ndarray:
 
 
 def lines(begin: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, mask) of `width` words from each `begin` with the words read in before and after; only places in [low, high) count."""
-    at = begin[:, None] + np.arange(-RUN_IN, width + RUN_IN)
+    """(places, mask) of `width` words from each `begin` with REACH words before and after; only places in [low, high) count."""
+    at = begin[:, None] + np.arange(-REACH, width + REACH)
     inside = (at >= low[:, None]) & (at < high[:, None])
-    return np.where(inside, at, low[:, None]), inside.astype(np.float32)
+    return np.where(inside, at, low[:, None]), inside
 
 
 class Net:
@@ -114,29 +126,37 @@ class Net:
     def gates(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]), 1).astype(np.float32)
 
-    def run(self, gates, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (n, width, 2 * HIDDEN) of lines of RUN_IN + width + RUN_IN words, both directions in step.
+    def read(self, gates: np.ndarray, side: str, n: int = 1, keep: list | None = None) -> np.ndarray:
+        """The states of the places in the middle, from the side "f" or "b": gates (3 * HIDDEN, (width + 2 * REACH) * n) -> (HIDDEN, width * n).
 
-        gates(t): the inputs (2, n, 3 * HIDDEN) of word t from either side. keep: gets what the gradient needs.
+        Places follow one another, with n lines at each. Places outside a text have gates of SHUT and change no state. keep: gets
+        what the gradient needs.
         """
-        n, h = len(mask), HIDDEN
-        steps = mask.shape[1] - RUN_IN
-        u = np.stack((self.p["uf"], self.p["ub"]))
-        states = np.zeros((n, steps - RUN_IN, 2 * h), np.float32)
-        s = np.zeros((2, n, h), np.float32)
-        for t in range(steps):
-            x, m = gates(t), np.stack((mask[:, t], mask[:, -1 - t]))[:, :, None]
-            hu = s @ u
-            zr = 0.5 * np.tanh(0.5 * (x[:, :, : 2 * h] + hu[:, :, : 2 * h])) + 0.5
-            z, r = zr[:, :, :h], zr[:, :, h:]
-            c = np.tanh(x[:, :, 2 * h :] + r * hu[:, :, 2 * h :])
-            new = s + m * (1 - z) * (c - s)
+        h, u = HIDDEN, np.ascontiguousarray(self.p[f"u{side}"].T)
+        size = gates.shape[1] - 2 * REACH * n
+        s = np.zeros((h, size), gates.dtype)
+        hu, zr, c = np.zeros((3 * h, size), gates.dtype), np.empty((2 * h, size), gates.dtype), np.empty((h, size), gates.dtype)
+        np.clip(gates, -SHUT, SHUT, out=gates)
+        for t in range(REACH + 1):
+            at = (t if side == "f" else 2 * REACH - t) * n
+            x = gates[:, at : at + size]
+            if t:  # the first word meets no state
+                np.matmul(u, s, out=hu)
+            np.add(x[: 2 * h], hu[: 2 * h], out=zr)
+            squash(zr, -1)
+            z, r = zr[:h], zr[h:]
+            np.multiply(r, hu[2 * h :], out=c)
+            c += x[2 * h :]
+            squash(c, -2)  # tanh is a stretched sigmoid
+            c *= 2
+            c -= 1
             if keep is not None:
-                keep.append((s, z, r, c, hu[:, :, 2 * h :], m))
-            s = new
-            if t >= RUN_IN:
-                states[:, t - RUN_IN, :h], states[:, steps - 1 - t, h:] = s[0], s[1]
-        return states
+                keep.append((at, s.copy(), z.copy(), r.copy(), c.copy(), hu[2 * h :].copy()))
+            c -= s
+            np.subtract(1, z, out=z)
+            c *= z
+            s += c
+        return s
 
     def attend(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = np.tanh(states @ self.p["att"] + self.p["att_b"])
@@ -146,10 +166,15 @@ class Net:
         """Mean cross entropy of windows with the words around them, gradients of the dense parameters, and of the inputs."""
         p, h, n = self.p, HIDDEN, len(y)
         x = np.concatenate((p["word"][known], chars), 2)
-        g = [x @ p["xf"] + p["bf"], x @ p["xb"] + p["bb"]]
-        keep: list = []
-        states = self.run(lambda t: np.stack((g[0][:, t], g[1][:, -1 - t])), mask, keep)
-        inside = mask[:, RUN_IN:-RUN_IN]
+        shut = ~mask.astype(bool)
+        g, keep, sides = [], [[], []], []
+        for k, side in enumerate("fb"):
+            own = x @ p[f"x{side}"] + p[f"b{side}"]
+            own[shut] = SHUT
+            g.append(np.ascontiguousarray(own.transpose(2, 1, 0)).reshape(3 * h, -1))
+            sides.append(self.read(g[k], side, n, keep[k]).reshape(h, -1, n).transpose(2, 1, 0))
+        states = np.concatenate(sides, 2)
+        inside = mask[:, REACH:-REACH]
         a, e = self.attend(states)
         e = np.exp(e - e.max(1, keepdims=True)) * inside
         w = e / e.sum(1, keepdims=True)
@@ -167,28 +192,22 @@ class Net:
         da = de[:, :, None] * p["att_v"] * (1 - a * a)
         d["att"], d["att_b"] = np.einsum("ntd,nta->da", states, da), da.sum((0, 1))
         ds += da @ p["att"].T
-        dg = [np.zeros_like(g[0]), np.zeros_like(g[1])]
-        u = np.stack((p["uf"], p["ub"]))
-        du = np.zeros_like(u)
-        carry = np.zeros((2, n, h), g[0].dtype)
-        steps = len(keep)
-        for t in range(steps - 1, -1, -1):
-            s, z, r, c, hc, m = keep[t]
-            ds_t = carry
-            if t >= RUN_IN:
-                ds_t = carry + np.stack((ds[:, t - RUN_IN, :h], ds[:, steps - 1 - t, h:]))
-            dc = ds_t * m * (1 - z) * (1 - c * c)
-            dz = -ds_t * m * (c - s) * z * (1 - z)
-            dr = dc * hc * r * (1 - r)
-            dh = np.concatenate((dz, dr, dc * r), 2)
-            du += s.transpose(0, 2, 1) @ dh
-            own = np.concatenate((dz, dr, dc), 2)
-            dg[0][:, t], dg[1][:, -1 - t] = own[0], own[1]
-            carry = ds_t * (1 - m * (1 - z)) + dh @ u.transpose(0, 2, 1)
-        dx = dg[0] @ p["xf"].T + dg[1] @ p["xb"].T
+        dx = np.zeros_like(x)
         for k, side in enumerate("fb"):
-            d[f"u{side}"] = du[k]
-            d[f"x{side}"], d[f"b{side}"] = np.einsum("ntd,ntg->dg", x, dg[k]), dg[k].sum((0, 1))
+            u, dg, du = p[f"u{side}"], np.zeros_like(g[k]), np.zeros_like(p[f"u{side}"])
+            carry = ds[:, :, k * h : (k + 1) * h].transpose(2, 1, 0).reshape(h, -1)
+            for at, s, z, r, c, hc in reversed(keep[k]):
+                dc = carry * (1 - z) * (1 - c * c)
+                dz = -carry * (c - s) * z * (1 - z)
+                dr = dc * hc * r * (1 - r)
+                dh = np.concatenate((dz, dr, dc * r))
+                du += s @ dh.T
+                dg[:, at : at + s.shape[1]] += np.concatenate((dz, dr, dc))
+                carry = carry * z + u @ dh
+            dg = dg.reshape(3 * h, -1, n).transpose(2, 1, 0)
+            d[f"u{side}"] = du
+            d[f"x{side}"], d[f"b{side}"] = np.einsum("ntd,ntg->dg", x, dg, optimize=True), dg.sum((0, 1))
+            dx += dg @ p[f"x{side}"].T
         return float(loss), d, dx
 
     def logits(self, halves: tuple[np.ndarray, np.ndarray], idx: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -196,20 +215,23 @@ class Net:
         of inputs(); -inf at words near a text's end that start none."""
         n = len(idx)
         at = np.concatenate(([0], np.cumsum(sizes)))
-        tiles = -(-sizes // TILE)
-        text = np.repeat(np.arange(len(sizes)), tiles)
-        begin = at[text] + TILE * (np.arange(len(text)) - np.repeat(np.cumsum(tiles) - tiles, tiles))
-        weight, value = np.zeros(n + 1), np.zeros(n + 1)
-        for lo in range(0, len(begin), 512):
-            own = text[lo : lo + 512]
-            places, mask = lines(begin[lo : lo + 512], at[own], at[own + 1], TILE)
-            rows = idx[places]
-            states = self.run(lambda t: np.stack((halves[0][rows[:, t]], halves[1][rows[:, -1 - t]])), mask)  # noqa: B023
-            inside = mask[:, RUN_IN:-RUN_IN] > 0
-            there = places[:, RUN_IN:-RUN_IN][inside] + 1
-            weight[there] = np.exp(self.attend(states)[1][inside].astype(np.float64))
-            value[there] = weight[there] * (states @ self.p["out"])[inside]
-        weight, value = np.cumsum(weight), np.cumsum(value)
+        # REACH shut places before each text and behind the last keep the texts apart.
+        place = np.arange(n) + REACH * (1 + np.repeat(np.arange(len(sizes)), sizes))
+        rows = np.full(n + REACH * (len(sizes) + 1), -1)
+        rows[place] = idx
+        weight, value = np.zeros(len(rows)), np.zeros(len(rows))
+        for lo in range(0, len(rows) - 2 * REACH, CHUNK):
+            own = rows[lo : lo + CHUNK + 2 * REACH]
+            sides = []
+            for side, table in zip("fb", halves, strict=True):
+                gates = table[own]
+                gates[own < 0] = SHUT
+                sides.append(self.read(np.ascontiguousarray(gates.T), side))
+            states = np.concatenate(sides).T
+            there = slice(lo + REACH, lo + REACH + len(states))
+            weight[there] = np.exp(self.attend(states)[1].astype(np.float64))
+            value[there] = weight[there] * (states @ self.p["out"])
+        weight, value = (np.concatenate(([0.0], np.cumsum(v[place]))) for v in (weight, value))
         stop = np.minimum(np.arange(n) + WINDOW, np.repeat(at[1:], sizes))
         out = (value[stop] - value[:n]) / (weight[stop] - weight[:n]) + float(self.p["out_b"][0])
         return np.where(window_starts(sizes), out, -np.inf)

@@ -12,29 +12,30 @@ def test_a_window_starts_at_every_word():
     assert [np.flatnonzero(s).tolist() for s in starts] == [list(range(max(1, n - T.WINDOW + 1))) for n in sizes]
 
 
-def test_tiles_give_every_window_the_states_of_its_words():
-    """Window logits from running sums over tiles equal a softmax over states found word by word."""
+def step(s, x, u):
+    h = T.HIDDEN
+    hu = s @ u
+    z, r = T.sigmoid(x[:h] + hu[:h]), T.sigmoid(x[h : 2 * h] + hu[h : 2 * h])
+    return s + (1 - z) * (np.tanh(x[2 * h :] + r * hu[2 * h :]) - s)
+
+
+def test_every_window_has_the_states_of_its_words(monkeypatch):
+    """Window logits from running sums equal a softmax over states found word by word, also where texts cross chunks."""
     net = T.Net(3)
     rng = np.random.default_rng(1)
-    sizes = np.array([1, 40, T.TILE, 3 * T.TILE + 5])
+    sizes = np.array([1, 40, 64, 3 * 64 + 5])
     table = rng.normal(size=(50, 6 * T.HIDDEN)).astype(np.float32)
     idx = rng.integers(0, 50, sizes.sum())
-    got = np.split(net.logits(T._halves(table), idx, sizes), np.cumsum(sizes)[:-1])
-
-    def step(s, x, u):
-        h = T.HIDDEN
-        hu = s @ u
-        z, r = T.sigmoid(x[:h] + hu[:h]), T.sigmoid(x[h : 2 * h] + hu[h : 2 * h])
-        return s + (1 - z) * (np.tanh(x[2 * h :] + r * hu[2 * h :]) - s)
-
-    for rows, mine in zip(np.split(idx, np.cumsum(sizes)[:-1]), got, strict=True):
+    whole = net.logits(T._halves(table), idx, sizes)
+    monkeypatch.setattr(T, "CHUNK", 37)
+    assert np.allclose(net.logits(T._halves(table), idx, sizes), whole, atol=1e-5)
+    for rows, mine in zip(np.split(idx, np.cumsum(sizes)[:-1]), np.split(whole, np.cumsum(sizes)[:-1]), strict=True):
         n, states = len(rows), []
         for i in range(n):
-            tile = i // T.TILE * T.TILE
             f, b = np.zeros(T.HIDDEN), np.zeros(T.HIDDEN)
-            for k in range(max(0, tile - T.RUN_IN), i + 1):
+            for k in range(max(0, i - T.REACH), i + 1):
                 f = step(f, table[rows[k], : 3 * T.HIDDEN], net.p["uf"])
-            for k in range(min(n, tile + T.TILE + T.RUN_IN) - 1, i - 1, -1):
+            for k in range(min(n - 1, i + T.REACH), i - 1, -1):
                 b = step(b, table[rows[k], 3 * T.HIDDEN :], net.p["ub"])
             states.append(np.concatenate((f, b)))
         states = np.array(states)
@@ -47,14 +48,28 @@ def test_tiles_give_every_window_the_states_of_its_words():
             assert abs(w @ states[i : i + T.WINDOW] @ net.p["out"] + net.p["out_b"][0] - mine[i]) < 1e-4
 
 
+def test_trimming_a_prefix_changes_no_score():
+    """Wherever its words stand in a text, a toxic window has the same logit, and the text the same score."""
+    net = T.fit([b"you vile clown", b"a calm day", b"vile thing here", b"calm sea and sky"] * 5, [1, 0, 1, 0] * 5, rounds=1, epochs=2)
+    words = ("calm sea and sky a calm day " * 30).split()
+    scorer, far = T.Scorer(net), " ".join(["you vile clown vile thing here"] * 6)
+    scores = scorer.scores([" ".join([*words[k:], far]).encode() for k in range(0, 160, 7)])
+    assert np.ptp(scores) < 1e-6 and scores[0] > scorer.scores([" ".join(words).encode()])[0]
+    table = T._halves(net.inputs([w.encode() for w in [*words, *far.split()]]))
+    rows = np.arange(len(words) + len(far.split()))
+    whole = net.logits(table, rows, np.array([len(rows)]))
+    for k in (1, 17, 64, 100):
+        assert np.allclose(net.logits(table, rows[k:], np.array([len(rows) - k]))[T.REACH :], whole[k + T.REACH :], atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = T.Net(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    whole = T.WINDOW + 2 * T.RUN_IN
+    whole = T.WINDOW + 2 * T.REACH
     known = rng.integers(0, 20, (4, whole))
     chars = rng.normal(size=(4, whole, T.CHAR_DIM))
-    at, first = np.arange(whole), T.RUN_IN
+    at, first = np.arange(whole), T.REACH
     mask = ((at >= np.array([0, 3, first, first])[:, None]) & (at < np.array([whole, first + 5, first + 1, whole - 7])[:, None])).astype(float)
     y = np.array([1.0, 0, 1, 0])
     _, d, dx = net.loss(known, chars, mask, y)
@@ -79,8 +94,8 @@ def test_scoring_equals_the_training_pass():
     words = [b"you", b"vile", b"calm"]
     table = net.inputs(words)
     one = net.logits(T._halves(table), np.array([0, 1, 2]), np.array([3]))[0]
-    whole = T.WINDOW + 2 * T.RUN_IN
-    here = slice(T.RUN_IN, T.RUN_IN + 3)
+    whole = T.WINDOW + 2 * T.REACH
+    here = slice(T.REACH, T.REACH + 3)
     pad = np.zeros((1, whole), int)
     pad[0, here] = [net.vocab.get(w, 0) for w in words]
     chars = np.zeros((1, whole, T.CHAR_DIM))
@@ -100,7 +115,7 @@ def test_held_out_and_whole_texts(spark):
     far = [r for r in rows if r.held_out and mark.get(r.doc_id) is not None]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
     hit = sum(r.predicted and mark[r.doc_id] for r in far)
-    # Measured 0.75 and 0.90: few toxic texts here are not English (some 20 to 50 to learn from in each language).
+    # Measured 0.78 and 0.92: few toxic texts here are not English (some 20 to 50 to learn from in each language).
     assert hit >= 0.7 * sum(mark[r.doc_id] for r in far) and hit >= 0.8 * sum(r.predicted for r in far)
 
 
