@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_i64, components, list_array, pieces, prepare, stage, text_bytes, trim
@@ -109,12 +109,12 @@ def _nonempty(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(bands: int):
-    """mapInArrow: (doc_id, text) -> (doc_id, n, f1, f2, bands)."""
+    """mapInArrow: (doc_id, text, t1, t2) -> (doc_id, n, f1, f2, bands, t1, t2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch)
-            ids = batch.column(0)
+            ids, t1, t2 = (batch.column(k) for k in (0, 2, 3))
             for lo, hi in pieces(texts, SPAN):
                 s, at = shingle_sets(texts[lo:hi])
                 has, sub = _nonempty(s, at)
@@ -128,8 +128,8 @@ def signatures(bands: int):
                             both[has, j] = both[has, j] * _SLOT[4] + low
                 flat = np.arange(0, (hi - lo) * 2 * bands + 1, 2 * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(as_i64(f1)), pa.array(as_i64(f2)), list_array(as_i64(both.ravel()), flat, pa.int64())],
-                    ["doc_id", "n", "f1", "f2", "bands"],
+                    [ids.slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(as_i64(f1)), pa.array(as_i64(f2)), list_array(as_i64(both.ravel()), flat, pa.int64()), t1.slice(lo, hi - lo), t2.slice(lo, hi - lo)],
+                    ["doc_id", "n", "f1", "f2", "bands", "t1", "t2"],
                 )
         trim()
 
@@ -259,9 +259,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, bloc
     gives an empty result. `bands` sets the recall: a pair at 0.85 shares a key with probability
     0.9999 (8 bands, 64 tables). No cap on the members of a key or group.
     """
+    return _classes(docs, percent, bands, block, id_col, text_col).drop("t1", "t2")
+
+
+def _named(text_col: str) -> list[Column]:
+    """128 bits of a row's text, null or not."""
+    return [F.xxhash64(text_col).alias("t1"), F.xxhash64(text_col, F.lit(7)).alias("t2")]
+
+
+def _classes(docs: DataFrame, percent: int, bands: int, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates() with t1, t2, the name of the row's text."""
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stage(src.mapInArrow(signatures(bands), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sig")
+    sig = stage(src.select("*", *_named("text")).mapInArrow(signatures(bands), "doc_id long, n long, f1 long, f2 long, bands array<long>, t1 long, t2 long"), "sig")
     # Equal sets (128 bits of hashes) are one node; numbers are given once, where the table is written.
     reps = sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x"))
     reps = stage(reps.select(F.monotonically_increasing_id().alias("fp"), "f1", "f2", "x.*"), "reps")
@@ -297,13 +307,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, bloc
     named = stage(named.join(first, "comp").select("f1", "f2", "first"), "classes")
     low = reps.select("f1", "f2", "doc_id").join(named, ["f1", "f2"], "left")
     low = stage(low.select("f1", "f2", F.coalesce("first", "doc_id").alias("component_id")), "named")
-    rows = sig.filter("n > 0 and doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-    linked = rows.join(low, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    alone = sig.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = sig.filter("n > 0 and doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2", "t1", "t2")
+    linked = rows.join(low, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "t1", "t2")
+    alone = sig.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "t1", "t2")
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, bands: int = 9) -> DataFrame:
-    """The documents without near copies of others: of each class the row(s) with the smallest doc_id stay."""
-    gone = near_duplicates(docs, percent, bands).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without near copies of others: of each class the row(s) with the smallest doc_id stay.
+
+    Rows are told by id and text, so that of rows with one id only those go whose own text is a near copy. Rows
+    without an id or without words stay.
+    """
+    gone = _classes(docs, percent, bands).filter("not kept").select(F.col("doc_id").alias("id"), "t1", "t2").distinct()
+    t1, t2 = _named("text")
+    same = (docs["doc_id"].cast("long") == gone["id"]) & (t1 == gone["t1"]) & (t2 == gone["t2"])
+    return docs.join(gone, same, "left_anti")

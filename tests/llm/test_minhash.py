@@ -56,6 +56,15 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_deletes_rows_not_ids(spark):
+    """Of two rows with one id only the near copy goes; extra columns with clashing names stay as they are."""
+    copy = "a b c d e f g h"
+    rows = [(3, copy), (7, copy), (7, "another text that stands for itself here"), (7, None), (7, ""), (None, copy), (9, copy.upper()), (9, copy.upper()), (3, copy)]
+    docs = spark.createDataFrame([(i, t, k, 5, 6) for k, (i, t) in enumerate(rows)], "doc_id long, text string, t1 int, t2 int, id int")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.t1 for r in kept.collect()) == [0, 2, 3, 4, 5, 8]
+
+
 def test_stage_keeps_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (2, "a b c d e f"), (9, "q r")], "doc_id long, text string").withColumn("lang", F.lit("en"))
     out = minhash.keep_one(docs)
