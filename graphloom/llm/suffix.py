@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_i64, pieces, prepare, stage, text_bytes
@@ -349,6 +349,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _told(text: str = "text") -> Column:
+    """64 bits of a text, of which most texts are told."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def _named(src: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(src with tid, a name of its own for every text; the names of the texts that several rows have: (tid, rep, whole)).
+
+    A name has 64 bits. Where a second hash tells that two texts share one, which some pairs of ten thousand million do, the second gives
+    their names.
+    """
+    long_ = src.filter(F.octet_length("text") >= length)
+
+    def found(tid: Column) -> DataFrame:
+        own = long_.select(tid.alias("tid"), F.xxhash64(F.lit(7), "text").alias("two"), "doc_id").groupBy("tid")
+        own = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min("two").alias("lo"), F.max("two").alias("hi"))
+        return stage(own.filter("n > 1").select("tid", "rep", F.lit(True).alias("whole"), (F.col("lo") != F.col("hi")).alias("shared")), "copies")
+
+    tid = _told()
+    copies = found(tid)
+    if shared := [r.tid for r in copies.filter("shared").select("tid").collect()]:
+        tid = F.when(tid.isin(shared), F.xxhash64("text", F.lit(7))).otherwise(tid)
+        copies = found(tid)
+        if copies.filter("shared").limit(1).count():
+            raise RuntimeError("texts share their names")
+    return src.select("doc_id", tid.alias("tid"), "text"), copies.drop("shared")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Documents without the bytes that a repeated string of `length` bytes covers.
 
@@ -356,16 +384,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     that stay, which may cut a character. Null texts count as empty; texts shorter than `length` stay
     whole. A text that several rows have (also rows with equal or null ids) repeats itself wholly.
     Other columns are ignored; an empty table gives an empty result. `crowd` bounds what a task sorts, not
-    what is compared: larger groups are dealt. Texts and places are told by 64-bit hashes, contexts that
-    repeat as a whole by two; all other windows are compared byte by byte.
+    what is compared: larger groups are dealt. Texts are told by 128 bits of hashes, places by 64, contexts that
+    repeat as a whole by two hashes; all other windows are compared byte by byte.
     """
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    src = src.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("tid"), "text")
+    src, copies = _named(src, length)
     long_ = src.filter(F.octet_length("text") >= length)
-    copies = long_.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).filter("n > 1")
-    copies = copies.select("tid", "rep", F.lit(True).alias("whole"))
-    copies = stage(copies, "copies")
     place = long_.select("tid", "text").mapInArrow(_anchor_rows(length, gram), "g long, c long, loc long, tid long, pos int")
     twice = place.groupBy("g").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).filter("lo <> hi").select("g")
     twice = stage(twice, "grams", release=True)

@@ -91,3 +91,11 @@ def test_crowd_through_the_sort(spark, monkeypatch):
     assert sum(w[1] for w in want) > 0 and any(w[1] == 0 for w in want)
     for crowd in (20_000, 50, 5, 1):
         assert run(spark, texts, length=20, gram=6, crowd=crowd) == want
+
+
+def test_texts_that_share_a_name(spark, monkeypatch):
+    """Where the first hash does not tell texts apart, the second names them, and none is taken for a copy."""
+    monkeypatch.setattr(suffix, "_told", lambda text="text": F.substring(text, 1, 1).cast("long"))
+    texts = [f"{k % 3}" + "abcdefg"[k] * 3 + "".join(chr(97 + (i * i * (k + 2)) % 26) for i in range(70)) for k in range(7)]
+    texts += [texts[0], texts[3]]
+    assert run(spark, texts, length=20, gram=6) == brute([t.encode() for t in texts], 20)
