@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import prepare, text_bytes, trim
 
 LEAF = 12  # bytes that are encoded at once
+IDS_LEAF = 512  # ids that are decoded at once
 LOSSLESS = "surrogateescape"  # bytes that are not UTF-8 stay as they are
 CACHE = 250_000  # distinct matches whose ids a worker remembers; then it starts anew
 CACHE_BYTES = 48  # longer matches are not remembered
@@ -137,13 +138,14 @@ class Bpe:
         return self._decode(np.frombuffer(packed, "<u4"))
 
     def _decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) > 1 << 16:
+        """The halves' bytes, concatenated up the tree; a leaf's are gathered from the table of all tokens."""
+        if len(ids) > IDS_LEAF:
             half = len(ids) // 2
             return self._decode(ids[:half]) + self._decode(ids[half:])
-        size = self.length[ids]
-        done = np.cumsum(size)
         if not len(ids):
             return b""
+        size = self.length[ids]
+        done = np.cumsum(size)
         return self.flat[np.repeat(self.begin[ids] - (done - size), size) + np.arange(done[-1])].tobytes()
 
 

@@ -30,6 +30,13 @@ def ids(ours, text):
     return np.frombuffer(ours.encode(text), "<u4").tolist()
 
 
+@pytest.mark.parametrize("leaf", [1, 3, 512])
+def test_decoding_up_the_tree(ours, theirs, monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "IDS_LEAF", leaf)
+    text = "tree of halves, " * 150
+    assert ours.decode(ours.encode(text)) == text.encode() == theirs.decode_bytes(theirs.encode_ordinary(text)) and ours.decode(b"") == b""
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text("ab aA'1\n", max_size=400), st.text("étionçhereing", max_size=300)))
 def test_any_text(ours, theirs, text):
