@@ -1,8 +1,8 @@
 """Graph algorithms (GA01-GA18).
 
 Collections hold many small graphs, so algorithms that iterate over a graph run as one Arrow kernel a
-graph: one shuffle on graph_id, no driver loop. A collection's graphs are bounded by `LARGEST` nodes a
-kernel; for larger ones components_large works on the link table alone.
+graph: one shuffle on graph_id, no driver loop. Graphs of more than `LARGEST` nodes go to the joins of `large`, which work on the
+link table alone.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import large
 from graphloom.session import checkpoints, share_code
 
-LARGEST = 20_000
+LARGEST = 20_000  # nodes of a graph that one task holds
+DENSE = 5_000  # nodes of a graph whose matrix one task holds
 
 
 def kernel(links: DataFrame, fn: Callable, schema: str, node: str = "node", nbr: str = "nbr") -> DataFrame:
     """Apply fn(ids, adjacency lists) -> columns after graph_id to every graph of (graph_id, node, nbr); a null nbr
-    only names a node. ids are sorted. ValueError beyond LARGEST nodes."""
+    only names a node. ids are sorted."""
     share_code(links.sparkSession)
     kind = dict(links.dtypes)["graph_id"]
     names = ["graph_id", *[x.split()[0] for x in schema.split(", ")]]
@@ -32,8 +34,6 @@ def kernel(links: DataFrame, fn: Callable, schema: str, node: str = "node", nbr:
         has = b.is_valid().to_numpy(zero_copy_only=False)
         b = b.drop_null().to_numpy()
         ids = np.unique(np.concatenate((a, b)))
-        if len(ids) > LARGEST:
-            raise ValueError(f"a graph of {len(ids)} nodes is too large for a kernel")
         adj = [set() for _ in ids]
         for x, y in zip(np.searchsorted(ids, a[has]).tolist(), np.searchsorted(ids, b).tolist(), strict=True):
             if x != y:
@@ -68,7 +68,7 @@ def all_pairs(links: DataFrame) -> DataFrame:
         i, j = np.nonzero(d > 0)
         return [pa.array(ids[i]), pa.array(ids[j]), pa.array(d[i, j].astype(np.int64))]
 
-    return kernel(links, fn, "a long, b long, hops long")
+    return large.by_size(links, LARGEST, lambda e: kernel(e, fn, "a long, b long, hops long"), large.all_pairs)
 
 
 def shortest_path(links: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,7 +106,15 @@ def components(links: DataFrame) -> DataFrame:
                             todo.append(y)
         return [pa.array(ids), pa.array(ids[comp])]
 
-    return kernel(links, fn, "node long, component long")
+    return large.by_size(links, LARGEST, lambda e: kernel(e, fn, "node long, component long"), _components_and_lone)
+
+
+def _components_and_lone(links: DataFrame) -> DataFrame:
+    """components_large() and, as the kernel has them, the nodes without a link."""
+    found = components_large(links)
+    ends = links.select("graph_id", "node").union(links.filter("nbr is not null").select("graph_id", "nbr")).distinct()
+    lone = ends.join(found.select("graph_id", "node"), ["graph_id", "node"], "left_anti")
+    return found.unionByName(lone.withColumn("component", F.col("node")))
 
 
 def components_large(links: DataFrame) -> DataFrame:
@@ -153,7 +161,7 @@ def betweenness(links: DataFrame) -> DataFrame:
                     bc[y] += share[y]
         return [pa.array(ids), pa.array(bc / ((n - 1) * (n - 2)) if n > 2 else bc * 0)]
 
-    return kernel(links, fn, "node long, bc double")
+    return large.by_size(links, LARGEST, lambda e: kernel(e, fn, "node long, bc double"), lambda e: large.betweenness(e, blocks=64))
 
 
 def bridges(links: DataFrame) -> DataFrame:
@@ -188,7 +196,7 @@ def bridges(links: DataFrame) -> DataFrame:
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return [pa.array(ids[a]), pa.array(ids[b])]
 
-    return kernel(links, fn, "a long, b long")
+    return large.by_size(links, LARGEST, lambda e: kernel(e, fn, "a long, b long"), large.bridges)
 
 
 def isolated(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,8 +226,6 @@ def lambda2(links: DataFrame) -> DataFrame:
         b, w = t.column("nbr").drop_null().to_numpy(), t.column("w").to_numpy(zero_copy_only=False)[ok]
         ids = np.unique(np.concatenate((a, b)))
         n = len(ids)
-        if n > LARGEST // 4:
-            raise ValueError(f"a graph of {n} nodes is too large for an eigenvalue kernel")
         adj = np.zeros((n, n))
         np.add.at(adj, (np.searchsorted(ids, a[ok]), np.searchsorted(ids, b)), w)
         adj = adj + adj.T
@@ -228,7 +234,10 @@ def lambda2(links: DataFrame) -> DataFrame:
         l2 = float(np.linalg.eigvalsh(lap)[1]) if n > 1 else 0.0
         return pa.table([pa.array([t.column("graph_id")[0].as_py()], t.schema.field("graph_id").type), pa.array([l2])], names=["graph_id", "l2"])
 
-    return links.select("graph_id", "node", "nbr", "w").groupBy("graph_id").applyInArrow(run, f"graph_id {kind}, l2 double")
+    def dense(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("graph_id").applyInArrow(run, f"graph_id {kind}, l2 double")
+
+    return large.by_size(links.select("graph_id", "node", "nbr", "w"), DENSE, dense, large.lambda2)
 
 
 def fire_mask(nodes: DataFrame, edges: DataFrame, threshold: int = 50) -> DataFrame:
