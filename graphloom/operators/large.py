@@ -257,6 +257,8 @@ def by_size(links: DataFrame, largest: int, small: Callable[[DataFrame], DataFra
     Links number a graph's nodes at least once from either end, so that only graphs with more rows than half of `largest` are counted.
     """
     many = links.groupBy("graph_id").count().filter(F.col("count") > largest // 2).select("graph_id")
+    if many.isEmpty():
+        return small(links)
     ends = links.select("graph_id", "node").union(links.filter("nbr is not null").select("graph_id", "nbr"))
     big = ends.join(many, "graph_id", "left_semi").distinct().groupBy("graph_id").count().filter(F.col("count") > largest).select("graph_id")
     checkpoints(links.sparkSession)

@@ -17,7 +17,7 @@ from graphloom.operators import network as N
 from graphloom.operators import scoring as L
 from graphloom.operators import stats as S
 from graphloom.operators import training as T
-from graphloom.plans.catalogue import on_events, query, r6
+from graphloom.plans.catalogue import LAMBDA2, on_events, query, r6
 from graphloom.plans.prelude import sql, u
 from graphloom.session import held
 
@@ -248,7 +248,7 @@ def daylight_loss(g):
     return L.daylight_loss(g).select("graph_id", r6("loss"))
 
 
-@on_events()
+@on_events(sql("nodes phys", "select graph_id, round(case when exists (select 1 from ra where ra.graph_id = l2.graph_id) then greatest(0, 0.05 - l2) else 0.5 end, 6) as loss from l2", **LAMBDA2))
 def connectivity_loss(g):
     """L09."""
     return L.connectivity_loss(g).select("graph_id", r6("loss"))
