@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import half_even
+from graphloom.functions import half_even, hash_uniform
 from graphloom.model import RELATIONS, ROOM_TYPES, RULES, GraphTables
 from graphloom.operators import algorithms as A
 from graphloom.operators.constraints import distinct_degree
@@ -297,6 +297,35 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.crossJoin(F.broadcast(fit)).groupBy("slope", "intercept", "r2", "r").agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.pow(c(y) - F.col("mean"), 2)).alias("mse_mean"))
 
 
+def score_audit(rows: DataFrame) -> DataFrame:
+    """Per split of (split, score), and over `all`: count, mean, sample deviation, least, most, lower median, distinct scores to
+    four places, scores of 1 and of at least 0.83."""
+    s = F.col("score")
+    both = rows.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "score")
+    return both.groupBy("split").agg(
+        F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"),
+        F.expr("percentile_disc(0.5) within group (order by score)").alias("median"), F.countDistinct(F.round(s, 4)).alias("distinct_scores"),
+        F.count_if(s == 1).alias("perfect"), F.count_if(s >= 0.83).alias("high"),
+    )
+
+
+def model_audit(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """One row over (key, x, pred, target): errors of the predictions beside those of the mean, of random numbers by hash and of a
+    line through x, what the model gains on the mean and on the line (%), correlation, how many errors are small, and the deviations' ratio."""
+    e, t = F.col("pred") - F.col("target"), F.col("target")
+    fit = rows.agg(F.avg("target").alias("mean"), F.regr_slope("target", "x").alias("slope"), F.regr_intercept("target", "x").alias("intercept"))
+    d = rows.crossJoin(F.broadcast(fit)).withColumn("error", F.abs(e))  # one row
+    square = lambda c: F.avg(F.pow(c, 2))
+    out = d.agg(
+        F.count("*").alias("n"), square(e).alias("mse"), F.avg("error").alias("mae"), square(t - F.col("mean")).alias("mse_mean"),
+        square(t - hash_uniform(seed, F.col("key"), "baseline")).alias("mse_random"), square(t - F.col("intercept") - F.col("slope") * F.col("x")).alias("mse_line"),
+        F.corr("pred", "target").alias("corr"), (F.stddev_samp("pred") / F.stddev_samp("target")).alias("spread"),
+        *[F.count_if(F.col("error") < c).alias(f"under_{round(100 * c):02d}") for c in (0.05, 0.10, 0.15)], F.count_if(F.col("error") >= 0.20).alias("over_20"),
+    )
+    gain = lambda base: F.try_divide(100 * (F.col(base) - F.col("mse")), F.col(base))
+    return out.withColumns({"r2": 1 - F.try_divide(F.col("mse"), F.col("mse_mean")), "gain_mean": gain("mse_mean"), "gain_line": gain("mse_line")})
+
+
 def type_variation(g: GraphTables) -> DataFrame:
     """Mean, sample deviation and coefficient of variation of each type's count over graphs (absent counts as 0)."""
     n = g.graphs.select("graph_id").distinct()

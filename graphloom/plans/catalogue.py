@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import hash_uniform
 from graphloom.operators import algorithms as A
 from graphloom.operators import constraints as C
 from graphloom.operators import features as P
@@ -722,6 +723,41 @@ def baseline_regression(g):
     return S.regression(q, "x", "y").select(r6("slope"), r6("intercept"), r6("r2"), r6("r"))
 
 
+_U7 = u("7", "graph_id", "'split'")
+_MARGIN = {"m": METRIC_SQL["fire_safety_margin"][2], "s": f"select case when {_U7} < 0.7 then 'train' when {_U7} < 0.85 then 'val' else 'test' end as split, value as score from m"}
+
+
+def _margins(g):
+    part = hash_uniform(7, F.col("graph_id"), "split")
+    return M.fire_safety_margin(g).select(F.when(part < 0.7, "train").when(part < 0.85, "val").otherwise("test").alias("split"), F.col("value").alias("score"))
+
+
+@on_events(sql("nodes graphs mdeg", "select split, count(*) as n, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std, round(min(score), 6) as least, round(max(score), 6) as most, round(quantile_disc(score, 0.5), 6) as median, count(distinct round(score, 4)) as distinct_scores, count(*) filter (where score = 1) as perfect, count(*) filter (where score >= 0.83) as high from (select split, score from s union all select 'all', score from s) group by 1", **_MARGIN))
+def score_audit(g):
+    """A16."""
+    return S.score_audit(_margins(g)).select("split", "n", r6("mean"), r6("std"), r6("least"), r6("most"), r6("median"), "distinct_scores", "perfect", "high")
+
+
+@on_events(sql("nodes graphs mdeg", "select least(5, floor(round(score, 9) * 6))::int as bin, count(*) as n from s where score between 0 and 1 group by 1", **_MARGIN))
+def score_bins(g):
+    """Six equal bins."""
+    return S.histogram(_margins(g).withColumn("score", F.round("score", 9)), "score", 0.0, 1.0, 6)
+
+
+_MODEL = {
+    "q": "select graph_id, count(*)::double as x, coalesce(avg(area) filter (where floor = 0), avg(area)) / 100 as pred, avg(area) / 100 as target from nodes group by 1",
+    "f": "select avg(target) as mean, regr_slope(target, x) as slope, regr_intercept(target, x) as intercept from q",
+    "o": f"select count(*) as n, avg((pred - target) ** 2) as mse, avg(abs(pred - target)) as mae, avg((target - mean) ** 2) as mse_mean, avg((target - {u('42', 'graph_id', chr(39) + 'baseline' + chr(39))}) ** 2) as mse_random, avg((target - intercept - slope * x) ** 2) as mse_line, corr(pred, target) as corr, stddev_samp(pred) / stddev_samp(target) as spread, count(*) filter (where abs(pred - target) < 0.05) as under_05, count(*) filter (where abs(pred - target) < 0.10) as under_10, count(*) filter (where abs(pred - target) < 0.15) as under_15, count(*) filter (where abs(pred - target) >= 0.20) as over_20 from q, f",
+}
+
+
+@on_events(sql("nodes", "select n, round(mse, 6) as mse, round(mae, 6) as mae, round(1 - mse / mse_mean, 6) as r2, round(mse_mean, 6) as mse_mean, round(mse_random, 6) as mse_random, round(mse_line, 6) as mse_line, round(100 * (mse_mean - mse) / mse_mean, 6) as gain_mean, round(100 * (mse_line - mse) / mse_line, 6) as gain_line, round(corr, 6) as corr, round(spread, 6) as spread, under_05, under_10, under_15, over_20 from o", **_MODEL))
+def model_audit(g):
+    """The mean area of the ground floor as a prediction of that of all floors."""
+    q = g.nodes.groupBy(F.col("graph_id").alias("key")).agg(F.count("*").cast("double").alias("x"), (F.coalesce(F.avg(F.when(F.col("floor") == 0, F.col("area"))), F.avg("area")) / 100).alias("pred"), (F.avg("area") / 100).alias("target"))
+    return S.model_audit(q).select("n", *[r6(c) for c in ("mse", "mae", "r2", "mse_mean", "mse_random", "mse_line", "gain_mean", "gain_line", "corr", "spread")], "under_05", "under_10", "under_15", "over_20")
+
+
 @query("select task, round(case when sum((target - t) ** 2) > 0 then 1 - sum((pred - target) ** 2) / sum((target - t) ** 2) else 0 end, 6) as r2, round(avg(abs(pred - target)), 6) as mae, round(avg(pred), 6) as mean_pred, round(avg(target), 6) as mean_target from (select *, avg(target) over (partition by task) as t from (select l_returnflag as task, l_extendedprice / l_quantity as pred, p_retailprice as target from lineitem join part on p_partkey = l_partkey)) group by 1")
 def per_task_r2(spark, sf_dir):
     """A20 over line items: the unit price against the part's."""
