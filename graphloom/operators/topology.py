@@ -192,12 +192,23 @@ def apply_rules(g: GraphTables, topology: str | None = None, seed: int = 42, kee
     return reduce(DataFrame.unionByName, map(keep, parts))
 
 
-def adjacent_rectangles(rects: DataFrame, gap: float = 0.5) -> DataFrame:
-    """Both directions of every pair of rectangles (graph_id, rect_id, x, y, w, h) of a graph that touch."""
-    a = rects.select("graph_id", *[F.col(c).alias(f"a_{c}") for c in ("rect_id", "x", "y", "w", "h")])
-    b = rects.select("graph_id", *[F.col(c).alias(f"b_{c}") for c in ("rect_id", "x", "y", "w", "h")])
+def adjacent_rectangles(rects: DataFrame, gap: float = 0.5, cell: float = 10.0) -> DataFrame:
+    """Both directions of every pair of rectangles (graph_id, rect_id, x, y, w, h) of a graph that touch.
+
+    A rectangle, with the gap before it, goes to every cell of a grid that it lies in. Two that touch have the larger of their first
+    corners in common: its cell alone lets them meet, so that a pair comes once, and a graph is spread over its cells.
+    """
+    index = lambda c: F.floor(c / cell)
+
+    def placed(p: str) -> DataFrame:
+        span = lambda at, size: F.sequence(index(F.col(at) - gap), F.greatest(index(F.col(at) - gap), index(F.col(at) + F.col(size))))
+        rows = rects.select("graph_id", "rect_id", "x", "y", "w", "h", F.explode(span("x", "w")).alias("cx")).withColumn("cy", F.explode(span("y", "h")))
+        return rows.select("graph_id", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in ("rect_id", "x", "y", "w", "h")])
+
     hit = touches(*[F.col(f"a_{c}") for c in "xywh"], *[F.col(f"b_{c}") for c in "xywh"], gap)
-    return a.join(b, "graph_id").filter("a_rect_id <> b_rect_id").filter(hit).select("graph_id", F.col("a_rect_id").alias("src"), F.col("b_rect_id").alias("dst"))
+    corner = (index(F.greatest("a_x", "b_x") - gap) == F.col("cx")) & (index(F.greatest("a_y", "b_y") - gap) == F.col("cy"))
+    both = placed("a").join(placed("b"), ["graph_id", "cx", "cy"]).filter("a_rect_id <> b_rect_id")
+    return both.filter(corner & hit).select("graph_id", F.col("a_rect_id").alias("src"), F.col("b_rect_id").alias("dst"))
 
 
 def toilet_service(nodes: DataFrame, radius: float | None = None) -> DataFrame:

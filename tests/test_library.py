@@ -331,3 +331,14 @@ def test_places_follow_the_site(spark):
     assert 10 <= at["ground", "office"][0] <= 50 and 150 <= at["ground", "gymnasium"][0] <= 190 and at["ground", "entrance_hall"] == (10, 37.5)
     assert at["teaching", "staircase"][0] in (10, 100, 190) and at["teaching", "staircase"][1] == 112.5 == at["teaching", "corridor"][1]
     assert 120 <= at["teaching", "classroom"][1] <= 142.5 and 86.25 <= at["teaching", "gymnasium"][1] <= 108.75
+
+
+def test_rectangles_meet_once_over_the_grid(spark):
+    """The pairs of a plain comparison, each way once, for cells smaller and larger than the rectangles, also left of and below zero."""
+    rng = np.random.default_rng(4)
+    rects = [(1 + i % 2, i, *map(float, np.round(rng.uniform(-30, 30, 2), 1)), *map(float, np.round(rng.uniform(0, 12, 2), 1))) for i in range(60)] + [(3, 1, 0.0, 0.0, 10.0, 1.0), (3, 2, 10.5, 0.0, 0.0, 1.0), (3, 3, 11.1, 0.0, 1.0, 1.0)]
+    near = lambda a, b: a[2] - 0.5 <= b[2] + b[4] and b[2] - 0.5 <= a[2] + a[4] and a[3] - 0.5 <= b[3] + b[5] and b[3] - 0.5 <= a[3] + a[5]
+    want = sorted((a[0], a[1], b[1]) for a in rects for b in rects if a[0] == b[0] and a[1] != b[1] and near(a, b))
+    d = spark.createDataFrame(rects, "graph_id long, rect_id long, x double, y double, w double, h double")
+    for cell in (1.5, 10.0, 100.0):
+        assert sorted(map(tuple, J.adjacent_rectangles(d, cell=cell).collect())) == want
