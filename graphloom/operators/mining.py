@@ -179,6 +179,20 @@ def centroids(members: DataFrame, kernel: DataFrame) -> DataFrame:
     return s.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("c1").alias("cluster"), F.col("g1").alias("graph_id"))
 
 
+def histogram_centroids(members: DataFrame, hist: DataFrame) -> DataFrame:
+    """X22 without a kernel matrix: as `centroids`, from the histograms (graph_id, bin, n).
+
+    A graph's kernel values add up to its product with the sum of the cluster's histograms of length 1, of which there is one a cluster; on the
+    diagonal the squared norm stands for the cosine with itself.
+    """
+    norm = hist.groupBy("graph_id").agg((F.sqrt(F.sum(F.col("n") * F.col("n"))) + 1e-8).alias("norm"))
+    unit = hist.join(norm, "graph_id").join(members.select("graph_id", "cluster"), "graph_id").select("graph_id", "cluster", "bin", "n", (F.col("n") / F.col("norm")).alias("u"))
+    total = unit.groupBy("cluster", "bin").agg(F.sum("u").alias("t"))
+    s = unit.join(total, ["cluster", "bin"]).groupBy("cluster", "graph_id").agg(F.sum(F.col("u") * (F.col("t") - F.col("u")) + F.col("n") * F.col("n")).alias("s"))
+    w = Window.partitionBy("cluster").orderBy(F.desc(F.round("s", 6)), "graph_id")
+    return s.withColumn("r", F.row_number().over(w)).filter("r = 1").select("cluster", "graph_id")
+
+
 def motifs(members: DataFrame) -> DataFrame:
     """Clusters of two or more graphs, numbered by size (ties by cluster): (motif_id, cluster, frequency, percentage)."""
     n = members.groupBy("cluster").agg(F.count("*").alias("frequency"))

@@ -130,6 +130,27 @@ def motif_prototypes(g):
     return K.prototypes(m, S.type_distribution(g).withColumnRenamed("room_type", "label")).select("cluster", "label", r6("mean"), "graphs")
 
 
+@on_events(sql("simple graphs", "select cluster, label, round(avg(n), 6) as mean, count(*) as graphs from (select graph_id, etype as label, count(*) as n from simple group by 1, 2) join mem using (graph_id) group by 1, 2", **_MEM))
+def motif_edge_prototypes(g):
+    """Edge compositions of five given clusters."""
+    m = g.graphs.select("graph_id", (F.col("graph_id") % 5).alias("cluster"))
+    n = P.flatten(g.edges).groupBy("graph_id", F.col("etype").alias("label")).agg(F.count("*").alias("n"))
+    return K.prototypes(m, n).select("cluster", "label", r6("mean"), "graphs")
+
+
+_PAIRS = {
+    "nm": "select graph_id, sqrt(sum(n * n)) + 1e-8 as m from hist group by 1",
+    "kk": "select p.cluster, a.graph_id, case when a.graph_id = b.graph_id then sum(a.n * b.n)::double else sum(a.n * b.n) / (na.m * nb.m) end as k from hist a join hist b using (bin) join mem p on p.graph_id = a.graph_id join mem q on q.graph_id = b.graph_id and p.cluster = q.cluster join nm na on na.graph_id = a.graph_id join nm nb on nb.graph_id = b.graph_id group by p.cluster, a.graph_id, b.graph_id, na.m, nb.m",
+}
+
+
+@on_events(sql("nodes door graphs", "select cluster, graph_id from (select cluster, graph_id, row_number() over (partition by cluster order by round(sum(k), 6) desc, graph_id) as r from kk group by 1, 2) where r = 1", **_HIST, **_MEM, **_PAIRS))
+def motif_centroids(g):
+    """The middle graphs of five given clusters."""
+    m = g.graphs.select("graph_id", (F.col("graph_id") % 5).alias("cluster"))
+    return K.histogram_centroids(m, held(K.wl_histogram(_labels(g), _doors(g))))
+
+
 @on_events(sql("graphs", "select row_number() over (order by count(*) desc, cluster) - 1 as motif_id, cluster, count(*) as frequency, round(count(*) / (select count(*) from mem), 6) as percentage from mem group by cluster having count(*) >= 2", **_MEM))
 def motif_frequencies(g):
     """X19's numbering."""
