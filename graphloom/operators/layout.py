@@ -73,11 +73,14 @@ def pack_rows(nodes: DataFrame, height: float = 7.0, total: float | None = None,
 
 
 def strips(nodes: DataFrame, width: float = 50.0, per_row: int = 6) -> DataFrame:
-    """(…, row, x0, w, h): largest rooms first, `per_row` a strip; a strip's height is its area over the width, a room's width its share."""
+    """(…, row, x0, w, h): largest rooms first, `per_row` a strip; a strip's height is its area over the width, a room's width its share.
+
+    In a strip without area the shares are 0 / 0: the widths are NaN, as in the SQL."""
     o = Window.partitionBy("graph_id", "typical_floor").orderBy(F.desc("area"), "ord")
     d = nodes.withColumn("_i", F.row_number().over(o) - 1).withColumn("row", F.expr(f"cast(_i div {per_row} as long)"))
     r = Window.partitionBy("graph_id", "typical_floor", "row")
-    d = d.withColumn("h", F.sum("area").over(r) / width).withColumn("w", F.col("area") / F.sum("area").over(r) * width)
+    share = F.coalesce(F.try_divide(F.col("area"), F.sum("area").over(r)), F.col("area") * float("inf"))
+    d = d.withColumn("h", F.sum("area").over(r) / width).withColumn("w", share * width)
     return d.withColumn("x0", F.coalesce(F.sum("w").over(r.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_i")
 
 
