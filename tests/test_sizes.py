@@ -3,10 +3,21 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom import model as M
+from graphloom.operators import constraints as C
 from graphloom.operators import layout as Y
 
 
+def test_areas_that_add_up_to_the_bound_are_within_it(spark):
+    n = spark.range(12000).coalesce(1).select(F.lit(1).cast("long").alias("graph_id"), F.lit("ground").alias("typical_floor"), F.lit(0).alias("floor_lo"), F.lit(0).alias("floor_hi"), F.lit(0.07).alias("area"))
+    graphs = spark.createDataFrame([(1, "small", 1)], "graph_id long, school_size string, num_floors int")
+    assert C.area_completeness(M.GraphTables(graphs, n, n.limit(0), n.limit(0))).collect() == []  # 840 of 800 m2
+    more = n.withColumn("area", F.lit(0.0701))
+    assert C.area_completeness(M.GraphTables(graphs, more, n.limit(0), n.limit(0))).count() == 2
+
+
 def test_a_strip_without_area(spark):
     rows = [(1, "ground", k, float(a)) for k, a in enumerate((6, 5, 4, 3, 2, 1, 0, 0))]
     d = {r.ord: r for r in Y.strips(spark.createDataFrame(rows, "graph_id long, typical_floor string, ord int, area double")).collect()}
