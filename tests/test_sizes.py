@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import model as M
 from graphloom.operators import constraints as C
 from graphloom.operators import layout as Y
+from graphloom.operators import metrics as Q
 
 
 def test_areas_that_add_up_to_the_bound_are_within_it(spark):
@@ -23,3 +24,13 @@ def test_a_strip_without_area(spark):
     d = {r.ord: r for r in Y.strips(spark.createDataFrame(rows, "graph_id long, typical_floor string, ord int, area double")).collect()}
     assert [d[k].row for k in (0, 5, 6, 7)] == [0, 0, 1, 1] and d[6].h == d[6].x0 == 0.0
     assert math.isnan(d[6].w) and math.isnan(d[7].w) and d[0].w == pytest.approx(50 * 6 / 21)
+
+
+def test_fire_margins_do_not_depend_on_the_order_of_rooms(spark):
+    want = {32: (1, 0.65625), 64: (62, 0.34375), 96: (93, 0.34375)}  # rooms of the graph: those with one third, the mean
+    rooms = [(n, i, 60, 2) for n in want for i in range(n)]
+    lines = [(n, i, 1000) for n, (a, _) in want.items() for i in range(n) for _ in range(2 if i < a else 3)]
+    nodes = spark.createDataFrame(rooms, "graph_id long, room_id long, occupancy int, exits int")
+    edges = spark.createDataFrame(lines, "graph_id long, src long, dst long").withColumns({"rel": F.lit("physical"), "dst_kind": F.lit("room")})
+    g = M.GraphTables(nodes.select("graph_id").distinct(), nodes, nodes.limit(0), edges)
+    assert {r.graph_id: r.value for r in Q.fire_safety_margin(g).collect()} == {n: v for n, (_, v) in want.items()}
