@@ -2,13 +2,17 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import model as M
+from graphloom.operators import algorithms as A
 from graphloom.operators import constraints as C
+from graphloom.operators import features as P
 from graphloom.operators import layout as Y
 from graphloom.operators import metrics as Q
+from graphloom.operators import mining as K
 
 
 def test_areas_that_add_up_to_the_bound_are_within_it(spark):
@@ -34,3 +38,43 @@ def test_fire_margins_do_not_depend_on_the_order_of_rooms(spark):
     edges = spark.createDataFrame(lines, "graph_id long, src long, dst long").withColumns({"rel": F.lit("physical"), "dst_kind": F.lit("room")})
     g = M.GraphTables(nodes.select("graph_id").distinct(), nodes, nodes.limit(0), edges)
     assert {r.graph_id: r.value for r in Q.fire_safety_margin(g).collect()} == {n: v for n, (_, v) in want.items()}
+
+
+def _random_graphs(spark):
+    """Two graphs of 14 rooms and a lone one, with loops, double doors and several components."""
+    rng = np.random.default_rng(5)
+    types = ("classroom", "corridor", "toilet", "music_room")
+    rooms = [(k, i, types[i % 4], (1, 2, 1, 3)[i % 4], (1, 3, 1, 0)[i % 4]) for k in (1, 2) for i in range(14)] + [(3, 0, "corridor", 2, 3)]
+    doors = [(k, int(a), int(b)) for k in (1, 2) for a, b in rng.integers(0, 14, (11, 2))] + [(1, 0, 1), (1, 1, 0), (2, 3, 3)]
+    nodes = spark.createDataFrame(rooms, "graph_id long, room_id long, room_type string, noise int, tolerance int")
+    edges = spark.createDataFrame(doors, "graph_id long, src long, dst long").withColumns({"rel": F.lit("physical"), "dst_kind": F.lit("room")})
+    return M.GraphTables(nodes.select("graph_id").distinct(), nodes, nodes.limit(0), edges)
+
+
+def test_hop_metrics_make_no_row_for_a_pair(spark, monkeypatch):
+    g = _random_graphs(spark)
+    names = ("acoustic_comfort", "stair_service_radius", "toilet_coverage", "local_evacuation_loop")
+    rows = lambda: {(r.graph_id, r.metric): round(r.value, 9) for r in Q.compute_all(g, names).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(A, "LARGEST", 2)  # the joins for large graphs, which do
+        want = rows()
+    monkeypatch.setattr(A, "all_pairs", None)
+    assert rows() == want and len(want) == 12
+
+
+def test_paths_of_components(spark, monkeypatch):
+    links = P.undirected(_random_graphs(spark).edges)
+    rows = lambda: sorted(map(tuple, A.component_paths(links).collect()))
+    small = rows()
+    monkeypatch.setattr(A, "LARGEST", 2)
+    assert small == rows() and small
+
+
+def test_refinement_shuffles_labels_once(spark, monkeypatch):
+    g = _random_graphs(spark)
+    lab = g.nodes.select("graph_id", F.col("room_id").alias("node"), F.col("room_type").alias("label"))
+    h = K.wl_histogram(lab, P.undirected(g.edges))
+    assert h._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    small = sorted(map(tuple, h.collect()))
+    monkeypatch.setattr(K, "LARGEST", 2)
+    assert small == sorted(map(tuple, K.wl_histogram(lab, P.undirected(g.edges)).collect())) and small
