@@ -39,8 +39,8 @@ def graph_summary(g: GraphTables) -> DataFrame:
     comp = A.components(links.unionByName(names))
     size = comp.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
     top = size.groupBy("graph_id").agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("t"), F.count("*").alias("n_components"))
-    inside = comp.join(top.select("graph_id", (-F.col("t.c")).alias("component")), ["graph_id", "component"], "left_semi").select("graph_id", F.col("node").alias("a"))
-    hops = A.all_pairs(links).join(inside, ["graph_id", "a"], "left_semi").groupBy("graph_id").agg(F.avg("hops").alias("apl"), F.max("hops").alias("diameter"))
+    largest = top.select("graph_id", (-F.col("t.c")).alias("component"))
+    hops = A.component_paths(links).join(largest, ["graph_id", "component"]).select("graph_id", (F.col("hops") / F.col("pairs")).alias("apl"), "diameter")
     cc = names.select("graph_id", "node").join(A.clustering(links), ["graph_id", "node"], "left").groupBy("graph_id").agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("clustering"))
     phys = links_both(simple.filter("etype = 'physical'")).groupBy("graph_id", F.col("node").alias("room_id")).agg(F.count("*").alias("d"))
     rooms = g.nodes.join(phys, ["graph_id", "room_id"], "left").groupBy("graph_id").agg(F.count("*").alias("n_rooms"), F.avg(F.coalesce("d", F.lit(0))).alias("avg_degree"))
@@ -210,8 +210,7 @@ def evaluate_circulation(g: GraphTables) -> DataFrame:
     comp = A.components(whole)
     size = comp.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
     top = size.groupBy("graph_id").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
-    inside = comp.join(top, ["graph_id", "component"], "left_semi").select("graph_id", F.col("node").alias("a"))
-    path = A.all_pairs(phys).join(inside, ["graph_id", "a"], "left_semi").groupBy("graph_id").agg(F.avg("hops").alias("avg_path"), F.max("hops").alias("diameter"))
+    path = A.component_paths(phys).join(top, ["graph_id", "component"]).select("graph_id", (F.col("hops") / F.col("pairs")).alias("avg_path"), "diameter")
     bc = A.betweenness(whole).join(g.nodes.select("graph_id", F.col("room_id").alias("node"), F.lit(True).alias("room")), ["graph_id", "node"], "left")
     first = F.sort_array(F.collect_list(F.when(F.col("room"), F.struct((-F.round("bc", 9)).alias("o"), "node"))))
     bc = bc.groupBy("graph_id").agg(F.max("bc").alias("max_betweenness"), F.transform(F.slice(first, 1, 3), lambda x: x["node"]).alias("bottlenecks"))
