@@ -48,11 +48,12 @@ def graph_summary(g: GraphTables) -> DataFrame:
     e = g.edges.groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.count_if((F.col("dst_kind") == "room")).alias("n_rr"))
     out = rooms.join(envs, "graph_id", "left").join(e, "graph_id", "left").join(top.select("graph_id", "n_components"), "graph_id", "left").join(cc, "graph_id", "left").join(hops, "graph_id", "left")
     pairs = F.col("n_rooms") * (F.col("n_rooms") - 1) / 2
+    rounded = lambda c, places: half_even(c * 10.0**places) / 10.0**places  # noqa: E731  # of the double, as the SQL: 2.175 is below the tie
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
-        "graph_id", "n_rooms", z("n_env").alias("n_env"), z("n_edges").alias("n_edges"), F.bround("avg_degree", 2).alias("avg_degree"),
-        F.bround(F.try_divide(z("n_rr"), pairs), 4).alias("density"), "n_components", F.bround("clustering", 4).alias("clustering"),
-        F.bround(F.coalesce("apl", F.lit(0.0)), 2).alias("apl"), z("diameter").alias("diameter"),
+        "graph_id", "n_rooms", z("n_env").alias("n_env"), z("n_edges").alias("n_edges"), rounded(F.col("avg_degree"), 2).alias("avg_degree"),
+        rounded(F.try_divide(z("n_rr"), pairs), 4).alias("density"), "n_components", rounded(F.col("clustering"), 4).alias("clustering"),
+        rounded(F.coalesce("apl", F.lit(0.0)), 2).alias("apl"), z("diameter").alias("diameter"),
     )
 
 
