@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.session import share_code
@@ -19,6 +19,7 @@ from graphloom.session import share_code
 #: Rows and bytes of one Arrow batch that goes to a Python worker; bounds the worker's memory.
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
+BLOOM_PARTS, BLOOM_BITS = 1024, 32768  # bitmaps of 4 KB: a filter of 4 MB at most, whatever the number of keys
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -109,6 +110,32 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(BLOOM_PARTS)).cast("int")
+
+
+def _bits(key: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOOM_BITS)) for seed in (1, 2, 3)]
+
+
+def _passes(key: str) -> Column:
+    """Whether all of the key's bits stand in `bits`."""
+    byte = lambda bit: F.conv(F.hex(F.expr("bits").substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.forall(F.array(*_bits(key)), lambda bit: F.getbit(byte(bit), (bit % 8).cast("int")) == 1)
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` with the boolean `name`: false where the key is in no row of `keys`, without a shuffle of `rows`.
+
+    A filter of at most BLOOM_PARTS bitmaps of 4 KB, three bits a key, is broadcast. With more keys than it is
+    made for (some millions) more rows pass, and never fewer than have to.
+    """
+    spots = keys.select(_part(key).alias("_part"), F.explode(F.array(*_bits(key))).alias("bit"))
+    bits = spots.groupBy("_part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    rows = rows.withColumn("_part", _part(key)).join(F.broadcast(bits), "_part", "left")
+    return rows.withColumn(name, F.coalesce(F.col(key).isNotNull() & F.col("bits").isNotNull() & _passes(key), F.lit(False))).drop("bits", "_part")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table (a, b), both long: (node, comp), comp the smallest node.
 

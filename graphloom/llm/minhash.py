@@ -2,7 +2,7 @@
 
 Two small collections of `m` band values each (2 hashes a band) are computed; a table key joins one
 band of the first with one of the second, so m * m tables of 4 hashes cost 4 * m hashes, about the
-square root of the plain cost. Documents that share a key are candidates. An exact filter then drops
+square root of the plain cost, and keys are made only of band values that two documents share. Documents that share a key are candidates. An exact filter then drops
 candidates too many of whose shingles occur in no other candidate; the rest meet in groups that are
 confirmed on full sets in bounded blocks, so no link between candidates is lost, whatever the group.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_i64, components, list_array, pieces, prepare, stage, text_bytes, trim
+from graphloom.llm.common import as_i64, components, drop, list_array, pieces, prepare, sieve, stage, text_bytes, trim
 
 WIDTH = 5
 BANDS = 8
@@ -143,14 +143,18 @@ def mix_light(s: np.ndarray, h: int) -> np.ndarray:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (doc_id, text) -> (f1, f2, sh)."""
+    """mapInArrow: (text, fp, f1, f2) -> (fp, sh), of the rows whose set has that name."""
     for batch in batches:
         texts = text_bytes(batch)
+        fp, f1, f2 = (batch.column(k).to_numpy() for k in (1, 2, 3))
         for lo, hi in pieces(texts, SPAN):
             s, at = shingle_sets(texts[lo:hi])
             has, sub = _nonempty(s, at)
             if len(has):
-                yield pa.RecordBatch.from_arrays([*[pa.array(as_i64(f)) for f in _fingerprint(s, sub)], list_array(as_i64(s), sub, pa.int64())], ["f1", "f2", "sh"])
+                one, two = (as_i64(f) for f in _fingerprint(s, sub))
+                own = np.flatnonzero((one == f1[lo + has]) & (two == f2[lo + has]))
+                sets = list_array(as_i64(s), sub, pa.int64()).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[lo + has][own]), sets], ["fp", "sh"])
     trim()
 
 
@@ -275,18 +279,23 @@ def _classes(docs: DataFrame, percent: int, bands: int, block: int = 512, id_col
     # Equal sets (128 bits of hashes) are one node; numbers are given once, where the table is written.
     reps = sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x"))
     reps = stage(reps.select(F.monotonically_increasing_id().alias("fp"), "f1", "f2", "x.*"), "reps")
-    pair = F.explode(F.sequence(F.lit(0), F.lit(bands * bands - 1)))
-    key = F.xxhash64("t", F.expr(f"bands[t div {bands}]"), F.expr(f"bands[{bands} + t % {bands}]"))
-    keys = reps.select("fp", "bands", pair.alias("t")).select(key.alias("key"), "fp")
+    # A key joins two band values, so that only values of two nodes or more can be part of a key of two.
+    vals = reps.select("fp", F.posexplode("bands").alias("j", "v")).select("fp", F.expr("shiftleft(xxhash64(j, v), 8) | j").alias("v"))
+    common = vals.groupBy("v").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("v")
+    some = stage(vals.join(common, "v").groupBy("fp").agg(F.collect_list("v").alias("vs")), "values", release=True)  # 2 * bands a node at most
+    keys = some.select("fp", "vs", F.explode(F.expr(f"filter(vs, v -> (v & 255) < {bands})")).alias("one"))
+    keys = keys.select("fp", F.explode(F.expr(f"transform(filter(vs, v -> (v & 255) >= {bands}), two -> xxhash64(one, two))")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
-    met = stage(keys.join(shared, "key"), "met")
-    cand = stage(met.select("fp").distinct().join(reps.select("fp", "f1", "f2", "doc_id", "n"), "fp"), "cand")
-    sets = src.join(cand.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets_of, "f1 long, f2 long, sh array<long>")
-    sets = stage(sets.join(cand.select("f1", "f2", "fp"), ["f1", "f2"]).select("fp", "sh"), "sets")
+    met = stage(keys.join(shared, "key"), "met", release=True)
+    drop(some)
+    cand = stage(met.select("fp").distinct().join(reps.select("fp", "f1", "f2", "doc_id", "n"), "fp"), "cand", release=True)
+    # Texts of other documents stay where they are; what the filter lets pass meets the candidates by id and name.
+    texts = sieve(src, cand, "doc_id", "may").filter("may").drop("may").join(cand.select("doc_id", "fp", "f1", "f2"), "doc_id")
+    sets = stage(texts.select("text", "fp", "f1", "f2").mapInArrow(sets_of, "fp long, sh array<long>"), "sets", release=True)
     # Shingles that one candidate alone has can be in no overlap; half of the hash is enough to prove it.
     lone = sets.select("fp", F.explode("sh").alias("s")).groupBy(F.expr("cast(s & 4294967295 as bigint)").alias("s")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     lone = lone.filter("lo = hi").groupBy(F.col("lo").alias("fp")).agg(F.count("*").alias("lone"))
-    alive = stage(cand.join(lone, "fp", "left").filter(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("fp"), "alive")
+    alive = stage(cand.join(lone, "fp", "left").filter(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("fp"), "alive", release=True)
     left = met.join(alive, "fp", "left_semi")
     hubs = left.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("key", "a")
     groups = components(left.join(hubs, "key").select("a", F.col("fp").alias("b")))
@@ -300,7 +309,9 @@ def _classes(docs: DataFrame, percent: int, bands: int, block: int = 512, id_col
     blocks = blocks.join(sets, "fp").select("g", "ci", "cj", "c", "fp", "sh")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = blocks.repartition(n, "g", "ci", "cj").sortWithinPartitions("g", "ci", "cj").mapInArrow(confirm_blocks(percent), "a long, b long")
-    comp = components(links).select(F.col("node").alias("fp"), "comp")
+    comp = components(stage(links, "confirmed", release=True)).select(F.col("node").alias("fp"), "comp")
+    for done in (met, sets, alive):
+        drop(done)
     # Classes are named over nodes, so that the rows meet one small table and a hot class only its own nodes.
     named = stage(reps.select("fp", "f1", "f2", "doc_id").join(comp, "fp"), "linked")
     first = named.groupBy("comp").agg(F.min("doc_id").alias("first"))

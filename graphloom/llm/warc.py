@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, prepare, stage
+from graphloom.llm.common import new_path, prepare, sieve, stage
 
 LEAST = 1000  # bytes of a payload that later copies revisit
 END = b"\r\n\r\n"
@@ -32,35 +32,11 @@ END = b"\r\n\r\n"
 #: failed match hides one.
 CUT = b"\nWARC/1."
 TAIL = END[:-1]  # what a piece holds of a record's two line ends
-BLOOM_PARTS, BLOOM_BITS = 1024, 32768  # bitmaps of 4 KB: a filter of 4 MB at most, whatever the number of keys
 _HEAD = re.compile(rb"(?:WARC/1\.)?[01]((?:\r\n[^\r\n]+)*)\r\n\r(\n|\Z)")
 _FIELD = re.compile(rb"\r\n([!#-'*+.0-9A-Z^_`a-z|~-]+):[ \t]*([^\r\n]*)")
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
-def _filter(keys: DataFrame, key: str) -> DataFrame:
-    """(part, bits): a filter of the table's keys (long) in at most BLOOM_PARTS bitmaps, three bits a key.
-
-    With more keys than it is made for (some millions) it lets more rows pass, and never fewer than it has to.
-    """
-    spots = keys.select(_part(key).alias("part"), F.explode(F.array(*_bits(key))).alias("bit"))
-    return spots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def _part(key: str) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(BLOOM_PARTS)).cast("int")
-
-
-def _bits(key: str) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOOM_BITS)) for seed in (1, 2, 3)]
-
-
-def _passes(key: str) -> Column:
-    """Whether all of the key's bits stand in `bits`."""
-    byte = lambda bit: F.conv(F.hex(F.expr("bits").substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.forall(F.array(*_bits(key)), lambda bit: F.getbit(byte(bit), (bit % 8).cast("int")) == 1)
-
-
 def record_types(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """`pages` with sha1, payload_bytes and `main`: the largest page_id of the payload's copies where they count as such.
 
@@ -73,9 +49,7 @@ def record_types(pages: DataFrame, payload: str = "payload") -> DataFrame:
     rows = rows.withColumn("_key", F.when(F.col("payload_bytes") >= LEAST, F.sha2("_raw", 256))).drop("_raw")
     copies = rows.filter("_key is not null").groupBy("_key", "sha1").agg(F.max("page_id").alias("main"), F.count("*").alias("_n"))
     copies = stage(copies.filter("_n > 1 and main is not null").select("_key", "sha1", "main"), "copies")
-    # At most BLOOM_PARTS rows of 4 KB are broadcast.
-    rows = rows.withColumn("_part", _part("_key")).join(F.broadcast(_filter(copies, "_key").withColumnRenamed("part", "_part")), "_part", "left")
-    rows = rows.withColumn("_may", F.coalesce(F.col("_key").isNotNull() & F.col("bits").isNotNull() & _passes("_key"), F.lit(False))).drop("bits", "_part")
+    rows = sieve(rows, copies, "_key", "_may")
     rare = rows.filter("not _may").drop("_key", "_may").withColumn("main", F.lit(None).cast(copies.schema["main"].dataType))
     return rare.unionByName(rows.filter("_may").drop("_may").join(copies, ["_key", "sha1"], "left").drop("_key"))
 

@@ -69,3 +69,31 @@ def test_stage_keeps_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (2, "a b c d e f"), (9, "q r")], "doc_id long, text string").withColumn("lang", F.lit("en"))
     out = minhash.keep_one(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 9]
+
+
+def test_documents_without_copies_are_not_shuffled(spark):
+    """Less is shuffled than the texts are long: neither they nor keys of band values that one document alone has move."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(150))) for i in range(1500)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = lambda: sum(s.shuffleWriteBytes() for s in _stages(spark))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs.localCheckpoint()
+        before = written()
+        gone = sorted(r.doc_id for r in minhash.near_duplicates(docs).filter("not kept").collect())
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert gone == [5000 + i for i in range(5)]
+    assert moved < sum(len(t) for _, t in rows)
+
+
+def _stages(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
