@@ -89,12 +89,22 @@ class Tree:
         self.types, self.keys, self.score, self.weights, self.compat = types, keys, score, weights, compat
         self.rng = np.random.default_rng(seed)
         self.rooms, self.live = frozenset(range(len(types))), frozenset(range(len(keys)))
+        self.loose = frozenset(i for i, t in enumerate(types) if not t.startswith(KEEP))
+        self.at: list[set[int]] = [set() for _ in types]  # a room's edges
+        self.near = [0] * len(types)  # a room's physical neighbours, as bits
+        for i, (a, b, rel) in enumerate(keys):
+            self.at[a].add(i)
+            self.at[b].add(i)
+            if rel == "physical":
+                self.near[a] |= 1 << b
+                self.near[b] |= 1 << a
+        self.doors = frozenset(i for i, k in enumerate(keys) if k[2] == "physical")
         self.baseline = score(self.rooms)
 
     def actions(self, rooms: frozenset, live: frozenset, share: float) -> list[tuple[str, int]]:
         """Up to five rooms that may go, up to five edges, and keeping all."""
         out: list[tuple[str, int]] = []
-        loose = sorted(r for r in rooms if not self.types[r].startswith(KEEP))
+        loose = sorted(rooms & self.loose)
         if len(rooms) > max(5, int(len(self.types) * share)):
             out += [("room", int(x)) for x in self.rng.permutation(loose)[:5]]
         if len(live) > len(rooms):
@@ -105,14 +115,32 @@ class Tree:
         """A room goes with its edges."""
         kind, what = action
         if kind == "room":
-            return rooms - {what}, frozenset(i for i in live if what not in self.keys[i][:2])
+            return rooms - {what}, live - self.at[what]
         return (rooms, live - {what}) if kind == "edge" else (rooms, live)
 
     def reward(self, rooms: frozenset, live: frozenset) -> float:
         """What the score gains, a bonus for few rooms, a fine for rooms out of reach."""
-        fine = unreached([self.keys[i] for i in live], rooms) if self.weights[2] else 0.0
+        fine = self.unreached(rooms, live) if self.weights[2] else 0.0
         return self.weights[0] * (self.score(rooms) - self.baseline) + self.weights[1] / (1 + len(rooms)) - self.weights[2] * fine
 
+    def unreached(self, rooms: frozenset, live: frozenset) -> float:
+        """X13, as `unreached` of the live keys, by sets of rooms as bits."""
+        if not rooms or not self.doors & live:
+            return 1.0
+        near = self.near.copy()
+        for i in self.doors - live:
+            a, b = self.keys[i][:2]
+            near[a] &= ~(1 << b)
+            near[b] &= ~(1 << a)
+        seen = todo = 1 << min(rooms)
+        free = sum(1 << r for r in rooms)
+        while todo:
+            low = todo & -todo
+            more = near[low.bit_length() - 1] & free & ~seen
+            seen |= more
+            todo = (todo ^ low) | more
+        return 1 - seen.bit_count() / len(rooms)
+
     def search(self, sims: int = 200, sparsity: float = 0.5) -> tuple[frozenset, frozenset, float, int]:
         """(rooms, edges, reward, actions) of the best state; the whole graph with reward 0 where no state is better."""
         state = (self.rooms, self.live)
@@ -145,12 +173,13 @@ class Tree:
 def masked_scores(x: np.ndarray, means: dict, network: Network) -> Callable[[frozenset], np.ndarray]:
     """All heads' scores of a graph whose other rooms' features are zero, each set of rooms computed once; without a room, of the whole graph."""
     known: dict[frozenset, np.ndarray] = {}
+    masked = network.scorer(x, means)
 
     def score(rooms: frozenset) -> np.ndarray:
         if rooms not in known:
             kept = np.zeros((len(x), 1))
             kept[list(rooms) or slice(None)] = 1
-            known[rooms] = network.forward(x * kept, means)
+            known[rooms] = masked(kept)
         return known[rooms]
 
     return score

@@ -210,3 +210,20 @@ def test_counterfactual_and_found_graphs(spark):
     states = X.search_graphs(packed, net, ("one",))
     got = {(r.graph_id, r.rel): r["count"] for r in X.found_graphs(states, edges).groupBy("graph_id", "rel").count().collect()}
     assert sum(got.values()) == sum(len(r.edges) for r in states.collect())
+
+
+def test_search_asks_one_scorer_a_graph():
+    """Masked scores come from weights summed once a graph, and rooms out of reach from bits: both as by the plain definitions."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 70):
+        links = {r: (rng.integers(0, n, 2 * n), rng.integers(0, n, 2 * n)) for r in ("physical", "sight")[: n % 3]}
+        net, x, means = Network(hidden=8), rng.random((n, 27)), directed(n, links)
+        keys = sorted({(min(a, b), max(a, b), r) for r, (s, d) in links.items() for a, b in zip(s.tolist(), d.tolist(), strict=True) if a != b})
+        tree = X.Tree(["office"] * n, keys, lambda rooms: 0.0)
+        score = net.scorer(x, means)
+        for _ in range(20):
+            kept = (rng.random((n, 1)) < 0.7).astype(float)
+            assert np.allclose(score(kept), net.forward(x * kept, means), rtol=0, atol=1e-12)
+            rooms = frozenset(np.flatnonzero(kept).tolist())
+            live = frozenset(i for i, (a, b, _) in enumerate(keys) if a in rooms and b in rooms and rng.random() < 0.6)
+            assert tree.unreached(rooms, live) == X.unreached([keys[i] for i in live], rooms)
