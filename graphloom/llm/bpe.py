@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ IDS_LEAF = 512  # ids that are decoded at once
 LOSSLESS = "surrogateescape"  # bytes that are not UTF-8 stay as they are
 CACHE = 250_000  # distinct matches whose ids a worker remembers; then it starts anew
 CACHE_BYTES = 48  # longer matches are not remembered
+NONE = 1 << 32  # above all ranks
 
 
 class Bpe:
@@ -41,6 +44,7 @@ class Bpe:
         self.length = np.array([len(t) for t in self.token], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.length)))[:-1]
         self.flat = np.frombuffer(b"".join(self.token), np.uint8)
+        self.two = [[self.rank.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -52,17 +56,17 @@ class Bpe:
             return [rank[piece]] if piece else []
         if len(piece) > 48:
             return self._heap(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [rank[p] for p in parts]
+        at = list(range(len(piece) + 1))  # where parts begin
+        two = self.two
+        pairs = [two[a][b] for a, b in pairwise(piece)]  # the rank of each part joined with the next
+        while pairs and (best := min(pairs)) < NONE:
+            i = pairs.index(best)
+            del at[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = rank.get(piece[at[i - 1] : at[i + 1]], NONE)
+            if i < len(pairs):
+                pairs[i] = rank.get(piece[at[i] : at[i + 2]], NONE)
+        return [rank[piece[i:j]] for i, j in pairwise(at)]
 
     def _heap(self, piece: bytes) -> list[int]:
         """The same for long pieces, with a heap of candidate pairs over a linked list."""
@@ -122,7 +126,8 @@ class Bpe:
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode(errors=LOSSLESS)
-        ids = np.array(self.tree(raw), "<u4").tobytes()
+        ids = self.tree(raw)
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(raw) <= CACHE_BYTES:
             if len(self.known) >= CACHE:
                 self.known.clear()

@@ -86,3 +86,18 @@ def test_bytes_that_are_not_utf8(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "x.parquet"))
     got = {r.doc_id: bytes(r.decoded) for r in bpe.round_trip(docs, PATH, PATTERN).select("doc_id", "decoded").collect()}
     assert [got[i] for i in range(len(raw))] == raw
+
+
+def test_direct_looks_up_few_ranks(ours, monkeypatch):
+    seen = []
+
+    class Counting(dict):
+        def get(self, *args):
+            seen.append(args)
+            return super().get(*args)
+
+    piece = b"thereforeinthatoneandtheotheroftheirstatements"
+    want = ours.direct(piece)
+    monkeypatch.setattr(ours, "rank", Counting(ours.rank))
+    assert ours.direct(piece) == want and len(want) > 5
+    assert len(seen) <= 3 * len(piece)  # a pass over all pairs after each merge takes some hundreds
