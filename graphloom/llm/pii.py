@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepare, stage
+from graphloom.llm.common import prepare, sieve, stage
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE_AT, REMOVE_AT = 0.9, 0.98  # shares of the entity's information
@@ -118,8 +118,10 @@ def disclosing_terms(based: DataFrame, docs: DataFrame, text_col: str = "text")
     pairs = rare.join(group, "doc_id").filter(told_by("least(df_t, df_e)") >= GENERALISE_AT - 1e-9)
     scored = pairs.groupBy("term", "g1", "g2", "df_e", "df_t").agg(F.count("*").alias("co")).select("term", told_by("co").alias("share"))
     told = stage(scored.filter(F.col("share") >= GENERALISE_AT).groupBy("term").agg(F.max("share").alias("share")), "told")
+    # Few words disclose anything: the others do not go through the shuffle by term.
+    found = sieve(words.filter("doc_id is not null"), told, "term", "_told").filter("_told").drop("_told")
     return (
-        words.filter("doc_id is not null").join(told, "term").distinct()
+        found.join(told, "term").distinct()
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("term")).alias("terms"), F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE_AT, F.col("term")))).alias("removed"))
     )

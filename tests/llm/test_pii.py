@@ -123,3 +123,23 @@ def test_terms_far_away_and_in_other_documents(spark):
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].terms == got[1].terms == ["quibblethorp"]
     assert got[1].spans == "term:0:12" and got[1].n_term == 1 and got[10].terms is None
+
+
+def _shuffled_records(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_words_that_disclose_nothing_are_not_shuffled(spark):
+    plain = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400))
+    rows = [(0, "Quibblethorp to one@corp.example")] + [(1 + i, plain) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled_records(spark)
+        got = {r.doc_id: r.terms for r in pii.find(docs).collect()}
+        assert _shuffled_records(spark) - before < 20_000  # of 120,000 words
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got.pop(0) == ["quibblethorp"] and set(got.values()) == {None}
