@@ -137,6 +137,28 @@ def test_kmeans_and_spectral():
     assert len(set(lab[:20])) == len(set(lab[20:])) == 1 and lab[0] != lab[20]
 
 
+def test_spectral_clusters_without_a_matrix(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, b, int(1 + rng.poisson(9 if b // 6 == g % 3 else 1) + 4 * (g % 50 == 7))) for g in range(240) for b in range(18) if b // 6 == g % 3 or rng.random() < 0.3]
+    hist = spark.createDataFrame(rows, "graph_id long, bin long, n long")
+    x = np.zeros((240, 18))
+    for g, b, n in rows:
+        x[g, b] = n
+    norm = np.sqrt((x * x).sum(1)) + 1e-8
+    m = x @ x.T / norm / norm[:, None]
+    np.fill_diagonal(m, (x * x).sum(1))
+    want, k = K.spectral_labels(m, 4), 4
+    d = 1 / np.sqrt(m.sum(1) + 1e-8)
+    v = np.linalg.eigh(np.eye(240) - d[:, None] * m * d)[1][:, :k]
+    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
+    e = np.array([r.embedding for r in K.spectral_vectors(hist, k).orderBy("graph_id").collect()])
+    assert np.allclose(e @ e.T, v @ v.T, atol=1e-4)
+    got = [r.cluster for r in K.histogram_clusters(hist, k).orderBy("graph_id").collect()]
+    assert got == want.tolist()
+    one = K.histogram_clusters(hist.filter("graph_id = 5"), k).collect()
+    assert [tuple(r) for r in one] == [(5, 0)]
+
+
 def test_dedup(spark):
     d = spark.createDataFrame([("a", 1, ["x", "y", "z", "w"]), ("b", 2, ["x", "y", "z", "w"]), ("c", 3, ["q"]), ("d", 4, ["q", "x"])], "pattern string, rank long, items array<string>")
     assert sorted(r.pattern for r in K.dedup(d).collect()) == ["a", "c", "d"]
