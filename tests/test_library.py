@@ -159,6 +159,20 @@ def test_spectral_clusters_without_a_matrix(spark):
     assert [tuple(r) for r in one] == [(5, 0)]
 
 
+def test_queries_of_doors_build_no_other_edges(spark, sf):
+    from graphloom.plans import registry
+    from graphloom.sources import fixtures
+
+    fixtures._held.clear()
+    first = registry.QUERIES["motif_centroids"](spark, sf).orderBy("cluster").collect()
+    (held,) = fixtures._held.values()
+    assert {r.rel for r in held.edges.select("rel").distinct().collect()} == {"physical"}
+    whole = fixtures.event_graphs(spark, sf)
+    assert {r.rel for r in whole.edges.select("rel").distinct().collect()} == {"physical", "acoustic", "sight"}
+    assert registry.QUERIES["motif_centroids"](spark, sf).orderBy("cluster").collect() == first
+    assert list(fixtures._held.values()) == [whole] and fixtures.event_graphs(spark, sf, doors=True) is whole
+
+
 def test_dedup(spark):
     d = spark.createDataFrame([("a", 1, ["x", "y", "z", "w"]), ("b", 2, ["x", "y", "z", "w"]), ("c", 3, ["q"]), ("d", 4, ["q", "x"])], "pattern string, rank long, items array<string>")
     assert sorted(r.pattern for r in K.dedup(d).collect()) == ["a", "c", "d"]
