@@ -245,7 +245,7 @@ def evaluate_all(g: GraphTables) -> DataFrame:
 
     Each evaluator's scores are written before they are joined: planned as one, the six take most of the time on the driver."""
     out = g.graphs.select("graph_id")
-    for part in held_together([lambda name=name, f=f: f(g).select("graph_id", F.col("score").alias(name)) for name, f in EVALUATORS.items()]):
+    for part in held_together(g.graphs.sparkSession, [lambda name=name, f=f: f(g).select("graph_id", F.col("score").alias(name)) for name, f in EVALUATORS.items()]):
         out = out.join(part, "graph_id", "left")
     out = out.withColumn("overall", reduce(lambda a, b: a + b, [F.col(n) for n in EVALUATORS]) / len(EVALUATORS))
     return out.withColumn("grade", grade(F.col("overall")))
